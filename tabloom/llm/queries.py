@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import cascade, langid, media, mixing, packing, quality, simhash, tokens, urlrules
+from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, simhash, tokens, urlrules
 from tabloom.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,11 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """documents with the base counts and the verdict of the quality cascade."""
     text = cascade.text_of("text")
@@ -71,7 +76,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_url_rules, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language)}
+    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
