@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import id_field, materialise, only, slices
-from tabloom.llm.tokens import encoder
+from tabloom.llm.tokens import encoder, units
 
 END = 1
 
@@ -43,7 +43,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "d
         known = encoder(tokenizer)
         end, step = END.to_bytes(4, "little"), 4 * capacity
         for batch, texts in slices(batches, slice_bytes):
-            split = [(t or b"").split() for t in texts]
+            split = [units(t) for t in texts]
             fresh: set[bytes] = set()
             for words in split:
                 fresh.update(words)

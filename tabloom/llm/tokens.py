@@ -1,7 +1,6 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is split at safe boundaries (ASCII white space, which no token of a word tokenizer
-crosses), the fragments that were not met before are encoded in batches balanced by bytes,
+A text is split at safe boundaries (``units``), which no token of a word tokenizer crosses, the fragments that were not met before are encoded in batches balanced by bytes,
 and a text's length is the sum over its fragments. So a text of any length costs bounded
 memory, and a fragment that repeats is encoded once per worker and memo generation.
 
@@ -12,6 +11,7 @@ rows give repeated results; other columns of the input are not read.
 from __future__ import annotations
 
 import os
+import re
 import struct
 from collections.abc import Iterable, Iterator
 
@@ -23,67 +23,128 @@ from tabloom.llm.common import id_field, only, slices
 
 #: Trailing characters that a word tokenizer always cuts from a run of letters. No apostrophe: it joins contractions.
 _TAIL = b".,;:!?#*$%&|<>()[]{}\"-+=/~^@_`\\"
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the others from U+0100 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(x for x in range(256) if x not in _PRINTED)} | {32: 32}
+#: Letters below this one are the same in all normal forms.
+_PLAIN = "\u0250"
 #: Fragments that a memo holds before it starts anew.
-MEMO = 300_000
+MEMO = 500_000
 #: Bytes of fragments in one call of the encoder.
 BATCH_BYTES = 64 << 10
 
 
+#: A stop or comma before white space that does not directly follow a letter (ASCII, or one of U+00C0 to U+00FF).
+_LOOSE = re.compile(rb"(?<![A-Za-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[ \n])")
+
+
+def units(text: bytes | None) -> list[bytes]:
+    """The text cut at safe boundaries: white space and, where each follows a letter, stops and commas before it.
+
+    A word tokenizer cuts runs of letters from the marks behind them and ignores case, so the
+    units' ids, one after the other, are the text's. Texts that may hold a special string, or
+    marks that could belong to a longer run, are cut at white space alone.
+    """
+    if not text:
+        return []
+    if b"<|" in text or _LOOSE.search(text):
+        return text.split()
+    text = text.lower()
+    for mark in (b".", b","):
+        for space in (b" ", b"\n"):
+            text = text.replace(mark + space, b" " + mark + space)
+    return text.split()
+
+
 class WordEncoder:
     """Ids of white-space separated words, by a tokenizers file whose tokens never cross white space.
 
     ``ids`` maps a word (bytes, as it stands in the text) to its ids, little-endian unsigned
     32-bit. Special strings inside words are handled as the library does by default.
+
+    Plain runs of letters are encoded many at a time, joined by spaces: the token that ends a
+    word is marked as such in the vocabulary, which gives each run its share of the ids.
+    Should the number of word ends not match, the runs are encoded one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.encoder = Tokenizer.from_file(path)
         self.encoder.no_truncation()
         self.encoder.no_padding()
+        vocabulary = self.encoder.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[at for word, at in vocabulary.items() if word.endswith("</w>")]] = True
+        # for runs that are normal already: the same model, cut at spaces only
+        self.plain = Tokenizer(self.encoder.model)
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         self.ids: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
 
     def learn(self, words: Iterable[bytes]) -> None:
         """Make ``ids`` hold all of words, of which there may be more than the memo keeps."""
-        if len(self.ids) > MEMO:
-            self.ids.clear()
-        if len(self.parts) > MEMO:
-            self.parts.clear()
-        ids, cut, need = self.ids, [], set()
+        ids = self.ids
+        if len(ids) > MEMO:
+            ids.clear()
+        made, plain, other = [], set(), set()
         for word in words:
             if word in ids:
                 continue
-            core = word.rstrip(_TAIL)
-            if core and core.decode("utf-8", "replace").isalpha():
-                core, tail = core.lower(), word[len(core) :]
-                cut.append((word, core, tail))
-                need.add(core)
-                if tail:
-                    need.add(tail)
+            if word.isalpha():  # ASCII letters
+                core, tail = word.lower(), b""
+                plain.add(core)
             else:
-                cut.append((word, word, b""))
-                need.add(word)
-        need.difference_update(self.parts)
-        self._encode(sorted(need))
-        parts = self.parts
-        for word, core, tail in cut:
-            ids[word] = parts[core] + parts[tail] if tail else parts[core]
+                core = word.rstrip(_TAIL)
+                text, tail = core.decode("utf-8", "replace"), word[len(core) :]
+                if not text.isalpha():
+                    other.add(word)
+                    continue
+                low = text.lower()
+                if max(low) < _PLAIN and low.isalpha():
+                    core = low.encode()
+                    plain.add(core)
+                else:
+                    other.add(core)
+                if tail:
+                    other.add(tail)
+            if tail or core != word:
+                made.append((word, core, tail))
+        self._encode([x for x in other if x not in ids])
+        self._encode_joined([x for x in plain if x not in ids])
+        for word, core, tail in made:
+            ids[word] = ids[core] + ids[tail] if tail else ids[core]
 
     def _encode(self, fragments: list[bytes]) -> None:
-        start = 0
-        while start < len(fragments):
-            stop, load = start, 0
-            while stop < len(fragments) and (stop == start or load + len(fragments[stop]) <= BATCH_BYTES):
-                load += len(fragments[stop])
-                stop += 1
-            batch = fragments[start:stop]
+        for batch in _balanced(fragments):
             for fragment, got in zip(batch, self.encoder.encode_batch_fast([x.decode("utf-8", "replace") for x in batch], add_special_tokens=False), strict=True):
                 found = got.ids
-                self.parts[fragment] = struct.pack(f"<{len(found)}I", *found)
-            start = stop
+                self.ids[fragment] = struct.pack(f"<{len(found)}I", *found)
+
+    def _encode_joined(self, fragments: list[bytes]) -> None:
+        for batch in _balanced(fragments):
+            groups = [batch[i : i + 256] for i in range(0, len(batch), 256)]
+            for group, got in zip(groups, self.plain.encode_batch_fast([b" ".join(g).decode("latin-1").translate(_BYTE_LEVEL) for g in groups], add_special_tokens=False), strict=True):
+                found = np.array(got.ids, "<u4")
+                stops = (4 * (np.flatnonzero(self.ends[found]) + 1)).tolist()
+                if len(stops) == len(group):
+                    data = found.tobytes()
+                    self.ids.update(zip(group, (data[i:j] for i, j in zip([0, *stops], stops, strict=False)), strict=True))
+                else:
+                    self._encode(group)
+
+
+def _balanced(fragments: list[bytes]) -> Iterator[list[bytes]]:
+    """Runs of fragments of about BATCH_BYTES."""
+    batch, load = [], 0
+    for fragment in fragments:
+        if batch and load + len(fragment) > BATCH_BYTES:
+            yield batch
+            batch, load = [], 0
+        batch.append(fragment)
+        load += len(fragment)
+    if batch:
+        yield batch
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -106,7 +167,7 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
         known = encoder(tokenizer)
         lengths: dict[bytes, int] = {}
         for batch, texts in slices(batches, slice_bytes):
-            split = [(x or b"").split() for x in texts]
+            split = [units(x) for x in texts]
             if len(lengths) > MEMO:
                 lengths.clear()
             fresh: set[bytes] = set()
