@@ -96,16 +96,12 @@ class WordEncoder:
                 plain.add(core)
             else:
                 core = word.rstrip(_TAIL)
-                text, tail = core.decode("utf-8", "replace"), word[len(core) :]
-                if not text.isalpha():
+                low, tail = core.decode("utf-8", "replace").lower(), word[len(core) :]
+                if not low.isalpha() or max(low) >= _PLAIN:
                     other.add(word)
                     continue
-                low = text.lower()
-                if max(low) < _PLAIN and low.isalpha():
-                    core = low.encode()
-                    plain.add(core)
-                else:
-                    other.add(core)
+                core = low.encode()
+                plain.add(core)
                 if tail:
                     other.add(tail)
             if tail or core != word:
