@@ -185,7 +185,7 @@ def _windowed(agg: Aggregate, rows: Column, over: Callable[[Column], Column]) ->
         case "std":
             return _merged_std(over(F.collect_list(col("sp"))))
         case "last":
-            return over(F.max_by(col("last"), F.col("__m")))["v"]
+            return over(F.max_by(col("last"), F.when(~F.col("__want"), F.col("__m"))))["v"]
     raise PlanError(agg.function)
 
 

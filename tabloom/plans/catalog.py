@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.plans import feature_queries, merge_queries, profile_queries
+from tabloom.plans.base import Query
+
+_MODULES = (merge_queries, profile_queries, feature_queries)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """For each customer and month: order value of the previous 3 and 12 months, and the ratio."""
+    return merge_queries.R.queries["flagship_windows"](spark, sf)
+
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for m in _MODULES for name, query in m.R.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.R.sql.items()}
