@@ -28,13 +28,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go; the rules run as a cascade, the cheap and sharp ones first."""
     text = cascade.text_of("text")
-    with_windows = lambda df: cascade.with_repeats(df, text, "__repeats")
     rules = cascade.standard_rules(text, F.col("__repeats"))
-    sample = with_windows(cascade.sample_of(docs, "doc_id", queries.SAMPLE_ROWS))
+    sample = cascade.with_repeats(cascade.with_words(cascade.sample_of(docs, "doc_id", queries.SAMPLE_ROWS), text), "__repeats")
     order = cascade.order_rules(sample, rules)
-    cheap = [r for r in order if r.name != "repeats"]
-    passed = docs.where(cascade.cascade(cheap).isNull())
-    return with_windows(passed).where(cascade.cascade([r for r in order if r.name == "repeats"]).isNull()).select(*docs.columns)
+    dear = [r for r in order if r.name == "repeats"]
+    passed = cascade.with_words(docs, text).where(cascade.cascade([r for r in order if r.name != "repeats"]).isNull())
+    return cascade.with_repeats(passed, "__repeats").where(cascade.cascade(dear).isNull()).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,7 @@ from tabloom.llm.common import SPACES, WORD
 #: Characters that count as symbols: # * $ % & | < >
 SYMBOLS = "#*$%&|<>"
 _SPACE_CHARS = " \t\n\x0b\f\r"
+HASHES, _WINDOWS = "__tl_words", "__tl_windows"
 
 
 @dataclass(frozen=True)
@@ -36,9 +37,25 @@ def text_of(col: str) -> Column:
     return F.coalesce(F.col(f"`{col}`"), F.lit(""))
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, as an array; none for a text of white space."""
-    return F.filter(F.split(text, SPACES + "+"), lambda w: w != "")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once per row, also inside the lambdas of body."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _without(text: Column, *characters: str) -> Column:
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def _count_of(text: Column, character: str) -> Column:
+    """How often an ASCII character occurs: the bytes that go with it."""
+    return F.octet_length(text) - F.octet_length(_without(text, character))
+
+
+def word_hashes(text: Column) -> Column:
+    """64-bit hashes of the words, in order; none for a text of white space."""
+    return F.transform(F.filter(F.split(text, SPACES + "+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def n_words(text: Column) -> Column:
@@ -47,49 +64,58 @@ def n_words(text: Column) -> Column:
 
 
 def word_chars(text: Column) -> Column:
-    return F.length(F.translate(text, _SPACE_CHARS, "")).cast("long")
+    """Code points that are no white space; white space is ASCII, so its bytes are its code points."""
+    return (F.length(text) - F.octet_length(text) + F.octet_length(_without(text, *_SPACE_CHARS))).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    return (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")
+    return (F.octet_length(text) - F.octet_length(F.regexp_replace(text, f"[{SYMBOLS}]+", ""))).cast("long")
 
 
 def n_dup_lines(text: Column) -> Column:
-    filled = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _SPACE_CHARS, "")) > 0)
+    filled = F.filter(F.split(text, "\n"), lambda x: F.trim(x, F.lit(_SPACE_CHARS)) != "")
     return let(filled, lambda lines: (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"))
 
 
-def upper_share(text: Column) -> Column:
-    """Upper-case characters per character that has two cases."""
-    lower = F.length(F.regexp_replace(text, "[^\\p{Ll}]", ""))
-    upper = F.length(F.regexp_replace(text, "[^\\p{Lu}]", ""))
-    return upper / F.greatest(upper + lower, F.lit(1))
+def n_upper(text: Column) -> Column:
+    """Upper-case code points."""
+    return F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}+", ""))
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value computed once per row, also inside the lambdas of body."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def n_stutters(hashes: Column) -> Column:
+    """Words that equal the word before them."""
+    return F.size(F.filter(hashes, lambda w, i: F.coalesce(w == F.get(hashes, i - 1), F.lit(False))))
+
+
+def window_hashes(hashes: Column, width: int) -> Column:
+    """A 64-bit hash of each window of ``width`` words, in order; none for fewer words. hashes must be a plain column."""
+    starts = F.sequence(F.lit(0), F.size(hashes) - width)
+    windows = F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(width)]))
+    return F.when(F.size(hashes) >= width, windows).otherwise(F.array().cast("array<bigint>"))
 
 
-def window_hashes(text: Column, width: int) -> Column:
-    """A 64-bit hash of each window of ``width`` words, in order; none for fewer words."""
+def _once(df: DataFrame, value: Column, name: str) -> DataFrame:
+    """Add a column that is computed once per row, whatever uses it.
+
+    Filters are not pushed into a generator; through a projection they would carry the whole
+    expression along, into each of their uses and into the lambdas there.
+    """
+    return df.select("*", F.inline(F.array(F.struct(value.alias(name)))))
 
-    def windows(words: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(words) - (width - 1))
-        return F.when(F.size(words) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, width)))).otherwise(F.array().cast("array<bigint>"))
 
-    return let(words_of(text), windows)
+def with_words(df: DataFrame, text: Column) -> DataFrame:
+    """Add the word hashes, under ``HASHES``, for the rules and counts that need them."""
+    return _once(df, word_hashes(text), HASHES)
 
 
-def with_repeats(df: DataFrame, text: Column, out: str, width: int = 5) -> DataFrame:
-    """Add ``out``: words that lie in windows of ``width`` words found twice or more in the text.
+def with_repeats(df: DataFrame, out: str, width: int = 5) -> DataFrame:
+    """Add ``out``: words that lie in windows of ``width`` words found twice or more in the text. df comes from ``with_words``.
 
     One pass per text, no shuffle. Only texts that have a repeated window are sorted: the
     positions of repeated windows follow from neighbours in (hash, position) order, and the
     words they cover from the gaps between positions.
     """
-    hashes, plain = "__tl_hashes", df.withColumn("__tl_hashes", window_hashes(text, width))
-    h = F.col(hashes)
+    h = F.col(_WINDOWS)
     pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
 
     def repeated(ordered: Column) -> Column:
@@ -103,29 +129,29 @@ def with_repeats(df: DataFrame, text: Column, out: str, width: int = 5) -> DataF
         return F.aggregate(each, F.lit(0), lambda a, b: a + b)
 
     some = F.size(F.array_distinct(h)) < F.size(h)
-    return plain.withColumn(out, F.when(some, let(let(pairs, repeated), covered)).otherwise(F.lit(0)).cast("long")).drop(hashes)
+    value = F.when(some, let(let(pairs, repeated), covered)).otherwise(F.lit(0)).cast("long")
+    return _once(_once(df, window_hashes(F.col(HASHES), width), _WINDOWS), value, out).drop(_WINDOWS)
 
 
-def n_stutters(text: Column) -> Column:
-    """Words that equal the word before them."""
-    return let(words_of(text), lambda words: F.size(F.filter(words, lambda w, i: F.coalesce(w == F.get(words, i - 1), F.lit(False)))))
+def standard_rules(text: Column, repeats: Column, symbols: Column | None = None, dup_lines: Column | None = None, chars: Column | None = None) -> list[Rule]:
+    """The rules of this pipeline, over rows that ``with_words`` prepared.
 
-
-def standard_rules(text: Column, repeats: Column, words: Column | None = None, symbols: Column | None = None, dup_lines: Column | None = None, chars: Column | None = None) -> list[Rule]:
-    """The rules of this pipeline. Columns that are at hand may be given, so as not to be computed twice."""
-    words = n_words(text) if words is None else words
+    Columns that are at hand may be given, so as not to be computed twice.
+    """
+    hashes = F.col(HASHES)
+    words = F.size(hashes)
     symbols = n_symbols(text) if symbols is None else symbols
     dup_lines = n_dup_lines(text) if dup_lines is None else dup_lines
     chars = word_chars(text) if chars is None else chars
-    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    lines = _count_of(text, "\n") + 1
     return [
         Rule("symbols", 10 * symbols > 2 * words),
-        Rule("shouting", upper_share(text) > 0.5),
+        Rule("shouting", 5 * n_upper(text) > 2 * chars),
         Rule("word_length", (words > 0) & ((chars < 2 * words) | (chars > 15 * words))),
-        Rule("exclamations", 5 * (F.length(text) - F.length(F.translate(text, "!", ""))) > words),
+        Rule("exclamations", 5 * _count_of(text, "!") > words),
         Rule("dup_lines", (lines >= 4) & (2 * dup_lines > lines)),
         Rule("few_words", words < 10),
-        Rule("stutters", 5 * n_stutters(text) > 2 * words),
+        Rule("stutters", 5 * n_stutters(hashes) > 2 * words),
         Rule("repeats", 100 * repeats > 20 * words),
     ]
 

@@ -32,13 +32,17 @@ def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """documents with the base counts and the verdict of the quality cascade."""
     text = cascade.text_of("text")
-    counts = {"n_words": cascade.n_words(text), "word_chars": cascade.word_chars(text), "n_symbols": cascade.n_symbols(text), "n_dup_lines": cascade.n_dup_lines(text)}
-    base = cascade.with_repeats(docs.select("doc_id", "text"), text, "n_repeat_words").select("doc_id", "text", "n_repeat_words", *[c.alias(n) for n, c in counts.items()])
-    rules = cascade.standard_rules(text, F.col("n_repeat_words"), F.col("n_words"), F.col("n_symbols"), F.col("n_dup_lines"), F.col("word_chars"))
-    sample = cascade.with_repeats(cascade.sample_of(docs.select("doc_id", "text"), "doc_id", SAMPLE_ROWS), text, "n_repeat_words").select("doc_id", "text", "n_repeat_words", *[c.alias(n) for n, c in counts.items()])
+    counts = {"word_chars": cascade.word_chars(text), "n_symbols": cascade.n_symbols(text), "n_dup_lines": cascade.n_dup_lines(text)}
+
+    def counted(df: DataFrame) -> DataFrame:
+        prepared = cascade.with_repeats(cascade.with_words(df, text), "n_repeat_words")
+        return prepared.select("doc_id", "text", cascade.HASHES, "n_repeat_words", F.size(cascade.HASHES).cast("long").alias("n_words"), *[c.alias(n) for n, c in counts.items()])
+
+    rules = cascade.standard_rules(text, F.col("n_repeat_words"), F.col("n_symbols"), F.col("n_dup_lines"), F.col("word_chars"))
+    order = cascade.order_rules(counted(cascade.sample_of(docs.select("doc_id", "text"), "doc_id", SAMPLE_ROWS)), rules)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    rejected = cascade.cascade(cascade.order_rules(sample, rules)).isNotNull()
-    return base.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    rejected = cascade.cascade(order).isNotNull()
+    return counted(docs.select("doc_id", "text")).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
