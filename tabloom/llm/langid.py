@@ -15,7 +15,6 @@ give repeated results.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -35,39 +34,59 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 MEMO = 200_000
 
 
+#: What of ASCII is no letter separates words; capitals become small.
+_CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
+
+
 @dataclass
 class LanguageModel:
+    """Log probabilities by language: a row for each known word, and for each n-gram of a length (from 1)."""
+
     languages: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # by length, from 1
+    words: dict[str, int]
+    word_rows: np.ndarray
+    grams: list[dict[str, int]]
+    gram_rows: np.ndarray
     prior: np.ndarray
 
-    def word(self, word: str) -> np.ndarray:
-        """Log probabilities of one lower-case word of letters, by language."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
-        edged = f" {word} "
-        for n in range(min(MAX_GRAM, len(edged)), 0, -1):
-            known = self.grams[n - 1]
-            hits = [g for i in range(len(edged) - n + 1) if (g := known.get(edged[i : i + n])) is not None]
-            if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.languages), np.float32)
-
-
-def _rows(counts: dict[int, Counter], languages: int, keep: int) -> dict[str, np.ndarray]:
+    def rows(self, words: list[str]) -> np.ndarray:
+        """The rows of lower-case words of letters; an unseen word's is the mean of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.languages)))
+        places, hits, starts = [], [], []
+        known_at, known_row = [], []
+        for at, word in enumerate(words):
+            row = self.words.get(word)
+            if row is not None:
+                known_at.append(at)
+                known_row.append(row)
+                continue
+            edged = f" {word} "
+            for n in range(min(MAX_GRAM, len(edged)), 0, -1):
+                known = self.grams[n - 1]
+                found = [g for i in range(len(edged) - n + 1) if (g := known.get(edged[i : i + n])) is not None]
+                if found:
+                    places.append(at)
+                    starts.append(len(hits))
+                    hits += found
+                    break
+        if known_at:
+            out[known_at] = self.word_rows[known_row]
+        if places:
+            sums = np.add.reduceat(self.gram_rows[hits], starts, axis=0, dtype=np.float64)
+            out[places] = sums / np.diff([*starts, len(hits)])[:, None]
+        return out
+
+
+def _rows(counts: dict[int, Counter], languages: int, keep: int) -> tuple[dict[str, int], np.ndarray]:
     """Log frequencies by language, add-half smoothed, of the ``keep`` most frequent entries of each language."""
-    totals = [sum(counts[i].values()) for i in range(languages)]
-    entries = set()
+    totals = np.array([sum(counts[i].values()) for i in range(languages)], float)
+    entries: dict[str, int] = {}
     for i in range(languages):
-        entries.update(k for k, _ in sorted(counts[i].items(), key=lambda x: (-x[1], x[0]))[:keep])
-    size = len(entries) + 1
-    out = {}
-    for k in entries:
-        row = np.array([math.log((counts[i][k] + 0.5) / (totals[i] + 0.5 * size)) for i in range(languages)], np.float32)
-        out[k] = row - row.max()  # only differences between languages matter
-    return out
+        for k, _ in sorted(counts[i].items(), key=lambda x: (-x[1], x[0]))[:keep]:
+            entries.setdefault(k, len(entries))
+    table = np.array([[counts[i][k] for i in range(languages)] for k in entries], float).reshape(len(entries), languages)
+    logs = np.log((table + 0.5) / (totals + 0.5 * (len(entries) + 1)))
+    return entries, (logs - logs.max(axis=1, keepdims=True) if len(entries) else logs).astype(np.float32)  # only differences matter
 
 
 def learn(rows: list[tuple[str, str]], max_words: int = 30_000, max_grams: int = 30_000) -> LanguageModel:
@@ -79,7 +98,8 @@ def learn(rows: list[tuple[str, str]], max_words: int = 30_000, max_grams: int =
     for text, lang in rows:
         documents[place[lang]] += 1
         words[place[lang]].update(_LETTERS.findall(text.lower()))
-    grams: list[dict[str, np.ndarray]] = []
+    grams: list[dict[str, int]] = []
+    gram_rows: list[np.ndarray] = []
     for n in range(1, MAX_GRAM + 1):
         counts: dict[int, Counter] = {}
         for i, bag in words.items():
@@ -88,9 +108,13 @@ def learn(rows: list[tuple[str, str]], max_words: int = 30_000, max_grams: int =
                 edged = f" {word} "
                 for k in range(len(edged) - n + 1):
                     counts[i][edged[k : k + n]] += times
-        grams.append(_rows(counts, len(languages), max_grams))
+        place, rows_n = _rows(counts, len(languages), max_grams)
+        offset = sum(map(len, gram_rows))
+        grams.append({k: offset + v for k, v in place.items()})
+        gram_rows.append(rows_n)
     prior = np.log(np.array([(documents[i] + 1.0) for i in range(len(languages))]) / (len(rows) + len(languages)))
-    return LanguageModel(languages, _rows(words, len(languages), max_words), grams, prior)
+    known, word_rows = _rows(words, len(languages), max_words)
+    return LanguageModel(languages, known, word_rows, grams, np.concatenate(gram_rows), prior)
 
 
 def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_chars: int, max_languages: int) -> list[tuple[str, str]]:
@@ -122,36 +146,43 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place: dict[bytes, int] = {}
-        seen: dict[str, np.ndarray] = {}
         table = np.zeros((MEMO + 1, width), np.float32)
         lettered = np.zeros(MEMO + 1, bool)
 
-        def row(word: bytes) -> tuple[np.ndarray, bool]:
-            total, any_letter = np.zeros(width, np.float32), False
-            for part in _LETTERS.findall(word.decode("utf-8", "replace").lower()):
-                any_letter = True
-                if part not in seen:
-                    if len(seen) > MEMO:
-                        seen.clear()
-                    seen[part] = model.word(part)
-                total = total + seen[part]
-            return total, any_letter
+        def learn_words(fresh: list[bytes]) -> None:
+            start = len(place)
+            parts = [[w.decode()] if w.isalpha() else _LETTERS.findall(w.decode("utf-8", "replace").lower()) for w in fresh]
+            every = list(dict.fromkeys(p for own in parts for p in own))
+            row = {p: i for i, p in enumerate(every)}
+            rows = np.vstack((model.rows(every), np.zeros((1, width))))
+            single = [row[own[0]] if own else len(every) for own in parts]
+            table[start : start + len(fresh)] = rows[single]
+            for i, own in enumerate(parts):
+                if len(own) > 1:
+                    table[start + i] = sum(rows[row[p]] for p in own)
+            lettered[start : start + len(fresh)] = [bool(own) for own in parts]
+            place.update(zip(fresh, range(start, start + len(fresh)), strict=True))
 
         for batch, texts in slices(batches, slice_bytes, text_at):
             langs, scores = [], []
-            for text in texts:
+            split = [(t or b"").translate(_CLEAN).split() for t in texts]
+            fresh: set[bytes] = set()
+            for words in split:
+                fresh.update(words)
+            fresh.difference_update(place)
+            # all at once where the memo takes them, else run by run
+            if whole := len(place) + len(fresh) <= MEMO:
+                learn_words(list(fresh))
+            for words in split:
                 total, letters = model.prior.copy() if width else np.zeros(0), False
-                words = (text or b"").split()
-                for start in range(0, len(words), MEMO // 2):
+                for start in range(0, len(words), MEMO // 2):  # a run's words always fit the memo
                     run = words[start : start + MEMO // 2]
-                    fresh = set(run).difference(place)
-                    if len(place) + len(fresh) > MEMO:
-                        place.clear()
-                        fresh = set(run)
-                    for word in fresh:
-                        at = len(place)
-                        table[at], lettered[at] = row(word)
-                        place[word] = at
+                    if not whole:
+                        new = set(run).difference(place)
+                        if len(place) + len(new) > MEMO:
+                            place.clear()
+                            new = set(run)
+                        learn_words(list(new))
                     at = np.fromiter(map(place.__getitem__, run), np.int64, len(run))
                     total = total + table[at].sum(axis=0, dtype=np.float64) if width else total
                     letters = letters or bool(lettered[at].any())
