@@ -221,7 +221,7 @@ def binning_apply(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @R.add(f"""WITH q AS (SELECT list_sort(list_distinct(quantile_cont(tax, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS q FROM {ITEMS} WHERE tr AND tax IS NOT NULL), c AS (SELECT q[2:-2] AS cuts FROM q),
-b AS (SELECT coalesce(len(list_filter(cuts, lambda x: x < tax)), -1) AS b, count(*) FILTER (tr) AS e, count(*) FILTER (NOT tr) AS a FROM {ITEMS}, c GROUP BY 1), s AS (SELECT greatest(e / sum(e) OVER (), 0.0001) AS e, greatest(a / sum(a) OVER (), 0.0001) AS a FROM b)
+b AS (SELECT CASE WHEN tax IS NULL THEN -1 ELSE len(list_filter(cuts, lambda x: x < tax)) END AS b, count(*) FILTER (tr) AS e, count(*) FILTER (NOT tr) AS a FROM {ITEMS}, c GROUP BY 1), s AS (SELECT greatest(e / sum(e) OVER (), 0.0001) AS e, greatest(a / sum(a) OVER (), 0.0001) AS a FROM b)
 SELECT 'tax' AS "column", round(sum((a - e) * ln(a / e)), 8) AS psi FROM s""")
 def stability_numeric(spark: SparkSession, sf: str) -> DataFrame:
     df = items(spark, sf)
