@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import cascade, langid, mixing, packing, queries, simhash
-from tabloom.llm.common import crc_mod, materialise, table
+from tabloom.llm.common import crc_mod, materialise, prepare, table
 
 #: Below this share of the best language a document counts as not identified.
 LEAST_SHARE = 0.5
@@ -20,6 +20,7 @@ LEAST_SHARE = 0.5
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go; lang stays as it was given."""
+    prepare(spark)
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
     found = langid.predict(docs, model, keep=tuple(docs.columns))
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)

@@ -1,10 +1,7 @@
-"""Shared helpers: table access, lineage cuts in the shared folder, Arrow batch slicing."""
+"""Shared helpers: table access, Arrow batch slicing, column selection."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,62 +10,26 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabloom.sources.store import materialise
+
 #: White space that separates words everywhere in this subpackage: \x20 and \x09-\x0D.
 SPACES = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
-
-    Only where the session names none and runs in one process (tests) is a local
-    folder taken instead.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    path = f"file://{tempfile.mkdtemp(prefix='tabloom-')}"
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+#: Bytes of an Arrow batch between Spark and Python workers, unless the session chose a size itself.
+ARROW_BYTES = 4 << 20
+_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
-def _delete_made() -> None:
-    for spark, path in _made:
-        try:
-            delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and its folder with it
-            return
+def prepare(spark: SparkSession) -> None:
+    """Small Arrow batches: whole texts travel to Python, and several batches are in memory at a time on either side."""
+    if int(str(spark.conf.get(_ARROW)).rstrip("b")) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW, ARROW_BYTES)
 
 
-def delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: its lineage ends there.
-
-    Lost executors then cost a re-read, never a recomputation of what came before.
-    """
-    spark = df.sparkSession
-    if not _made:
-        atexit.register(_delete_made)
-    path = f"{shared_dir(spark)}/tabloom-{label}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def crc_mod(col: Column, m: int) -> Column:
@@ -108,3 +69,6 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     Whatever else the table carries, also under names that the operator uses, stays outside.
     """
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+
+
+__all__ = ["SPACES", "WORD", "crc_mod", "id_field", "materialise", "only", "prepare", "slices", "table"]
