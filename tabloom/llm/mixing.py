@@ -63,8 +63,9 @@ def water_fill(sources: DataFrame, max_epochs: float = 3.0, total: float | None
 
 
 def _order_key(seed: int) -> Column:
-    """A seeded 36-bit key of a row, without sign."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size")), 64 - LEVEL_BITS * LEVELS)
+    """A seeded 36-bit key of a row: the first nine hex digits of an md5, which SQL elsewhere has, too."""
+    text = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit("")), F.col("size").cast("string"))
+    return F.conv(F.substring(F.md5(text), 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
 
 
 def _same(a: Column, b: Column) -> Column:

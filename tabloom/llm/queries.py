@@ -83,5 +83,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language)}
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_OP4 = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, sum(least(5, coalesce(n - i, 5))) AS c FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM rep) GROUP BY 1),
+f AS (SELECT doc_id, t, w, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+CAST(coalesce(c, 0) AS BIGINT) AS n_repeat_words, len(string_split(t, chr(10))) AS lines FROM d LEFT JOIN cov USING (doc_id)),
+r AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+10 * n_symbols > 2 * n_words OR 5 * (length(t) - length(regexp_replace(t, '\p{{Lu}}', '', 'g'))) > 2 * word_chars OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 15 * n_words))
+OR 5 * (length(t) - length(replace(t, '!', ''))) > n_words OR (lines >= 4 AND 2 * n_dup_lines > lines) OR 5 * len(list_filter(range(2, n_words + 1), lambda i: w[i] = w[i - 1])) > 2 * n_words AS rejected FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept FROM r"""
+
+_OP6 = rf"""WITH d AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS ss, [1, 2, 3][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS w FROM d GROUP BY 1),
+r AS (SELECT *, row_number() OVER o AS k, 3.0 * ss / w AS ratio, (sum(ss) OVER () - coalesce(sum(3 * ss) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(sum(w) OVER () - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS level FROM s WINDOW o AS (ORDER BY 3.0 * ss / w, source)),
+l AS (SELECT level FROM r WHERE level <= ratio ORDER BY k LIMIT 1),
+t AS (SELECT source, ss, least(3.0 * ss, l.level * w) AS target FROM s, l), p AS (SELECT *, CAST(floor(CASE WHEN ss > 0 THEN target / ss ELSE 0 END + 1e-12) AS BIGINT) AS whole FROM t),
+o AS (SELECT d.*, p.ss, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.whole * p.ss AS rest, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY substr(md5('17|' || d.doc_id || '|' || d.size), 1, 9), d.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, ss AS source_size, target, CAST(whole * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken FROM o"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Fingerprints, tokens, media and learnt models can't be had in SQL; the tests hold those against brute force."""
+    return {"op4_quality_rules": _OP4, "op6_mixing": _OP6}
