@@ -38,6 +38,11 @@ MEMO = 200_000
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def _edged(word: str, n: int) -> str:
+    """A word with its ends marked; single characters need no ends."""
+    return f" {word} " if n > 1 else word
+
+
 @dataclass
 class LanguageModel:
     """Log probabilities by language: a row for each known word, and for each n-gram of a length (from 1)."""
@@ -60,9 +65,8 @@ class LanguageModel:
                 known_at.append(at)
                 known_row.append(row)
                 continue
-            edged = f" {word} "
-            for n in range(min(MAX_GRAM, len(edged)), 0, -1):
-                known = self.grams[n - 1]
+            for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
+                known, edged = self.grams[n - 1], _edged(word, n)
                 found = [g for i in range(len(edged) - n + 1) if (g := known.get(edged[i : i + n])) is not None]
                 if found:
                     places.append(at)
@@ -105,7 +109,7 @@ def learn(rows: list[tuple[str, str]], max_words: int = 30_000, max_grams: int =
         for i, bag in words.items():
             counts[i] = Counter()
             for word, times in bag.items():
-                edged = f" {word} "
+                edged = _edged(word, n)
                 for k in range(len(edged) - n + 1):
                     counts[i][edged[k : k + n]] += times
         place, rows_n = _rows(counts, len(languages), max_grams)
