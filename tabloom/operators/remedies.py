@@ -65,11 +65,12 @@ def rare_group(column: str, frequent: Sequence[str]) -> Column:
 
 
 def prefix_length(train: DataFrame, column: str, most: int = 8, share: float = 0.8, levels: tuple[int, int] = (2, 200)) -> int | None:
-    """The longest prefix that makes 2 to 200 groups, if at least 80 % of the values have one length."""
+    """The longest proper prefix that makes 2 to 200 groups, if at least 80 % of the values have one length."""
     c = F.col(f"`{column}`").cast("string")
-    lengths = train.where(c.isNotNull()).groupBy(F.length(c).alias("l")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("t")).first()
-    if not lengths.t or lengths.m < share * lengths.t:
+    lengths = train.where(c.isNotNull()).groupBy(F.length(c).alias("l")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("m"), F.sum("n").alias("t"), F.max_by("l", "n").alias("l")).first()
+    if not lengths.t or lengths.m < share * lengths.t or lengths.l < 2:
         return None
+    most = min(most, lengths.l - 1)
     row = train.agg(*[F.count_distinct(F.substring(c, 1, k)).alias(f"k{k}") for k in range(1, most + 1)]).first()
     fit = [k for k in range(1, most + 1) if levels[0] <= row[f"k{k}"] <= levels[1]]
     return max(fit) if fit else None
