@@ -289,6 +289,21 @@ def single_factor(train: DataFrame, columns: Sequence[str], target: str, bins: i
     return out
 
 
+def variable_detail(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, p1, p5, p25, p50, p75, p95, p99, outlier_share, skew): outliers lie beyond three quartile distances."""
+    from tabloom.operators.features import column_summary
+    from tabloom.operators.profile import value_table
+
+    tt = value_table(df, columns, False)
+    names = ["p1", "p5", "p25", "p50", "p75", "p95", "p99"]
+    q = measures.quantiles(tt, ["k"], "v", "n", (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)).withColumnsRenamed({f"q{i}": n for i, n in enumerate(names)})
+    reach = 3 * (F.col("p75") - F.col("p25"))
+    far = (F.col("v") < F.col("p25") - reach) | (F.col("v") > F.col("p75") + reach)
+    share = tt.join(q, "k").groupBy("k", *names).agg((F.sum(F.when(far, F.col("n")).otherwise(0)) / F.sum("n")).alias("outlier_share"))
+    skew = column_summary(df, columns).select(F.col("column").alias("k"), "skew")
+    return share.join(skew, "k").withColumnRenamed("k", "column")
+
+
 def psi_numeric(dev: DataFrame, other: DataFrame, column: str, bins: int = 10) -> DataFrame:
     """One row: psi by the development set's deciles, bins closed on the right, nulls a bin, shares of all rows."""
     from tabloom.operators.features import learn_grid

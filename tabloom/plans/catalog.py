@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.plans import feature_queries, merge_queries, profile_queries
+from tabloom.plans import feature_queries, merge_queries, more_queries, profile_queries
 from tabloom.plans.base import Query
 
-_MODULES = (merge_queries, profile_queries, feature_queries)
+_MODULES = (merge_queries, profile_queries, feature_queries, more_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
