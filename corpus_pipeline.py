@@ -38,15 +38,17 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
+    """The document with the least id of each group stays; of documents without an id, one for each text."""
     groups = simhash.near_duplicates(docs)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    named = docs.join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return named.unionByName(docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"]))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated as the mix takes them."""
-    return mixing.apply_mix(docs, mixing.mix(docs))
+    """Documents repeated as the mix takes them. Those without an id, which nothing could tell apart, and those without a word leave."""
+    named = docs.where(F.col("doc_id").isNotNull())
+    return mixing.apply_mix(named, mixing.mix(named))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, "^.*?://([^/?#]*)", 1)
+    rest = F.regexp_extract(url, "(?s)^.*?://([^/?#]*)", 1)
     return F.coalesce(F.translate(rest, _UPPER, _LOWER), F.lit(""))
 
 

@@ -306,3 +306,17 @@ def test_pipeline(spark, small):
     assert all(labels.get(i) != 0 for i in kept["quality_rules"])
     assert corpus_pipeline.STAGES[-1][1](spark, docs, small).select("sequence_id").distinct().count() > 0
     assert zlib.crc32(b"") == 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, docs, rows, empty, small):
+    """Nulls in every column, repeated rows, empty tables: no stage breaks, and clean documents stay."""
+    import corpus_pipeline
+
+    for start in (docs.select("doc_id", "text", "lang", "source", "n_chars"), empty):
+        now = start
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, small).cache()
+            ids = [r.doc_id for r in now.select("doc_id").collect()]
+            if name == "near_duplicates":
+                assert len(set(ids) - {None}) == len([i for i in ids if i is not None])
+        assert (now.count() == 0) == (start is empty)
