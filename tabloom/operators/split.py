@@ -122,13 +122,13 @@ def _sizes(n: Column, ratios: list[tuple[str, float]]) -> list[tuple[str, Column
     return out
 
 
-def _ranks(df: DataFrame, strata: Sequence[str], key: Column, buckets: int = 256) -> DataFrame:
+def _ranks(df: DataFrame, strata: Sequence[str], key: Column) -> DataFrame:
     """Add ``__rank`` (from 0, by key within the stratum) and ``__n`` (the stratum's rows).
 
-    The key is a digest in hex, so its first two digits deal a stratum into 256 ranges of
+    The key is a digest in hex, so its first four digits deal a stratum into 65,536 ranges of
     equal size: no stratum is sorted in one task, and the ranges' offsets are one small table.
     """
-    marked = df.withColumn("__key", key).withColumn("__range", F.conv(F.substring("__key", 1, 2), 16, 10).cast("int"))
+    marked = df.withColumn("__key", key).withColumn("__range", F.conv(F.substring("__key", 1, 4), 16, 10).cast("int"))
     names = [f"__s{i}" for i in range(len(strata))]
     marked = marked.withColumns({n: F.col(s) for n, s in zip(names, strata, strict=True)})
     sums = marked.groupBy(*names, "__range").agg(F.count(F.lit(1)).alias("__c"))
