@@ -22,8 +22,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identified language go; lang stays as it was given."""
     prepare(spark)
     model = langid.fit(docs, crc_mod(F.col("doc_id"), 3) != 1)
-    found = langid.predict(docs, model, keep=tuple(docs.columns))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    found = langid.predict(docs, model, keep=tuple(docs.columns), out=("__lang", "__share"))
+    return found.where((F.col("__lang") != langid.UNKNOWN) & (F.col("__share") >= LEAST_SHARE)).select(*docs.columns)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

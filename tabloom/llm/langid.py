@@ -141,8 +141,8 @@ def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_c
 _LONG = 1 << 18
 
 
-def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), slice_bytes: int = 2 << 20) -> DataFrame:
-    """Per row: the id, the ``keep`` columns as they are, lang_pred and score (0 to 1: the share of the best language)."""
+def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score"), slice_bytes: int = 2 << 20) -> DataFrame:
+    """Per row: the id, the ``keep`` columns as they are, and under the names ``out`` the language and its score (0 to 1: the share of the best language)."""
     width = len(model.languages)
     keep = tuple(c for c in keep if c != id_col)
     sent = {id_col: id_col, **{c: c for c in keep}} | ({} if text_col in keep else {"__text": text_col})
@@ -199,10 +199,10 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 scores.append(float(1.0 / np.exp(total - total[best]).sum()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(batch.column(1 + i) for i in range(len(keep))), pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
-                names=[id_col, *keep, "lang_pred", "score"],
+                names=[id_col, *keep, *out],
             )
 
-    schema = ", ".join([f"`{id_col}` {id_field(df, id_col)}", *(f"`{c}` {id_field(df, c)}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([f"`{id_col}` {id_field(df, id_col)}", *(f"`{c}` {id_field(df, c)}" for c in keep), f"`{out[0]}` string", f"`{out[1]}` double"])
     return only(df, **sent).mapInArrow(work, schema)
 
 
