@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tabloom.functions.exprs import num, spelling_key, turkish_lower
 from tabloom.operators import measures
 from tabloom.operators.binning import Bin, _distinct, _shares
 from tabloom.operators.checks import EMPTY_TEXTS, FIRST_YEAR, LAST_YEAR
+from tabloom.sources.store import materialise
 
 RARE, RARE_NAME, OTHER, TOP = 30, "Seyrek", "Diğer", 20
 Z = 2.58
@@ -186,31 +188,23 @@ def text_features(df: DataFrame, column: str, flags: Sequence[str]) -> DataFrame
     return df.withColumns({f"{column}__KELIME": F.size(w), **{f"{column}__K_{x}": F.array_contains(w, x).cast("int") for x in flags}})
 
 
-def text_score(df: DataFrame, train: Column, column: str, target: str, keys: Sequence[str], most_words: int = 2_000) -> DataFrame:
+def text_score(df: DataFrame, train: Column, column: str, target: str, keys: Sequence[str]) -> DataFrame:
     """Add K__SKOR, the mean WoE of a text's known words; on train rows out of fold (5 folds by the row's key).
 
-    The word tables hold at most most_words words a fold.
+    A score depends on the text and on the fold left out alone, so exploded words meet the word
+    tables and are averaged by these two; neither null nor repeated keys matter. Support bounds
+    the broadcast: a fold's table has at most 200 times the mean distinct words of a text.
     """
     from tabloom.operators.features import fold_of
 
     fold = fold_of(keys)
-    tables = {}
-    for f in [None, *range(5)]:
-        part = word_table(df.where(train & (fold != f) if f is not None else train), column, target)
-        tables[f] = {r.word: r.woe for r in part.orderBy(F.desc("n"), "word").limit(most_words).collect()}
-    w = words(F.col(f"`{column}`"))
-
-    def mean(table: dict[str, float]) -> Column:
-        if not table:
-            return F.lit(None).cast("double")
-        known = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
-        hits = F.filter(F.transform(w, lambda x: F.try_element_at(known, x)), lambda v: v.isNotNull())
-        return F.try_divide(F.aggregate(hits, F.lit(0.0), lambda a, v: a + v), F.size(hits).cast("double"))
-
-    score = mean(tables[None])
-    for f in range(5):
-        score = F.when(train & (fold == f), mean(tables[f])).otherwise(score)
-    return df.withColumn(f"{column}__SKOR", score)
+    parts = [word_table(df.where(train & (fold != f)) if f >= 0 else df.where(train), column, target).select("word", "woe", F.lit(f).alias("__f")) for f in range(-1, 5)]
+    tables = materialise(reduce(lambda a, b: a.unionAll(b), parts), "words")
+    text = F.col(f"`{column}`")
+    rows = df.drop(f"{column}__SKOR").withColumns({"__f": F.when(train, F.coalesce(fold, F.lit(-1))).otherwise(-1).cast("int"), "__k": F.sha2(text.cast("string"), 256)})
+    hits = rows.select("__k", "__f", F.explode(words(text)).alias("word")).join(F.broadcast(tables), ["word", "__f"])
+    means = hits.groupBy("__k", "__f").agg(F.avg("woe").alias(f"{column}__SKOR"))
+    return rows.join(means, ["__k", "__f"], "left").select(*[f"`{c}`" for c in df.columns if c != f"{column}__SKOR"], f"`{column}__SKOR`")
 
 
 def topics(df: DataFrame, column: str, key: str, k: int = 8, vocabulary: int = 2_000, seed: int = 42) -> DataFrame:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 import oracle
+from tabloom.operators import features, remedies
 from tabloom.plans import catalog
 from tabloom.plans.base import OBS
 
@@ -28,3 +30,29 @@ def test_all_months(spark, small, con, name):
     df = QUERIES[name](spark, small)
     assert df.count() == con.execute("SELECT count(DISTINCT (o_custkey, year(o_orderdate), month(o_orderdate))) FROM orders").fetchone()[0]
     assert oracle.differences(df, con, SQL[name].replace(OBS, ALL_OBS)) == []
+
+
+def _word(i: int) -> str:
+    return "q" + "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def test_score_of_all_words(spark):
+    """2,400 words with support, the last 400 in every fifth text only; keys and texts repeat, and one text is null."""
+    rows = [(i // 2, None if i == 7 else " ".join(_word(j) for j in (range(2000) if i % 5 else range(1990, 2400))), int(i % 5 == 0 or i % 7 == 0), i < 300) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, t string, y int, tr boolean")
+    folds = {r.id: r.f for r in df.select("id", features.fold_of(["id"]).alias("f")).collect()}
+    got = sorted(((r.id, r.t or "", r.tr, r["t__SKOR"]) for r in remedies.text_score(df, F.col("tr"), "t", "y", ["id"]).collect()), key=repr)
+    woe = {}
+    for f in [-1, *range(5)]:
+        part = df.where("tr") if f < 0 else df.where(F.col("tr") & (features.fold_of(["id"]) != f))
+        woe[f] = {r.word: r.woe for r in remedies.word_table(part, "t", "y").collect()}
+    assert len(woe[-1]) == 2400
+    want = []
+    for i, text, _, tr in rows:
+        own = woe[folds[i] if tr else -1]
+        hits = [own[w] for w in (text or "").split() if w in own]
+        want.append((i, text or "", tr, sum(hits) / len(hits) if hits else None))
+    want.sort(key=repr)
+    assert len(got) == len(want) == 400
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
