@@ -140,7 +140,7 @@ def conversion_suggestions(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def model_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Forest importances, columns and their null indicators together."""
-    values = select.importance(items(spark, sf).where("tr"), ["l_quantity", "disc", "tax"], "y", trees=10, depth=4)
+    values = select.importance(items(spark, sf).where("tr"), ["l_quantity", "disc", "tax"], "y")
     return spark.createDataFrame([(c, float(round(v, 6))) for c, v in values.items()], "column string, importance double")
 
 
@@ -148,10 +148,10 @@ def model_importance(spark: SparkSession, sf: str) -> DataFrame:
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Boosted trees on a base and on an enlarged column set."""
     df = items(spark, sf)
-    return select.compare(df.where("tr"), df.where("NOT tr"), ["disc", "tax"], ["l_quantity"], "y", seeds=(1, 2), iterations=5)
+    return select.compare(df.where("tr"), df.where("NOT tr"), ["disc", "tax"], ["l_quantity"], "y")
 
 
 @R.add()
 def text_topics(spark: SparkSession, sf: str) -> DataFrame:
     """The strongest topic of each document."""
-    return remedies.topics(t(spark, sf, "documents"), "text", "doc_id", k=4)
+    return remedies.topics(t(spark, sf, "documents"), "text", "doc_id")

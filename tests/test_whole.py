@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from tabloom.operators import features, remedies
+from tabloom.operators import features, remedies, select
 from tabloom.plans import catalog
 from tabloom.plans.base import OBS
 
@@ -56,3 +58,28 @@ def test_score_of_all_words(spark):
     assert len(got) == len(want) == 400
     for a, b in zip(got, want, strict=True):
         assert a[:3] == b[:3] and a[3] == pytest.approx(b[3])
+
+
+def test_models_with_defaults(spark, small, monkeypatch):
+    """The registered model queries run at full settings; calls are recorded, no model is fitted here."""
+    calls = {}
+
+    def record(module, name, out):
+        real = inspect.signature(getattr(module, name))
+
+        def stub(*args, **kwargs):
+            bound = real.bind(*args, **kwargs)
+            bound.apply_defaults()
+            calls[name] = bound.arguments
+            return out
+
+        monkeypatch.setattr(module, name, stub)
+
+    record(select, "importance", {"a": 1.0})
+    record(select, "compare", spark.range(1))
+    record(remedies, "topics", spark.range(1))
+    for name in ("model_importance", "model_comparison", "text_topics"):
+        QUERIES[name](spark, small)
+    assert (calls["importance"]["trees"], calls["importance"]["depth"]) == (150, 8)
+    assert (calls["compare"]["seeds"], calls["compare"]["iterations"]) == ((1, 2, 3, 4, 5), 20)
+    assert calls["topics"]["k"] == 8
