@@ -122,9 +122,9 @@ def names_periods(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add(f"""SELECT o_custkey, mon, CAST(sum(amt) OVER (PARTITION BY o_custkey ORDER BY mon) * 0 AS INT) AS z FROM (SELECT o_custkey, mon, sum(coalesce(amt, 0)) AS amt FROM {ORDERS} GROUP BY 1, 2)""")
 def months_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """Transactions summed to months: the input of all windows."""
+    """Transactions summed to months, the input of all windows: the sum of filled amounts (null without any), their count, and rows."""
     out = merge.monthly(orders(spark, sf), ["o_custkey"], "mon", {"amt": {"sum"}}, ["mon"])
-    return out.select("o_custkey", F.col("__m").alias("mon"), F.lit(0).alias("z"))
+    return rounded(out.select("o_custkey", F.col("__m").alias("mon"), F.col("amt__s").alias("total"), F.col("amt__n").alias("filled"), F.col("__rows").alias("n_rows")), "total", places=2)
 
 
 @R.add("""SELECT 'p' AS "column", 'donem_ym6' AS code UNION ALL SELECT 'd', 'tarih_ymd8' UNION ALL SELECT 'n', 'sayisal_nokta' UNION ALL SELECT 't', 'tarih_ymd'""")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import oracle
 from tabloom.operators import features, remedies, select
 from tabloom.plans import catalog
-from tabloom.plans.base import OBS
+from tabloom.plans.base import OBS, ORDERS
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 #: The registered SQL still has observations of two years only; here it gets those of all months.
@@ -83,3 +83,8 @@ def test_models_with_defaults(spark, small, monkeypatch):
     assert (calls["importance"]["trees"], calls["importance"]["depth"]) == (150, 8)
     assert (calls["compare"]["seeds"], calls["compare"]["iterations"]) == ((1, 2, 3, 4, 5), 20)
     assert calls["topics"]["k"] == 8
+
+
+def test_months_have_amounts(spark, small, con):
+    sql = f"SELECT o_custkey, mon, round(sum(amt), 2) AS total, count(amt) AS filled, count(*) AS n_rows FROM {ORDERS} GROUP BY 1, 2"
+    assert oracle.differences(QUERIES["months_grid"](spark, small), con, sql) == []
