@@ -22,8 +22,12 @@ _ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def prepare(spark: SparkSession) -> None:
-    """Small Arrow batches: whole texts travel to Python, and several batches are in memory at a time on either side."""
-    if int(str(spark.conf.get(_ARROW)).rstrip("b")) == _ARROW_DEFAULT:
+    """Small Arrow batches: whole texts travel to Python, and several batches are in memory at a time on either side.
+
+    DataFrames are lazy and read this setting when they run, so it stays set; a session that
+    chose a size of its own, in whatever notation, keeps it.
+    """
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(str(spark.conf.get(_ARROW))) == _ARROW_DEFAULT:
         spark.conf.set(_ARROW, ARROW_BYTES)
 
 
@@ -63,6 +67,31 @@ def id_field(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 
 
+#: At most so many keys are broadcast by ``lookup``.
+HEAVY_KEYS = 20_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, key: str, times: str, total: int, least: int = 1_000) -> DataFrame:
+    """Inner join of rows with found, which has one row for each key and in ``times`` how many rows ask for it.
+
+    Keys of more than ``least`` rows, and more than total / HEAVY_KEYS, are answered by a
+    broadcast: of these there are fewer than HEAVY_KEYS, as their rows add up to total. The
+    others are joined by a shuffle, in which no key is large.
+    """
+    heavy = F.col(times) > max(least, total // HEAVY_KEYS)
+    some = F.broadcast(found.where(heavy).drop(times))
+    light = rows.join(F.broadcast(found.where(heavy).select(key)), key, "left_anti").join(found.where(~heavy).drop(times), key)
+    return rows.join(some, key).unionByName(light)
+
+
+def free(columns: list[str], name: str) -> str:
+    """A column name like ``name`` that is not taken (names are compared as Spark does, without case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Exactly the named input columns, under the operator's own names.
 
@@ -71,4 +100,4 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
 
 
-__all__ = ["SPACES", "WORD", "crc_mod", "id_field", "materialise", "only", "prepare", "slices", "table"]
+__all__ = ["SPACES", "WORD", "crc_mod", "free", "id_field", "lookup", "materialise", "only", "prepare", "slices", "table"]

@@ -1,24 +1,21 @@
 """Connected components of links, by alternating star contractions.
 
-A contraction is one shuffle: links are dealt by one end and sorted by (end, other end), so
-that the least neighbour of a node comes first and its group streams by without being held,
-however many links it has. A round is two contractions, written to the shared folder; nothing
-is collected but two numbers a round.
+A contraction needs the least neighbour of every node: one aggregation, combined before its
+shuffle, so a node may have any number of links. The links then look their node's answer up;
+nodes with very many links are answered by a small broadcast (``common.lookup``), so that no
+node's links gather in one task. A round is two contractions, written to the shared folder;
+nothing is collected but two numbers a round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialise
+from tabloom.llm.common import lookup, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, total: int, heavy_links: int) -> DataFrame:
     """One contraction of edges (a, b) with a > b, to edges (a, b) with a > b.
 
     Large: every node hands its larger neighbours to the least of its neighbourhood. Small:
@@ -27,44 +24,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     rows = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         rows = rows.unionAll(edges.select("b", "a"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node = least = last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            u, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            first = np.concatenate(([node is None or u[0] != node], u[1:] != u[:-1]))
-            again = np.concatenate(([not first[0] and v[0] == last], (u[1:] == u[:-1]) & (v[1:] == v[:-1])))
-            heads = v if not large else np.minimum(u, v)
-            # the least of a row's group: its head in this batch, or the one held from the batch before
-            place = np.maximum.accumulate(np.where(first, np.arange(len(u)), -1))
-            m = np.where(place >= 0, heads[place], heads[0] if least is None else least)
-            node, least, last = u[-1], m[-1], v[-1]
-            keep = ~again & ((v > u) if large else ~first)
-            a, b = v[keep], m[keep]
-            if not large:
-                a, b = np.concatenate((a, u[first])), np.concatenate((b, m[first]))
-            real = a != b
-            yield pa.RecordBatch.from_arrays([pa.array(a[real]), pa.array(b[real])], names=["a", "b"])
-
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, "u").sortWithinPartitions("u", "v").mapInArrow(work, "a long, b long")
+    least = F.least(F.min("v"), F.col("u")) if large else F.min("v")
+    nodes = rows.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    known = lookup(rows, nodes, "u", "n", total * (2 if large else 1), heavy_links)
+    found = known.where(F.col("v") > F.col("u") if large else F.col("v") > F.col("m")).select(F.col("v").alias("a"), F.col("m").alias("b"))
+    if not large:
+        found = found.unionAll(nodes.select("u", "m"))
+    return found.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", heavy_links: int = 1_000) -> DataFrame:
     """node and root (the least node of its component) for every node of a link; links are integers in either order.
 
     Null ends and links of a node to itself are no links; links may repeat.
     """
     x, y = F.col(f"`{a}`").cast("long"), F.col(f"`{b}`").cast("long")
     now = edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b")).where(x.isNotNull() & y.isNotNull() & (x != y))
-    mark = None
+    mark, total = None, now.count()
     while True:
-        now = materialise(_star(_star(now, True), False), "links")
+        now = materialise(_star(materialise(_star(now, True, total, heavy_links), "links"), False, total, heavy_links), "links")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if not seen.n or (seen.n, seen.h) == mark:
             # every link now leads from a node to its root, once
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
-        mark = (seen.n, seen.h)
+        mark, total = (seen.n, seen.h), seen.n

@@ -19,6 +19,11 @@ A bucket above ``max_bucket`` is not worked on: its members are dealt again by t
 bits, level after level. Each level fixes about two fifths of the free bits, so the fourth
 has at most a few hundred members a bucket; nothing is capped or lost.
 
+Texts of a given similarity of shingle sets lie farther apart than a radius of few bits. For
+them (``similarity``), buckets are equal classes of shingles, which texts that differ little
+share, and wide fingerprints of 1,024 bits judge the pairs: at a similarity of 0.8 they differ
+in 155 bits with a standard error of 11, and the limit is at 166.
+
 A text without words has fingerprint zero, which links like any other. Null ids are rows as
 all others; a component's id is its least non-null id. Copies of a text share a fingerprint
 and are one node.
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import id_field, materialise, only, slices
+from tabloom.llm.common import id_field, lookup, materialise, only, slices
 from tabloom.llm.components import components
 
 SEED = 42
@@ -197,12 +202,150 @@ def links(classes: DataFrame, radius: int = 3, max_bucket: int = 2_000, spare: i
         rows = large.select(F.col("a").alias("key"), "mask", F.col("b").alias("fp"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, max_bucket: int = 2_000) -> DataFrame:
-    """Per row: the id, fp and component_id (the least id reachable, its own included)."""
-    rows = materialise(fingerprints(df, id_col, text_col, width), "simhash-fps")
-    classes = materialise(rows.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least")), "simhash-classes")
-    roots = materialise(components(links(classes.select("fp"), radius, max_bucket)), "simhash-roots")
-    linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
-    least = linked.where("linked").groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = linked.where("linked").select("fp", "root").join(least, "root").select("fp", "component_id").unionAll(linked.where("NOT linked").select("fp", F.col("least").alias("component_id")))
-    return rows.join(answer, "fp").select(F.col(f"`{id_col}`"), "fp", "component_id")
+def _answers(rows: DataFrame, id_col: str, radius: int, max_bucket: int, wide: DataFrame | None) -> DataFrame:
+    """Rows (id, fp) with the least id of their component; wide: links among fps beside those within the radius."""
+    classes = materialise(rows.groupBy("fp").agg(F.min(f"`{id_col}`").alias("least"), F.count("*").alias("n")), "simhash-classes")
+    near = links(classes.select("fp"), radius, max_bucket)
+    if wide is not None:
+        near = near.unionAll(wide)
+    roots = materialise(components(near), "simhash-roots")
+    linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
+    groups = linked.where("linked").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    own = linked.where("linked").select("fp", "n", "root")
+    answer = lookup(own, groups, "root", "members", classes.count()).select("fp", "n", "component_id")
+    answer = answer.unionAll(linked.where("NOT linked").select("fp", "n", F.col("least").alias("component_id")))
+    # a fingerprint of very many copies is answered by a broadcast
+    return lookup(rows, answer, "fp", "n", rows.count()).select(F.col(f"`{id_col}`"), "fp", "component_id")
+
+
+#: Lanes of 64 bits of a wide fingerprint, its class size and the classes of a text that become buckets.
+LANES = 16
+CLASS_SHINGLES, CLASSES = 3, 12
+_SEEDS = np.array([xxhash.xxh64_intdigest(b"lane %d" % i, SEED) for i in range(LANES)], np.uint64)[:, None]
+
+
+def wide_fingerprint(hashes: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """LANES fingerprints side by side, each of the hashes mixed with a seed of its own; ``step`` hashes at a time."""
+    counts = np.zeros((LANES, 64), np.int64)
+    for at in range(0, len(hashes), step):
+        mixed = _mix(hashes[None, at : at + step] ^ _SEEDS)
+        marks = np.arange(0, mixed.shape[1], 255)
+        for bit in range(8):
+            lanes = np.add.reduceat((mixed >> np.uint64(bit)) & _LANES, marks, axis=1)
+            counts[:, bit::8] += lanes.astype("<u8").view(np.uint8).reshape(LANES, -1, 8).sum(axis=1, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes), axis=1, bitorder="little").view("<u8").reshape(LANES)
+
+
+def class_keys(hashes: np.ndarray) -> list[int]:
+    """Keys of classes of a text's distinct shingles; texts that differ little have equal classes.
+
+    Shingles are dealt by their hash into 2^g classes of about CLASS_SHINGLES to twice as
+    many; the first CLASSES of them give a key each, of all their shingles. Texts that are up
+    to a quarter larger may have one more g: a text gives the keys of that g, too.
+    """
+    own = np.unique(hashes)
+    if not len(own):
+        return []
+    place, keys = own >> np.uint64(32), []
+    for g in sorted({max(0, int(np.log2(len(own) * f / CLASS_SHINGLES))) for f in (1.0, 1.25)}):
+        classes = place & np.uint64((1 << g) - 1)
+        for k in range(min(1 << g, CLASSES)):
+            members = own[classes == k]
+            if len(members):
+                keys.append(xxhash.xxh64_intdigest(members.tobytes(), g << 8 | k))
+    return np.array(keys, np.uint64).view(np.int64).tolist()
+
+
+def wide_radius(similarity: float) -> int:
+    """The differing bits at which texts of this similarity of shingle sets lie, and one standard error more."""
+    share = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    bits = 64 * LANES
+    return int(bits * share + (bits * share * (1 - share)) ** 0.5)
+
+
+def link_wide(fps: np.ndarray, prints: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links of a bucket that connect what all links among its wide fingerprints connect; linked members leave at once."""
+    rest, links = np.arange(len(fps)), []
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        while front and len(rest):
+            x = front.pop()
+            near = np.bitwise_count(prints[rest] ^ prints[x]).sum(axis=1, dtype=np.int64) <= radius
+            if near.any():
+                hit = rest[near]
+                links += [(int(fps[x]), int(fps[y])) for y in hit]
+                front += hit.tolist()
+                rest = rest[~near]
+    return links
+
+
+def _wide_rows(df: DataFrame, id_col: str, text_col: str, width: int, slice_bytes: int = 4 << 20) -> DataFrame:
+    """Per row: the id, fp, print (the wide fingerprint) and keys (of its classes)."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, slice_bytes):
+            rows = []
+            for text in texts:
+                hashes = shingle_hashes(text, width)
+                rows.append((fingerprint(hashes), wide_fingerprint(hashes).tobytes(), class_keys(hashes)))
+            fps, prints, keys = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=[id_col, "fp", "print", "keys"])
+
+    return only(df, **{id_col: id_col, "__text": text_col}).mapInArrow(work, f"`{id_col}` {id_field(df, id_col)}, fp long, print binary, keys array<long>")
+
+
+def wide_links(rows: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """Links (a, b) among fingerprints whose wide fingerprints lie within the radius and that share a class key.
+
+    Keys that only one fingerprint has leave before any wide fingerprint is moved. The members
+    of a key of more than ``max_bucket`` are dealt into blocks, and every two blocks make a
+    bucket: no pair of the key is left out.
+    """
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = materialise(rows.groupBy("fp").agg(F.min(F.struct("print", "keys")).alias("x")).select("fp", "x.print", "x.keys"), "simhash-wide")
+    keyed = one.select("fp", F.explode("keys").alias("key"))
+    total = one.agg(F.sum(F.size("keys"))).first()[0] or 0
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = F.ceil(F.col("n") / max_bucket).cast("int").alias("blocks")
+    met = lookup(keyed, shared.select("key", "n", blocks), "key", "n", total)
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
+    dealt = met.select("fp", F.explode(pairs).alias("bucket")).join(one.select("fp", "print"), "fp").select("bucket", "fp", "print")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: int | None = None
+        fps: list[int] = []
+        prints: list[bytes] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if len(fps) > 1:
+                got = link_wide(np.array(fps, np.int64), np.frombuffer(b"".join(prints), "<u8").reshape(len(fps), LANES), radius)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*got, strict=True)], names=["a", "b"])
+
+        for batch in batches:
+            for bucket, fp, wide in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if bucket != now:
+                    yield from close()
+                    now, fps, prints = bucket, [], []
+                fps.append(fp)
+                prints.append(wide)
+        yield from close()
+
+    return materialise(dealt.repartition(parts, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(work, "a long, b long").distinct(), "simhash-wide-links")
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3, max_bucket: int = 2_000, similarity: float | None = None
+) -> DataFrame:
+    """Per row: the id, fp and component_id (the least id reachable, its own included).
+
+    With ``similarity`` texts link, beside those within the radius, if their shingle sets are
+    about as similar as that, as judged by wide fingerprints (``wide_links``).
+    """
+    if similarity is None:
+        rows = materialise(fingerprints(df, id_col, text_col, width), "simhash-fps")
+        return _answers(rows, id_col, radius, max_bucket, None)
+    rows = materialise(_wide_rows(df, id_col, text_col, width), "simhash-fps")
+    return _answers(rows.select(f"`{id_col}`", "fp"), id_col, radius, max_bucket, wide_links(rows, wide_radius(similarity), max_bucket))
