@@ -2,30 +2,41 @@
 
 A fixed rule names a host, which stands for all its subdomains, and a path prefix; the
 longest rule that fits decides. The URLs that a rule decides are labels: FP-growth mines
-token combinations of them together with the label, and rules "combination -> label" that
-have the support and the confidence asked for, and that no shorter rule already implies with
-at least the same confidence, are kept. They match through an inverted index: a posting
-(token, rule, size of the rule's combination) for every token, joined to the URL's tokens; a
-rule fires when as many postings met as its combination has tokens. The most confident rule
-that fires (ties: more support, then the rule's text) decides an URL without a fixed rule;
-if none fires, the more frequent label does.
-
-Learning reads a bounded sample of at most about ``max_learn`` labelled URLs, by a hash of
-the id; the mined rules are bounded by ``max_rules`` and so is the index, which is why it is
-broadcast. Null URLs, and those without ``://``, have an empty host and path, no tokens and
-no fixed rule. Repeated rows give repeated results; without any label the verdict is allow.
+token combinations of them, and rules "combination -> label" that have the support and the
+confidence asked for, and that no shorter rule already implies with at least the same
+confidence, are kept.
+
+Mining reads every labelled URL, none is sampled: equal token lists are one basket with a
+weight, tokens below the support leave, and every basket sends to each of its tokens the more
+frequent tokens before it. These conditional baskets, summed, are all that is needed about
+the combinations that end in the token; each token's are mined on their own, by an FP-tree.
+A combination grows no further when it has ``max_tokens`` tokens (that is what a rule is
+here), when a part of it lies in the same URLs, or when all its URLs have one label: what it
+would grow into is implied by it. So a long URL that repeats is no more than its tokens.
+
+Rules match through an inverted index: a posting (token, rule, size of the combination) for
+every token, joined to the URL's tokens; a rule fires when as many postings met as its
+combination has tokens. The most confident rule that fires (ties: more support, fewer tokens,
+then the rule's text) decides an URL without a fixed rule; if none fires, the more frequent
+label does. The number of rules has no limit; the join finds out itself whether the index is
+small enough for a broadcast.
+
+Null URLs, and those without ``://``, have an empty host and path, no tokens and no fixed
+rule. Repeated rows give repeated results; without any label the verdict is allow.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import materialise
+from tabloom.llm.common import lookup, materialise
 
 ALLOW, BLOCK = "allow", "block"
-_LABEL = "="
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,58 +66,139 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(labels, segments))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int, max_rules: int) -> list[tuple[list[str], str, float, float]]:
-    """(tokens, label, confidence, support) of the rules kept. labelled: tokens (array) and verdict.
-
-    Tokens that lie in every URL of the sample say nothing and are left out of the items.
+class Tree:
+    """An FP-tree: baskets as paths of items, the most frequent first; nodes carry counts by label."""
+
+    def __init__(self) -> None:
+        self.children: list[dict[str, int]] = [{}]
+        self.parent, self.item, self.counts = [0], [""], [[0, 0]]
+        self.places: dict[str, list[int]] = {}
+
+    def add(self, items: list[str], allow: int, block: int) -> None:
+        at = 0
+        for item in items:
+            down = self.children[at].get(item)
+            if down is None:
+                down = self.children[at][item] = len(self.parent)
+                self.children.append({})
+                self.parent.append(at)
+                self.item.append(item)
+                self.counts.append([0, 0])
+                self.places.setdefault(item, []).append(down)
+            self.counts[down][0] += allow
+            self.counts[down][1] += block
+            at = down
+
+    def total(self, item: str) -> tuple[int, int]:
+        own = [self.counts[n] for n in self.places[item]]
+        return sum(c[0] for c in own), sum(c[1] for c in own)
+
+    def before(self, item: str) -> Iterator[tuple[list[str], int, int]]:
+        """The conditional baskets of an item."""
+        for n in self.places[item]:
+            path, at = [], self.parent[n]
+            while at:
+                path.append(self.item[at])
+                at = self.parent[at]
+            yield path[::-1], *self.counts[n]
+
+
+def grow(baskets: Iterator[tuple[list[str], int, int]], found: list[str], counts: tuple[int, int], least: int, max_tokens: int) -> Iterator[tuple[list[str], int, int]]:
+    """The combinations that contain ``found`` (in the URLs that the baskets stand for; counts are theirs), with their counts."""
+    yield found, *counts
+    if len(found) == max_tokens or min(counts) == 0:  # one label: whatever contains it is implied
+        return
+    tree = Tree()
+    for items, allow, block in baskets:
+        tree.add(items, allow, block)
+    own = {item: tree.total(item) for item in tree.places}
+    for item, n in own.items():
+        if max(n) >= least and n != counts:  # in all of the same URLs: implied, too
+            kept = (([i for i in items if max(own[i]) >= least and own[i] != counts], a, b) for items, a, b in tree.before(item))
+            yield from grow(kept, [*found, item], n, least, max_tokens)
+
+
+def mined_rules(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int) -> DataFrame:
+    """tokens (sorted), label, confidence and support of the rules kept. labelled: tokens (array) and verdict.
+
+    Tokens that lie in every URL say nothing and are left out.
     """
-    n = labelled.count()
-    if not n:
-        return []
-    everywhere = [r.t for r in labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") == n).collect()]
-    items = F.array_except("tokens", F.array(*[F.lit(t) for t in everywhere]).cast("array<string>"))
-    baskets = labelled.select(F.concat(items, F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.col("consequent")[0].startswith(_LABEL) & ~F.exists("antecedent", lambda t: t.startswith(_LABEL)) & (F.size("antecedent") <= max_tokens))
-    found = [(sorted(r.antecedent), r.consequent[0][1:], r.confidence, r.support) for r in rules.orderBy(F.size("antecedent"), F.desc("support"), F.array_join(F.array_sort("antecedent"), " "), F.col("consequent")[0]).limit(4 * max_rules).collect()]
-    kept: list[tuple[list[str], str, float, float]] = []
-    best: dict[tuple[str, frozenset[str]], float] = {}
-    for tokens, label, confidence, support in found:  # shorter ones first
-        own = frozenset(tokens)
-        if not any(o < own and lab == label and c >= confidence for (lab, o), c in best.items()):
-            best[label, own] = confidence
-            kept.append((tokens, label, confidence, support))
-        if len(kept) == max_rules:
-            break
-    return kept
-
-
-def judge(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", max_learn: int = 200_000, min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 3, max_rules: int = 500) -> DataFrame:
+    spark = labelled.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    both = [F.sum(F.when(F.col("verdict") == what, F.col("n")).otherwise(0)).alias(name) for name, what in (("a", ALLOW), ("b", BLOCK))]
+    weighted = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n"))
+    baskets = materialise(weighted.groupBy("tokens").agg(*both).withColumn("basket", F.monotonically_increasing_id()), "url-baskets")
+    n = (baskets.agg(F.sum(F.col("a") + F.col("b"))).first()[0]) or 0
+    least = max(1, math.ceil(min_support * n - 1e-9))
+    each = baskets.select("basket", "a", "b", F.explode(F.array_distinct("tokens")).alias("token"))
+    items = each.groupBy("token").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb")).where((F.greatest("ta", "tb") >= least) & (F.col("ta") + F.col("tb") < n))
+    ranked = F.struct((-F.col("ta") - F.col("tb")).alias("r"), F.col("token").alias("t"))
+    lists = each.join(items, "token").groupBy("basket", "a", "b").agg(F.sort_array(F.collect_list(ranked)).alias("items"))
+    lists = lists.groupBy(F.col("items.t").alias("items")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    sent = lists.select("a", "b", "items", F.posexplode("items").alias("at", "token"))
+    paths = sent.groupBy("token", F.slice("items", F.lit(1), F.col("at")).alias("path")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: str | None = None
+        own: list[tuple[list[str], int, int]] = []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if own:
+                counts = sum(x[1] for x in own), sum(x[2] for x in own)
+                got = [(sorted(tokens), label, c, a + b) for tokens, a, b in grow(iter(own), [now], counts, least, max_tokens) for label, c in ((ALLOW, a), (BLOCK, b)) if c >= least and c >= min_confidence * (a + b)]
+                if got:
+                    tokens, labels, c, m = zip(*got, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array(labels), pa.array(c, pa.int64()), pa.array(m, pa.int64())], names=["tokens", "label", "c", "m"])
+
+        for batch in batches:
+            for token, path, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if token != now:
+                    yield from close()
+                    now, own = token, []
+                own.append((path, a, b))
+        yield from close()
+
+    mined = paths.select("token", "path", "a", "b").repartition(parts, "token").sortWithinPartitions("token").mapInArrow(work, "tokens array<string>, label string, c long, m long")
+    rules = materialise(mined.select("tokens", "label", (F.col("c") / F.col("m")).alias("confidence"), (F.col("c") / F.lit(max(n, 1))).alias("support")), "url-rules")
+    # a rule goes if a part of it says the same with at least its confidence: each asks for its proper parts
+    masks = F.sequence(F.lit(1).cast("long"), F.shiftleft(F.lit(1).cast("long"), max_tokens) - 1)
+    part = F.transform(F.filter(masks, lambda m: m < F.expr("shiftleft(1L, size(tokens))") - 1), lambda m: F.filter("tokens", lambda t, i: F.getbit(m, i) == 1))
+    asked = rules.where(F.size("tokens") > 1).select("tokens", "label", "confidence", F.explode(part).alias("part"))
+    better = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("other"))
+    implied = asked.join(better, ["part", "label"]).where(F.col("other") >= F.col("confidence")).select("tokens", "label").distinct()
+    return rules.join(implied, ["tokens", "label"], "left_anti")
+
+
+def mine(labelled: DataFrame, min_support: float, min_confidence: float, max_tokens: int, top: int) -> list[tuple[list[str], str, float, float]]:
+    """A report of the ``top`` rules (the shortest first, then by support): tokens, label, confidence, support."""
+    rules = mined_rules(labelled, min_support, min_confidence, max_tokens)
+    return [(r.tokens, r.label, r.confidence, r.support) for r in rules.orderBy(F.size("tokens"), F.desc("support"), F.array_join("tokens", " "), "label").limit(top).collect()]
+
+
+def judge(df: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", min_support: float = 0.002, min_confidence: float = 0.6, max_tokens: int = 3) -> DataFrame:
     """Per row: the id, host, path, rule (the fixed rule or null), verdict and mined (the association rule that decided, or null).
 
-    rules: (host/path prefix, verdict) pairs.
+    rules: (host/path prefix, verdict) pairs. max_tokens: how many tokens a mined rule joins at most.
     """
     url = F.col(f"`{url_col}`")
     rows = df.select(F.col(f"`{id_col}`").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
     text, verdict = fixed_rule(F.col("host"), F.col("path"), rules)
-    rows = materialise(rows.select("id", "host", "path", text.alias("rule"), verdict.alias("given"), url_tokens(F.col("host"), F.col("path")).alias("tokens"), F.monotonically_increasing_id().alias("row")), "url-rows")
+    rows = materialise(rows.select("id", "host", "path", text.alias("rule"), verdict.alias("given"), url_tokens(F.col("host"), F.col("path")).alias("tokens")), "url-rows")
     labelled = rows.where(F.col("given").isNotNull())
     sums = {r.given: r.n for r in labelled.groupBy("given").agg(F.count("*").alias("n")).collect()}
-    total, unit = sum(sums.values()), 1 << 30
     default = BLOCK if sums.get(BLOCK, 0) > sums.get(ALLOW, 0) else ALLOW
-    share = int(min(unit, unit * max_learn / max(total, 1)))
-    learn = labelled.where(F.pmod(F.xxhash64("id", "host", "path"), F.lit(unit)) < share).select("tokens", F.col("given").alias("verdict"))
-    mined = mine(learn.cache(), min_support, min_confidence, max_tokens, max_rules)
-    learn.unpersist()
-    open_rows = rows.where(F.col("given").isNull())
-    if mined:
-        ranked = sorted(mined, key=lambda r: (-r[2], -r[3], r[0], r[1]))
-        postings = [(token, place, len(tokens), label, " ".join(tokens)) for place, (tokens, label, _, _) in enumerate(ranked) for token in tokens]
-        index = df.sparkSession.createDataFrame(postings, "token string, place int, need int, label string, combination string")
-        met = open_rows.select("row", F.explode("tokens").alias("token")).join(F.broadcast(index), "token").groupBy("row", "place", "need", "label", "combination").agg(F.count("*").alias("n")).where(F.col("n") == F.col("need"))
-        best = met.groupBy("row").agg(F.min(F.struct("place", "label", "combination")).alias("best"))
-        decided = open_rows.join(best, "row", "left").select("id", "host", "path", "rule", F.coalesce(F.col("best.label"), F.lit(default)).alias("verdict"), F.col("best.combination").alias("mined"))
-    else:
-        decided = open_rows.select("id", "host", "path", "rule", F.lit(default).alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    given = rows.where(F.col("given").isNotNull()).select("id", "host", "path", "rule", F.col("given").alias("verdict"), F.lit(None).cast("string").alias("mined"))
-    return given.unionByName(decided).withColumnRenamed("id", id_col)
+    kept = materialise(mined_rules(labelled.select("tokens", F.col("given").alias("verdict")), min_support, min_confidence, max_tokens), "url-kept")
+    rank = F.struct((-F.col("confidence")).alias("c"), (-F.col("support")).alias("s"), F.size("tokens").alias("need"), F.array_join("tokens", " ").alias("combination"), F.col("label"))
+    index = kept.select(rank.alias("rule"), F.explode("tokens").alias("token"))
+    # equal token lists get one verdict, so it is looked up once for each
+    lists = rows.where(F.col("given").isNull()).select("tokens").distinct().withColumn("list", F.monotonically_increasing_id())
+    lists = materialise(lists, "url-lists")
+    met = lists.select("list", F.explode("tokens").alias("token")).join(index, "token").groupBy("list", "rule").agg(F.count("*").alias("n")).where(F.col("n") == F.col("rule.need"))
+    best = met.groupBy("list").agg(F.min("rule").alias("best"))
+    decided = lists.join(best, "list").select("tokens", F.col("best.label").alias("label"), F.col("best.combination").alias("mined"))
+    asked = rows.where(F.col("given").isNull()).groupBy("tokens").agg(F.count("*").alias("n"))
+    open_rows = lookup(rows.where(F.col("given").isNull()), asked.join(decided, "tokens", "left"), "tokens", "n", rows.count())
+    columns = ["id", "host", "path", "rule"]
+    found = open_rows.select(*columns, F.coalesce("label", F.lit(default)).alias("verdict"), "mined")
+    given = labelled.select(*columns, F.col("given").alias("verdict"), F.lit(None).cast("string").alias("mined"))
+    return given.unionByName(found).withColumnRenamed("id", id_col)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.llm import cascade, mixing, simhash
+from tabloom.llm import cascade, mixing, queries, simhash, urlrules
 from tabloom.llm.common import free, lookup, prepare
 from tabloom.llm.components import components
 
@@ -205,3 +205,56 @@ def test_stages_keep_rows_without_and_with_shared_ids(spark, small):
             assert got == Counter([(7, rows[0][1]), (-3, rows[1][1]), (None, rows[2][1]), (None, rows[3][1]), (None, rows[4][1]), (9, "")])
         if name == "mixing":
             assert {t for _, t in got} >= {rows[i][1] for i in (0, 1, 2, 3)}
+
+
+def brute_rules(baskets, support, confidence, most):
+    """All combinations of tokens that lie together in some basket, then the rules that no shorter one implies."""
+    from itertools import combinations
+
+    n = len(baskets)
+    everywhere = set.intersection(*(set(t) for t, _ in baskets)) if baskets else set()
+    rules = {}
+    for c in {frozenset(x) for t, _ in baskets for k in range(1, most + 1) for x in combinations(sorted(set(t) - everywhere), k)}:
+        inside = [v for t, v in baskets if c <= set(t)]
+        for label in ("allow", "block"):
+            m = inside.count(label)
+            if m >= support * n and m >= confidence * len(inside):
+                rules[c, label] = (m / len(inside), m / n)
+    return {(tuple(sorted(c)), label): x for (c, label), x in rules.items() if not any(o < c and lab == label and y[0] >= x[0] for (o, lab), y in rules.items())}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_rules_are_all_rules(spark, seed):
+    rng = random.Random(seed)
+    baskets = [(["e", *rng.sample("abcdfgh", rng.randint(0, 5))], rng.choice(["allow", "block", "block"])) for _ in range(150)]
+    got = {(tuple(r.tokens), r.label): (r.confidence, r.support) for r in urlrules.mined_rules(spark.createDataFrame(baskets, "tokens array<string>, verdict string"), 0.04, 0.55, 3).collect()}
+    want = brute_rules(baskets, 0.04, 0.55, 3)
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in got)
+
+
+def test_a_long_url_that_repeats(spark):
+    """300 times one URL of 30 segments, 20 of 500 segments, and others: as many rules as tokens, at once."""
+    urls = ["http://x.net/es/" + "/".join(f"seg{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))] * 300
+    urls += ["http://y.com/" + "/".join("s" + "q" * i for i in range(500))] * 20
+    urls += [f"http://h{'abcdefgh'[i % 8]}.net/{'es' if i % 3 else 'de'}/t{'uvw'[i % 3]}" for i in range(680)] + [None] * 40
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = urlrules.judge(df, queries.URL_RULES).collect()
+    assert len(got) == len(urls) and {r.verdict for r in got} <= {"allow", "block"}
+
+
+def test_verdicts_against_brute_force(spark):
+    rng = random.Random(5)
+    urls = [f"http://{rng.choice('abcd')}.{rng.choice(['com', 'net', 'org'])}/{rng.choice(['en', 'es', 'fr', 'de'])}/{rng.choice(['x', 'y', 'z'])}" for _ in range(300)]
+    got = urlrules.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), queries.URL_RULES).collect()
+
+    def tokens(r):
+        return [f"h:{x}" for x in r.host.split(".")] + [f"p:{x}" for x in r.path.split("/") if x]
+
+    labelled = [(tokens(r), r.verdict) for r in got if r.rule]
+    rules = sorted(brute_rules(labelled, 0.002, 0.6, 3).items(), key=lambda x: (-x[1][0], -x[1][1], len(x[0][0]), " ".join(x[0][0]), x[0][1]))
+    common = "block" if sum(v == "block" for _, v in labelled) > sum(v == "allow" for _, v in labelled) else "allow"
+    open_rows = [r for r in got if not r.rule]
+    assert open_rows
+    for r in open_rows:
+        fires = next(((" ".join(c), label) for (c, label), _ in rules if set(c) <= set(tokens(r))), (None, common))
+        assert (r.mined, r.verdict) == fires
