@@ -4,9 +4,13 @@ A word that the training sample knows is scored by its log frequency in each lan
 unseen word falls back to the longest character n-grams of it that are known, from
 ``MAX_GRAM`` characters down to one. A text's language is the one with the largest sum.
 
-Learning reads a bounded sample: about ``per_lang`` documents of each language, taken by a
-hash of the id, so that it is the same on every run; all else covers every whole text. The
-model is bounded by ``max_words`` words and ``max_grams`` n-grams per language and length.
+Learning reads a bounded sample: of every language that occurs at most ``per_lang`` distinct
+documents, and fewer if there are so many languages that ``max_rows`` would be passed, taken
+by a hash of id and text, so that it is the same on every run. Texts of any length teach,
+and all words and n-grams of the sample are kept: they are counted where the documents lie,
+and only the counts go to the driver. All else covers every whole text.
+
+Letters are Unicode's category L; digits, number forms and marks separate words.
 
 Null texts and texts without a letter give ``und`` with score 0; so does every text if there
 is nothing to learn from. Ties go to the first language in code-point order. Repeated rows
@@ -15,21 +19,21 @@ give repeated results.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import id_field, only, slices
 
 UNKNOWN = "und"
 MAX_GRAM = 5
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 #: Words that a worker's memo holds before it starts anew.
 MEMO = 200_000
 
@@ -81,74 +85,98 @@ class LanguageModel:
         return out
 
 
-def _rows(counts: dict[int, Counter], languages: int, keep: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies by language, add-half smoothed, of the ``keep`` most frequent entries of each language."""
+def _rows(counts: dict[int, Counter], languages: int) -> tuple[dict[str, int], np.ndarray]:
+    """Log frequencies by language, add-half smoothed."""
     totals = np.array([sum(counts[i].values()) for i in range(languages)], float)
-    entries: dict[str, int] = {}
+    entries = {k: at for at, k in enumerate(sorted(set().union(*counts.values())))}
+    table = np.zeros((len(entries), languages))
     for i in range(languages):
-        for k, _ in sorted(counts[i].items(), key=lambda x: (-x[1], x[0]))[:keep]:
-            entries.setdefault(k, len(entries))
-    table = np.array([[counts[i][k] for i in range(languages)] for k in entries], float).reshape(len(entries), languages)
+        table[np.fromiter(map(entries.__getitem__, counts[i]), np.int64, len(counts[i])), i] = np.fromiter(counts[i].values(), float, len(counts[i]))
     logs = np.log((table + 0.5) / (totals + 0.5 * (len(entries) + 1)))
     return entries, (logs - logs.max(axis=1, keepdims=True) if len(entries) else logs).astype(np.float32)  # only differences matter
 
 
-def learn(rows: list[tuple[str, str]], max_words: int = 30_000, max_grams: int = 30_000) -> LanguageModel:
+def learn(rows: Iterable[tuple[str, str]]) -> LanguageModel:
     """The model of (text, language) pairs."""
-    languages = sorted({lang for _, lang in rows})
-    place = {lang: i for i, lang in enumerate(languages)}
-    words: dict[int, Counter] = {i: Counter() for i in range(len(languages))}
-    documents = Counter()
+    words: dict[str, Counter] = {}
+    documents: Counter = Counter()
     for text, lang in rows:
-        documents[place[lang]] += 1
-        words[place[lang]].update(_LETTERS.findall(text.lower()))
+        documents[lang] += 1
+        words.setdefault(lang, Counter()).update(_LETTERS.findall(text.lower()))
+    return build(words, documents)
+
+
+def build(bags: dict[str, Counter], documents: dict[str, int]) -> LanguageModel:
+    """The model of the words and the number of documents of each language."""
+    languages = sorted(documents)
+    words = {i: bags.get(lang, Counter()) for i, lang in enumerate(languages)}
     grams: list[dict[str, int]] = []
     gram_rows: list[np.ndarray] = []
+    offset = 0
     for n in range(1, MAX_GRAM + 1):
         counts: dict[int, Counter] = {}
         for i, bag in words.items():
-            counts[i] = Counter()
+            own = counts[i] = Counter()
             for word, times in bag.items():
                 edged = _edged(word, n)
                 for k in range(len(edged) - n + 1):
-                    counts[i][edged[k : k + n]] += times
-        place, rows_n = _rows(counts, len(languages), max_grams)
-        offset = sum(map(len, gram_rows))
+                    own[edged[k : k + n]] += times
+        place, rows_n = _rows(counts, len(languages))
         grams.append({k: offset + v for k, v in place.items()})
+        offset += len(place)
         gram_rows.append(rows_n)
-    prior = np.log(np.array([(documents[i] + 1.0) for i in range(len(languages))]) / (len(rows) + len(languages)))
-    known, word_rows = _rows(words, len(languages), max_words)
+    prior = np.log(np.array([documents[lang] + 1.0 for lang in languages]) / (sum(documents.values()) + len(languages)))
+    known, word_rows = _rows(words, len(languages))
     return LanguageModel(languages, known, word_rows, grams, np.concatenate(gram_rows), prior)
 
 
-def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_chars: int, max_languages: int) -> list[tuple[str, str]]:
-    """About per_lang rows of each of the max_languages most frequent languages, by a hash of the id.
+def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_rows: int) -> DataFrame | None:
+    """lang and text of at most per_lang distinct documents of each language, by a hash of id and text; None without any.
 
-    Texts of more than max_chars characters are left out of the sample (of nothing else).
+    A hash limit draws about twice as many, equal rows become one, and a rank cuts to the
+    bound: so no number of null ids or repeated rows makes the sample larger.
     """
     fit = df.where(learn_from & F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull())
-    fit = only(fit, id=id_col, text=text_col, lang=lang_col).where(F.length("text") <= max_chars)
-    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
+    fit = only(fit, id=id_col, text=text_col, lang=lang_col).select("lang", "text", F.xxhash64("id", "text").alias("h"))
+    counts = {r.lang: r.n for r in fit.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not counts:
-        return []
-    unit = 1 << 30
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, int(min(unit, unit * per_lang / n)))])
-    chosen = fit.where(F.col("lang").isin(list(counts)) & (F.pmod(F.xxhash64("id"), F.lit(unit)) < share[F.col("lang")]))
-    # sorted, so that the model never depends on the order in which parts arrive
-    return sorted((r.text, r.lang) for r in chosen.select("text", "lang").collect())
+        return None
+    unit, most = 1 << 30, max(1, min(per_lang, max_rows // len(counts)))
+    shares = df.sparkSession.createDataFrame([(lang, int(min(unit, 2 * unit * most / max(n, 1)))) for lang, n in sorted(counts.items())], "lang string, share long")
+    drawn = fit.join(F.broadcast(shares), "lang").where(F.pmod("h", F.lit(unit)) < F.col("share"))  # a row for each language
+    once = drawn.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= most).select("lang", "text")
+
 
+def _count_words(rows: DataFrame, slice_bytes: int = 4 << 20) -> DataFrame:
+    """lang, word and n; the word null counts documents."""
 
-_LONG = 1 << 18
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in slices(batches, slice_bytes):
+            bags: dict[str, Counter] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                bag = bags.setdefault(lang, Counter())
+                bag[None] += 1
+                bag.update(_LETTERS.findall((text or b"").decode("utf-8", "replace").lower()))
+            found = [(lang, word, n) for lang, bag in bags.items() for word, n in bag.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
+
+    return rows.mapInArrow(work, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: tuple[str, str] = ("lang_pred", "score"), slice_bytes: int = 2 << 20) -> DataFrame:
-    """Per row: the id, the ``keep`` columns as they are, and under the names ``out`` the language and its score (0 to 1: the share of the best language)."""
+    """Per row: the id, the ``keep`` columns as they are, and under the names ``out`` the language and its score (0 to 1: the share of the best language).
+
+    The model, bounded by its sample, is broadcast once.
+    """
     width = len(model.languages)
+    sent_model = df.sparkSession.sparkContext.broadcast(model)
     keep = tuple(c for c in keep if c != id_col)
     sent = {id_col: id_col, **{c: c for c in keep}} | ({} if text_col in keep else {"__text": text_col})
     text_at = list(sent.values()).index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent_model.value
         place: dict[bytes, int] = {}
         table = np.zeros((MEMO + 1, width), np.float32)
         lettered = np.zeros(MEMO + 1, bool)
@@ -206,5 +234,15 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     return only(df, **sent).mapInArrow(work, schema)
 
 
-def fit(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1_500, max_chars: int = 50_000, max_languages: int = 100) -> LanguageModel:
-    return learn(sample(df, learn_from, id_col, text_col, lang_col, per_lang, max_chars, max_languages))
+def fit(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 1_500, max_rows: int = 60_000) -> LanguageModel:
+    """The model of a bounded sample of the rows that satisfy learn_from."""
+    chosen = sample(df, learn_from, id_col, text_col, lang_col, per_lang, max_rows)
+    bags: dict[str, Counter] = {}
+    documents: dict[str, int] = {}
+    if chosen is not None:
+        for lang, word, n in zip(*_count_words(chosen).toArrow().to_pydict().values(), strict=True):
+            if word is None:
+                documents[lang] = n
+            else:
+                bags.setdefault(lang, Counter())[word] = n
+    return build(bags, documents)

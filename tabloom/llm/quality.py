@@ -6,7 +6,8 @@ beside that difference, turns it into a probability of label 1.
 
 Learning reads a bounded sample: at most ``per_class`` labelled documents of either label, by
 a hash of the id, the first half (by another hash) for the dictionaries and the rest for the
-calibration, weighted back to the labels' own shares. Every whole text is scored.
+calibration, weighted back to the labels' own shares. Texts of any length teach, whole. Every
+whole text is scored.
 
 Null and empty texts are scored as empty. If one label is missing, there is nothing to
 compare: the score is the share of label 1 (0.5 without any label). Several labels of one
@@ -90,13 +91,13 @@ def learn(rows: list[tuple[int, bytes, int]], shares: dict[int, int], dict_bytes
     return QualityModel(raw[0], raw[1], _logistic(x, y, weight).tolist())
 
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3_000, max_chars: int = 50_000, dict_bytes: int = 112 << 10) -> QualityModel:
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3_000, dict_bytes: int = 112 << 10) -> QualityModel:
     """learn_from: a condition on df's rows. Labels are joined by id_col.
 
     The sample's ids, at most 2 x per_class, are bounded, so they are broadcast.
     """
     known = only(labels, id=id_col, q=label_col).where(F.col("q").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("q").alias("q"))
-    teach = only(df.where(learn_from & (F.coalesce(F.length(f"`{text_col}`"), F.lit(0)) <= max_chars)), id=id_col, text=text_col)
+    teach = only(df.where(learn_from), id=id_col, text=text_col)
     ids = teach.select("id").distinct().join(known, "id")
     shares = {int(r.q): int(r.n) for r in ids.groupBy("q").agg(F.count("*").alias("n")).collect()}
     picked = None
