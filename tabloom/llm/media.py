@@ -69,7 +69,11 @@ def read_netpbm(data: bytes) -> np.ndarray:
         cells = [body[i : i + 1] for i in range(len(body)) if body[i : i + 1] in b"01" and body[i : i + 1]] if bitmap else body.split()
         if len(cells) < n:
             raise MediaError("short raster")
+        if any(len(x) > 10 for x in cells[:n]):
+            raise MediaError("sample out of range")
         values = np.array([int(x) for x in cells[:n]], np.int64)
+        if values.size and not 0 <= values.min() <= values.max() <= (1 if bitmap else top):
+            raise MediaError("sample above the largest value")
         return np.where(values > 0, 0, 255).astype(np.uint8).reshape(shape) if bitmap else values.astype(np.uint8 if top < 256 else np.uint16).reshape(shape)
     unit = np.dtype(np.uint8 if top < 256 else ">u2")
     if len(data) - at < n * unit.itemsize:
@@ -122,6 +126,11 @@ def decode(data: bytes) -> np.ndarray:
     return read_bmp(data) if data[:2] == b"BM" else read_netpbm(data)
 
 
+def white(data: bytes) -> int:
+    """The sample value that stands for white: a Netpbm picture's largest value, else 255."""
+    return _header(data, 3)[0][2] if data[:1] == b"P" and data[1:2] in b"2356" else 255
+
+
 def grey(picture: np.ndarray) -> np.ndarray:
     """Luma of a colour picture, by whole-number weights."""
     if picture.ndim == 2:
@@ -154,10 +163,10 @@ def difference_hash(picture: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def npy_tile(picture: np.ndarray, side: int) -> bytes:
-    """The picture area-resized to side x side 8-bit samples, as an NPY file."""
+def npy_tile(picture: np.ndarray, side: int, top: int = 255) -> bytes:
+    """The picture area-resized to side x side 8-bit samples (top becomes 255), as an NPY file."""
     out = io.BytesIO()
-    np.lib.format.write_array(out, np.clip(np.rint(area_resize(picture, side, side)), 0, 255).astype(np.uint8), version=(1, 0), allow_pickle=False)
+    np.lib.format.write_array(out, np.clip(np.rint(area_resize(picture, side, side) * (255 / top)), 0, 255).astype(np.uint8), version=(1, 0), allow_pickle=False)
     return out.getvalue()
 
 
@@ -175,8 +184,8 @@ def media_features(df: DataFrame, id_col: str, media_col: str, side: int = 32, s
                 try:
                     picture = decode(data or b"")
                     light = grey(picture)
-                    rows.append((*picture.shape[:2], 1 if picture.ndim == 2 else 3, difference_hash(light), npy_tile(light, side)))
-                except (MediaError, ValueError, struct.error, IndexError):
+                    rows.append((*picture.shape[:2], 1 if picture.ndim == 2 else 3, difference_hash(light), npy_tile(light, side, white(data))))
+                except (ValueError, OverflowError, struct.error, IndexError):
                     rows.append((None,) * 5)
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[id_col, "height", "width", "channels", "dhash", "tile"])
@@ -210,13 +219,17 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", side: int = 32, slice_by
     """Digests of what ``store_text`` stored: every value comes from the stored bytes, read back.
 
     Columns: the id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256 and feature (difference hash, then the sha256 of the NPY tile).
+    media_sha256 and feature (difference hash, then the sha256 of the NPY tile). Null media
+    give null digests.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, media in slices(batches, slice_bytes, col=2):
             rows = []
             for data in media:
+                if data is None:
+                    rows.append((None,) * 6)
+                    continue
                 picture = decode(data)
                 read = picture.tobytes()
                 tile = npy_tile(picture, side)
