@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import id_field, materialise, only, slices
-from tabloom.llm.tokens import encoder, units
+from tabloom.llm.common import free, id_field, materialise, only, slices
+from tabloom.llm.tokens import PART_BYTES, encoder, parts, units
 
 END = 1
 
@@ -43,19 +43,35 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "d
         known = encoder(tokenizer)
         end, step = END.to_bytes(4, "little"), 4 * capacity
         for batch, texts in slices(batches, slice_bytes):
-            split = [units(t) for t in texts]
-            fresh: set[bytes] = set()
-            for words in split:
-                fresh.update(words)
-            # the memo may be emptied when it is full, so all words of the slice are learnt, known or not
-            known.learn(fresh)
-            ids = known.ids
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, words in enumerate(split):
-                data = b"".join(map(ids.__getitem__, words)) + end
-                for n, start in enumerate(range(0, len(data), step)):
-                    part = data[start : start + step]
-                    rows.append((at, n, start >> 2, len(part) >> 2, zlib.crc32(part)))
+
+            def cut(at: int, data: bytes, done: int, last: bool, rows: list = rows) -> bytes:
+                """Note the whole pieces of data, which follows ``done`` bytes of its text; give back what is left of it."""
+                stop = len(data) if last else len(data) // step * step
+                for start in range(0, stop, step):
+                    part = data[start : min(start + step, stop)]
+                    rows.append((at, (done + start) // step, (done + start) >> 2, len(part) >> 2, zlib.crc32(part)))
+                return data[stop:]
+
+            def learnt(group: list[bytes | None]) -> list[bytes]:
+                split = [units(t) for t in group]
+                fresh: set[bytes] = set()
+                for words in split:
+                    fresh.update(words)
+                # the memo may be emptied when it is full, so all words of the group are learnt, known or not
+                known.learn(fresh)
+                return [b"".join(map(known.ids.__getitem__, words)) for words in split]
+
+            if len(texts) == 1 and len(texts[0] or b"") > PART_BYTES:  # a long text: part by part, whole pieces leave at once
+                rest, done = b"", 0
+                for p in parts(texts[0]):
+                    data = rest + learnt([p])[0]
+                    rest = cut(0, data, done, False)
+                    done += len(data) - len(rest)
+                cut(0, rest + end, done, True)
+            else:
+                for at, data in enumerate(learnt(texts)):
+                    cut(at, data + end, 0, True)
             at, *rest = zip(*rows, strict=True)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)
@@ -116,9 +132,12 @@ def pack(found: DataFrame, capacity: int = 4096, id_col: str = "doc_id") -> Data
     """Add sequence_id and offset to pieces (columns id_col, piece, length at least)."""
     spark = found.sparkSession
     columns = found.columns
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = found.repartitionByRange(parts, F.col("length").desc(), F.col(f"`{id_col}`"), F.col("piece")).sortWithinPartitions(F.col("length").desc(), F.col(f"`{id_col}`"), F.col("piece"))
-    ordered = ordered.withColumn("__part", F.spark_partition_id())
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # rows that agree in all are interchangeable; a salt lets their ranges be cut, too
+    salt = free(columns, "salt")
+    order = [F.col("length").desc(), F.col(f"`{id_col}`"), F.col("piece"), F.col(salt)]
+    salted = found.withColumn(salt, F.xxhash64(F.monotonically_increasing_id()))
+    ordered = salted.repartitionByRange(ranges, *order).sortWithinPartitions(*order).drop(salt).withColumn("__part", F.spark_partition_id())
     length_at = columns.index("length")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
 

@@ -1,8 +1,13 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
-A text is split at safe boundaries (``units``), which no token of a word tokenizer crosses, the fragments that were not met before are encoded in batches balanced by bytes,
-and a text's length is the sum over its fragments. So a text of any length costs bounded
-memory, and a fragment that repeats is encoded once per worker and memo generation.
+A text is split at safe boundaries (``units``), which no token of a word tokenizer crosses, the
+fragments that were not met before are encoded in batches balanced by bytes, and a text's
+length is the sum over its fragments, so a fragment that repeats is encoded once per worker
+and memo generation. A text above ``PART_BYTES`` is taken part by part, each ending at white
+space, and a fragment above ``FRAGMENT_BYTES`` without white space is cut between letters and
+marks. What remains whole is what the library itself can't cut: a run of letters alone, a
+long fragment outside ASCII, or one that may hold a special string. Beside the memo a worker
+holds the fragments of one slice or part.
 
 Null text counts as empty: no bytes, no tokens. Empty tables give empty results; repeated
 rows give repeated results; other columns of the input are not read.
@@ -38,22 +43,46 @@ BATCH_BYTES = 64 << 10
 _LOOSE = re.compile(rb"(?<![A-Za-z])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[.,](?=[ \n])")
 
 
-def units(text: bytes | None) -> list[bytes]:
+#: Bytes from which on a text is taken in parts, and a fragment is cut inside.
+PART_BYTES, FRAGMENT_BYTES = 2 << 20, 16 << 10
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: Between a letter and a mark or digit; next to an apostrophe it might cut a contraction.
+_INSIDE = re.compile(rb"(?<=[A-Za-z])(?=[^A-Za-z'])|(?<=[^A-Za-z'])(?=[A-Za-z])")
+
+
+def parts(text: bytes | None, limit: int = PART_BYTES) -> Iterator[bytes]:
+    """The text in parts of about ``limit`` bytes that end before white space."""
+    text, at = text or b"", 0
+    while at < len(text):
+        end = _SPACE.search(text, at + limit)
+        stop = end.start() if end else len(text)
+        yield text[at:stop]
+        at = stop
+
+
+def _cut(fragments: list[bytes], limit: int) -> list[bytes]:
+    if all(len(f) <= limit for f in fragments):
+        return fragments
+    return [x for f in fragments for x in (_INSIDE.split(f) if len(f) > limit and f.isascii() and b"<|" not in f else [f])]
+
+
+def units(text: bytes | None, limit: int = FRAGMENT_BYTES) -> list[bytes]:
     """The text cut at safe boundaries: white space and, where each follows a letter, stops and commas before it.
 
     A word tokenizer cuts runs of letters from the marks behind them and ignores case, so the
     units' ids, one after the other, are the text's. Texts that may hold a special string, or
-    marks that could belong to a longer run, are cut at white space alone.
+    marks that could belong to a longer run, are cut at white space alone. Fragments above
+    ``limit`` bytes are cut inside.
     """
     if not text:
         return []
     if b"<|" in text or _LOOSE.search(text):
-        return text.split()
+        return _cut(text.split(), limit)
     text = text.lower()
     for mark in (b".", b","):
         for space in (b" ", b"\n"):
             text = text.replace(mark + space, b" " + mark + space)
-    return text.split()
+    return _cut(text.split(), limit)
 
 
 class WordEncoder:
@@ -162,14 +191,18 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(tokenizer)
         for batch, texts in slices(batches, slice_bytes):
-            split = [units(x) for x in texts]
-            fresh: set[bytes] = set()
-            for words in split:
-                fresh.update(words)
-            # the memo may be emptied when it is full, so all units of the slice are learnt, known or not
-            known.learn(fresh)
-            at = known.ids.__getitem__
-            n = np.fromiter((sum(map(len, map(at, words))) >> 2 for words in split), np.int64, len(split))
+            n = np.zeros(len(texts), np.int64)
+            # a long text is a slice of its own: its parts one after the other; else all texts of the slice at once
+            long = len(texts) == 1 and len(texts[0] or b"") > PART_BYTES
+            for group in ([p] for p in parts(texts[0])) if long else (texts,):
+                split = [units(x) for x in group]
+                fresh: set[bytes] = set()
+                for words in split:
+                    fresh.update(words)
+                # the memo may be emptied when it is full, so all units are learnt, known or not
+                known.learn(fresh)
+                at = known.ids.__getitem__
+                n += np.fromiter((sum(map(len, map(at, words))) >> 2 for words in split), np.int64, len(split))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(x or b"") for x in texts], pa.int64()), pa.array(n), pa.array(n > limit)],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit"],
