@@ -26,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +43,11 @@ MEMO = 200_000
 _CLEAN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
+def _hashes(words: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(w.encode()) for w in words], np.uint64)
+
+
 def _edged(word: str, n: int) -> str:
     """A word with its ends marked; single characters need no ends."""
     return f" {word} " if n > 1 else word
@@ -52,7 +58,7 @@ class LanguageModel:
     """Log probabilities by language: a row for each known word, and for each n-gram of a length (from 1)."""
 
     languages: list[str]
-    words: dict[str, int]
+    words: np.ndarray  # sorted 64-bit hashes
     word_rows: np.ndarray
     grams: list[dict[str, int]]
     gram_rows: np.ndarray
@@ -61,24 +67,21 @@ class LanguageModel:
     def rows(self, words: list[str]) -> np.ndarray:
         """The rows of lower-case words of letters; an unseen word's is the mean of its longest known n-grams."""
         out = np.zeros((len(words), len(self.languages)))
+        hashes = _hashes(words)
+        row = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        known = self.words[row] == hashes if len(self.words) else np.zeros(len(words), bool)
+        out[known] = self.word_rows[row[known]]
         places, hits, starts = [], [], []
-        known_at, known_row = [], []
-        for at, word in enumerate(words):
-            row = self.words.get(word)
-            if row is not None:
-                known_at.append(at)
-                known_row.append(row)
-                continue
+        for at in np.flatnonzero(~known).tolist():
+            word = words[at]
             for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
-                known, edged = self.grams[n - 1], _edged(word, n)
-                found = [g for i in range(len(edged) - n + 1) if (g := known.get(edged[i : i + n])) is not None]
+                grams, edged = self.grams[n - 1], _edged(word, n)
+                found = [g for i in range(len(edged) - n + 1) if (g := grams.get(edged[i : i + n])) is not None]
                 if found:
                     places.append(at)
                     starts.append(len(hits))
                     hits += found
                     break
-        if known_at:
-            out[known_at] = self.word_rows[known_row]
         if places:
             sums = np.add.reduceat(self.gram_rows[hits], starts, axis=0, dtype=np.float64)
             out[places] = sums / np.diff([*starts, len(hits)])[:, None]
@@ -127,7 +130,9 @@ def build(bags: dict[str, Counter], documents: dict[str, int]) -> LanguageModel:
         gram_rows.append(rows_n)
     prior = np.log(np.array([documents[lang] + 1.0 for lang in languages]) / (sum(documents.values()) + len(languages)))
     known, word_rows = _rows(words, len(languages))
-    return LanguageModel(languages, known, word_rows, grams, np.concatenate(gram_rows), prior)
+    hashes = _hashes(list(known))
+    order = np.argsort(hashes)
+    return LanguageModel(languages, hashes[order], word_rows[order], grams, np.concatenate(gram_rows), prior)
 
 
 def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_rows: int) -> DataFrame | None:
