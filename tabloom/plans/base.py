@@ -51,7 +51,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     return orders(spark, sf).select("o_custkey", "mon").distinct()
 
 
-OBS = f"(SELECT DISTINCT o_custkey, mon FROM {ORDERS} WHERE mon BETWEEN 23977 AND 24000)"
+OBS = f"(SELECT DISTINCT o_custkey, mon FROM {ORDERS})"
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:

@@ -120,7 +120,7 @@ def names_periods(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "pattern string, n int, family string")
 
 
-@R.add(f"""SELECT o_custkey, mon, CAST(sum(amt) OVER (PARTITION BY o_custkey ORDER BY mon) * 0 AS INT) AS z FROM (SELECT o_custkey, mon, sum(coalesce(amt, 0)) AS amt FROM {ORDERS} GROUP BY 1, 2)""")
+@R.add(f"""SELECT o_custkey, mon, round(sum(amt), 2) AS total, count(amt) AS filled, count(*) AS n_rows FROM {ORDERS} GROUP BY 1, 2""")
 def months_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions summed to months, the input of all windows: the sum of filled amounts (null without any), their count, and rows."""
     out = merge.monthly(orders(spark, sf), ["o_custkey"], "mon", {"amt": {"sum"}}, ["mon"])
