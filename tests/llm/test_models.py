@@ -168,41 +168,6 @@ def test_language_model_tail(spark, docs, monkeypatch):
     assert got == want
 
 
-def test_probabilities_sum_to_one():
-    """Over all words and the unseen rest, in every context."""
-    rng = np.random.default_rng(0)
-    word, context = np.divmod(np.arange(40), 4)
-    count = rng.integers(1, 60, 40)
-    shape = lm.Shape(int(count.sum()), 10, np.bincount(context, count, lm.CONTEXTS), (0.7, 0.6))
-    first = np.bincount(context, minlength=lm.CONTEXTS).astype(float)
-    shape.rounds.append(lm.Totals(first, first.sum(), 10))
-    seating = lm.Seating(shape, word, context, count, 10)
-    for n in range(4):
-        seating.round(n, rng)
-        t = seating.totals()
-        shape.rounds.append(lm.Totals(t[: lm.CONTEXTS], t[-2], t[-1]))
-        for c in range(4):
-            w = np.append(np.arange(10), -1)
-            entry = np.append(np.arange(10) * 4 + c, -1)
-            p = seating.predictive(shape.rounds[-1], w, np.full(11, c), entry)
-            assert abs(p.sum() - 1) < 1e-9
-
-
-def test_seating_matches_the_restaurant():
-    """The mean number of tables, against the exact recursion."""
-    rng, weight, discount, n = np.random.default_rng(1), 0.8, 0.5, 20
-    chance = {1: 1.0}
-    for seated in range(1, n):
-        step: dict[int, float] = defaultdict(float)
-        for t, p in chance.items():
-            new = weight / (seated - discount * t + weight)
-            step[t + 1] += p * new
-            step[t] += p * (1 - new)
-        chance = step
-    got = lm.seat(np.full(20_000, n), np.full(20_000, weight), discount, rng)
-    assert abs(got.mean() - sum(t * p for t, p in chance.items())) < 0.05
-
-
 def test_language_model_edges(spark, docs, empty):
     got = lm.score(docs, F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.base_score == 0 and abs(r.score) < 1e-9 for r in got)
