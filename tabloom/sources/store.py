@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,8 +40,8 @@ def _delete_made() -> None:
     for spark, path in _made:
         try:
             delete(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone, and its folder with it
-            return
+        except Exception:  # noqa: BLE001  the session is gone, and its folder with it; others may be alive
+            continue
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -53,4 +55,27 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tabloom-{label}-{uuid.uuid4().hex[:12]}"
     _made.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[id(found)] = weakref.ref(found), path
+    return found
+
+
+_paths: dict[int, tuple[weakref.ref[DataFrame], str]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Collect plans that nothing refers to, on both sides: Spark then deletes the files of their shuffles.
+
+    A long chain of steps would otherwise keep the files of all of them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def release(df: DataFrame) -> None:
+    """Delete a materialised table that nothing reads any more, as its readers are materialised themselves."""
+    owner, path = _paths.pop(id(df), (None, ""))
+    if owner is not None and owner() is df:
+        delete(df.sparkSession, path)
+        _made.remove((df.sparkSession, path))
+    forget(df.sparkSession)
