@@ -61,7 +61,7 @@ def parts(text: bytes | None, limit: int = PART_BYTES) -> Iterator[bytes]:
 
 
 def _cut(fragments: list[bytes], limit: int) -> list[bytes]:
-    if all(len(f) <= limit for f in fragments):
+    if max(map(len, fragments), default=0) <= limit:
         return fragments
     return [x for f in fragments for x in (_INSIDE.split(f) if len(f) > limit and f.isascii() and b"<|" not in f else [f])]
 
@@ -77,12 +77,12 @@ def units(text: bytes | None, limit: int = FRAGMENT_BYTES) -> list[bytes]:
     if not text:
         return []
     if b"<|" in text or _LOOSE.search(text):
-        return _cut(text.split(), limit)
+        return _cut(text.split(), limit) if len(text) > limit else text.split()
     text = text.lower()
     for mark in (b".", b","):
         for space in (b" ", b"\n"):
             text = text.replace(mark + space, b" " + mark + space)
-    return _cut(text.split(), limit)
+    return _cut(text.split(), limit) if len(text) > limit else text.split()
 
 
 class WordEncoder:
