@@ -43,6 +43,7 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "d
         known = encoder(tokenizer)
         end, step = END.to_bytes(4, "little"), 4 * capacity
         for batch, texts in slices(batches, slice_bytes):
+            # the memo may be emptied when it is full, so all words are learnt, known or not
             rows: list[tuple[int, int, int, int, int]] = []
 
             def cut(at: int, data: bytes, done: int, last: bool, rows: list = rows) -> bytes:
@@ -53,25 +54,25 @@ def pieces(df: DataFrame, tokenizer: str, capacity: int = 4096, id_col: str = "d
                     rows.append((at, (done + start) // step, (done + start) >> 2, len(part) >> 2, zlib.crc32(part)))
                 return data[stop:]
 
-            def learnt(group: list[bytes | None]) -> list[bytes]:
-                split = [units(t) for t in group]
-                fresh: set[bytes] = set()
-                for words in split:
-                    fresh.update(words)
-                # the memo may be emptied when it is full, so all words of the group are learnt, known or not
-                known.learn(fresh)
-                return [b"".join(map(known.ids.__getitem__, words)) for words in split]
-
             if len(texts) == 1 and len(texts[0] or b"") > PART_BYTES:  # a long text: part by part, whole pieces leave at once
                 rest, done = b"", 0
                 for p in parts(texts[0]):
-                    data = rest + learnt([p])[0]
+                    words = units(p)
+                    known.learn(set(words))
+                    data = rest + b"".join(map(known.ids.__getitem__, words))
                     rest = cut(0, data, done, False)
                     done += len(data) - len(rest)
                 cut(0, rest + end, done, True)
             else:
-                for at, data in enumerate(learnt(texts)):
-                    cut(at, data + end, 0, True)
+                split = [units(t) for t in texts]
+                known.learn(set().union(*split))
+                of = known.ids.__getitem__
+                for at, words in enumerate(split):
+                    data = b"".join(map(of, words)) + end
+                    if len(data) <= step:
+                        rows.append((at, 0, 0, len(data) >> 2, zlib.crc32(data)))
+                    else:
+                        cut(at, data, 0, True)
             at, *rest = zip(*rows, strict=True)
             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(rest, kinds, strict=True))], names=names)

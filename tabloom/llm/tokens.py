@@ -196,11 +196,8 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 2048, id_col: str =
             long = len(texts) == 1 and len(texts[0] or b"") > PART_BYTES
             for group in ([p] for p in parts(texts[0])) if long else (texts,):
                 split = [units(x) for x in group]
-                fresh: set[bytes] = set()
-                for words in split:
-                    fresh.update(words)
                 # the memo may be emptied when it is full, so all units are learnt, known or not
-                known.learn(fresh)
+                known.learn(set().union(*split))
                 at = known.ids.__getitem__
                 n += np.fromiter((sum(map(len, map(at, words))) >> 2 for words in split), np.int64, len(split))
             yield pa.RecordBatch.from_arrays(
