@@ -99,7 +99,7 @@ def remedies_filled_flags(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(advice.filled_flags(df.where("tr"), ["disc", "tax", "told", "l_quantity"], "y"), "filled_rate", "missing_rate")
 
 
-@R.add("""SELECT o_orderpriority AS priority, CASE WHEN o_orderkey % 5 > 1 THEN o_orderstatus END AS status, CASE WHEN o_totalprice >= 100000 THEN round_even(o_totalprice - 100000, 1) END AS price, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
+@R.add("""SELECT o_orderpriority AS priority, CASE WHEN o_orderkey % 5 > 1 THEN o_orderstatus END AS status, CASE WHEN o_totalprice >= 100000 THEN CAST(round_even(o_totalprice - 100000, 0) AS BIGINT) END AS price, count(*) AS n FROM orders GROUP BY 1, 2, 3""")
 def remedies_corrections(spark: SparkSession, sf: str) -> DataFrame:
     """Spellings, texts that mean nothing, negatives and decimals, in the fixed order whatever order they are given in."""
     key, p = F.col("o_orderkey"), F.col("o_orderpriority")
@@ -108,7 +108,7 @@ def remedies_corrections(spark: SparkSession, sf: str) -> DataFrame:
         F.when(key % 3 == 0, F.upper(p)).when(key % 3 == 1, F.concat(F.lit("  "), F.lower(p))).otherwise(p).alias("priority"),
         F.when(key % 5 == 0, "Bilinmiyor").when(key % 5 == 1, " - ").otherwise(F.col("o_orderstatus")).alias("status"), (F.col("o_totalprice") - 100000).alias("price"),
     )
-    steps = [("negative", "price", remedies.negative_to_null("price")), ("round", "price", remedies.rounded("price", 1)), ("spelling", "priority", remedies.canonical_spelling("priority", targets)), ("empty_text", "status", remedies.empty_text_to_null("status"))]
+    steps = [("negative", "price", remedies.negative_to_null("price")), ("round", "price", remedies.rounded("price", 0)), ("spelling", "priority", remedies.canonical_spelling("priority", targets)), ("empty_text", "status", remedies.empty_text_to_null("status"))]
     for _, column, value in remedies.in_order(steps):
         df = df.withColumn(column, value)
     return df.groupBy("priority", "status", "price").agg(F.count(F.lit(1)).alias("n"))
