@@ -7,9 +7,12 @@ import os
 import sys
 import time
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabloom.operators import checks, profile
 from tabloom.plans import catalog
+from tabloom.sources.store import materialise
 
 HEADLINE = (
     "flagship_windows", "pit_std", "pit_nunique", "pit_last", "join_asof", "duplicate_rows", "conversion_apply", "split_rows", "split_ids", "folds_grouped",
@@ -18,6 +21,27 @@ HEADLINE = (
 )
 
 
+#: The published figure for a profile with its checks is for a table of so many rows and columns.
+ROWS, COLUMNS = 100_000, 200
+
+
+def wide_table(spark: SparkSession) -> DataFrame:
+    """Numbers of few and of many values, texts, dates, with gaps."""
+    def column(i: int) -> Column:
+        h = F.pmod(F.xxhash64("id", F.lit(i)), F.lit((7, 97, 5_000, 1 << 40)[i % 4]))
+        value = (h.cast("double") / 8, h, F.concat(F.lit("v"), F.pmod(h, F.lit(40))), F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(h, F.lit(900)).cast("int")))[min(i * 10 // COLUMNS % 5, 3)]
+        return F.when(F.pmod(F.xxhash64("id", F.lit(-i)), F.lit(10)) > i % 3 - 1, value).alias(f"c{i:03}")
+
+    return spark.range(ROWS).select(*[column(i) for i in range(COLUMNS)])
+
+
+def wide_profile(df: DataFrame) -> list:
+    """The profile of every column, the column rules on it, hidden codes and heavy zeros."""
+    found = materialise(profile.profile(df), "bench-profile")
+    numbers = [f.name for f in df.schema.fields if profile.numeric(profile.kind_of(f.dataType))]
+    return [*checks.column_rules(found).collect(), *checks.hidden_missing(df, numbers).collect()]
+
+
 def main() -> None:
     sf, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (
@@ -37,6 +61,10 @@ def main() -> None:
         queries[name](spark, sf).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - began, 3)
         spark.catalog.clearCache()
+    table = materialise(wide_table(spark), "bench-wide")
+    began = time.perf_counter()
+    wide_profile(table)
+    times["wide_profile_checks"] = round(time.perf_counter() - began, 3)
     sys.stdout.write(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf.rstrip("/")).removeprefix("sf")}) + "\n")
     spark.stop()
 
