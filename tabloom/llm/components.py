@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import lookup, materialise
+from tabloom.sources.store import forget
 
 
 def _star(edges: DataFrame, large: bool, total: int, heavy_links: int) -> DataFrame:
@@ -49,3 +50,4 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", heavy_links: int =
             roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
         mark, total = (seen.n, seen.h), seen.n
+        forget(edges.sparkSession)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.common import id_field, only, slices
+from tabloom.sources.store import forget
 
 UNKNOWN = "und"
 MAX_GRAM = 5
@@ -245,9 +246,14 @@ def fit(df: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str
     bags: dict[str, Counter] = {}
     documents: dict[str, int] = {}
     if chosen is not None:
-        for lang, word, n in zip(*_count_words(chosen).toArrow().to_pydict().values(), strict=True):
-            if word is None:
-                documents[lang] = n
-            else:
-                bags.setdefault(lang, Counter())[word] = n
-    return build(bags, documents)
+        for batch in _count_words(chosen).toArrow().to_batches():
+            langs = batch.column(0).dictionary_encode()
+            names = langs.dictionary.to_pylist()
+            for at, word, n in zip(langs.indices.to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if word is None:
+                    documents[names[at]] = n
+                else:
+                    bags.setdefault(names[at], Counter())[word] = n
+    model = build(bags, documents)
+    forget(df.sparkSession)
+    return model

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.cascade import n_words, text_of
 from tabloom.llm.common import free, materialise
+from tabloom.sources.store import forget
 
 #: Bits of the seeded order that one level of the border search resolves.
 LEVEL_BITS = 12
@@ -103,7 +104,9 @@ def plan(rows: DataFrame, max_epochs: float = 3.0, pattern: tuple[int, ...] = (1
         passing = sums.join(b, _same(F.col("source"), F.col("s"))).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("n") <= F.col("rest")))
         border = materialise(passing.select("source", (F.col("rest") - (F.col("upto") - F.col("n"))).alias("rest"), F.col("digit").alias("prefix")), f"mix-border{level}")
     at = border.select(F.col("source").alias("s"), F.col("rest").alias("left"), F.col("prefix").alias("border"))
-    return materialise(full.withColumnRenamed("source", "s2").join(at, _same(F.col("s2"), F.col("s")), "left").drop("s"), "mix-marks")
+    marks = materialise(full.withColumnRenamed("source", "s2").join(at, _same(F.col("s2"), F.col("s")), "left").drop("s"), "mix-marks")
+    forget(rows.sparkSession)
+    return marks
 
 
 def take(rows: DataFrame, marks: DataFrame, seed: int = 17) -> DataFrame:

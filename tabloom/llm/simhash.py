@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from tabloom.llm.common import id_field, lookup, materialise, only, slices
 from tabloom.llm.components import components
+from tabloom.sources.store import forget
 
 SEED = 42
 PIVOTS = 32
@@ -208,7 +209,9 @@ def _answers(rows: DataFrame, id_col: str, radius: int, max_bucket: int, wide: D
     near = links(classes.select("fp"), radius, max_bucket)
     if wide is not None:
         near = near.unionAll(wide)
+    forget(rows.sparkSession)
     roots = materialise(components(near), "simhash-roots")
+    forget(rows.sparkSession)
     linked = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"), F.col("root").isNotNull().alias("linked"))
     groups = linked.where("linked").groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
     own = linked.where("linked").select("fp", "n", "root")
