@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, simhash, tokens, urlrules
+from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, rolling, simhash, tokens, urlrules
 from tabloom.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,8 +79,12 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.rolling_far(table(spark, sf_dir, "clicks"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language)}
+    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language, op12_rolling_median)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -106,6 +110,17 @@ o AS (SELECT d.*, p.ss, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.w
 SELECT doc_id, size, ss AS source_size, target, CAST(whole * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken FROM o"""
 
 
+_OP12 = """WITH c AS (SELECT click_id, kind, ts, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS c, epoch_us(ts) // 900000000 AS cell
+FROM clicks WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, kind NULLS FIRST, value NULLS FIRST) = 1),
+b AS (SELECT kind, ts, c, unnest([cell, cell + 1]) AS cell FROM c),
+w AS (SELECT a.click_id, a.kind, a.c, list_sort(list(b.c) FILTER (WHERE b.c IS NOT NULL)) AS l
+FROM c a JOIN b ON a.kind IS NOT DISTINCT FROM b.kind AND a.cell = b.cell AND b.ts > a.ts - INTERVAL 15 MINUTE AND b.ts <= a.ts GROUP BY 1, 2, 3),
+m AS (SELECT *, CAST(coalesce(len(l), 0) AS BIGINT) AS n, CASE WHEN len(l) > 0 THEN l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] END AS median2 FROM w),
+d AS (SELECT *, list_sort(list_transform(l, lambda x: abs(2 * x - median2))) AS e FROM m),
+r AS (SELECT *, CASE WHEN n > 0 THEN e[(n + 1) // 2] + e[n // 2 + 1] END AS mad4 FROM d)
+SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * c - median2) > 2 * mad4 AS far FROM r"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, tokens, media and learnt models can't be had in SQL; the tests hold those against brute force."""
-    return {"op4_quality_rules": _OP4, "op6_mixing": _OP6}
+    return {"op4_quality_rules": _OP4, "op6_mixing": _OP6, "op12_rolling_median": _OP12}
