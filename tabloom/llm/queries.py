@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, rolling, simhash, tokens, urlrules
+from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, repeats, rolling, simhash, tokens, urlrules
 from tabloom.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -83,8 +83,13 @@ def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_far(table(spark, sf_dir, "clicks"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language, op12_rolling_median)}
+    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language, op12_rolling_median, op13_repeats)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
