@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.llm import cascade, langid, lm, media, mixing, packing, quality, repeats, rolling, simhash, tokens, urlrules
+from tabloom.llm import cascade, langid, lm, media, mixing, negatives, packing, quality, repeats, rolling, simhash, tokens, urlrules
 from tabloom.llm.common import crc_mod, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -79,6 +79,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, label)
+
+
 def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rolling.rolling_far(table(spark, sf_dir, "clicks"))
 
@@ -89,7 +94,7 @@ def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language, op12_rolling_median, op13_repeats)}
+    return {f.__name__: f for f in (op1_media, op2_url_rules, op3_pitman_yor, op4_quality_rules, op5_token_counts, op6_mixing, op7_simhash, op8_packing, op9_quality_classifier, op10_language, op11_hard_negatives, op12_rolling_median, op13_repeats)}
 
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -115,6 +120,13 @@ o AS (SELECT d.*, p.ss, p.target, p.whole, CAST(round(p.target) AS BIGINT) - p.w
 SELECT doc_id, size, ss AS source_size, target, CAST(whole * size + greatest(least(rest - before, size), 0) AS BIGINT) AS taken FROM o"""
 
 
+_OP11 = """WITH v AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(range(1, len(a.e) + 1), lambda i: a.e[i] * b.e[i])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
 _OP12 = """WITH c AS (SELECT click_id, kind, ts, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS c, epoch_us(ts) // 900000000 AS cell
 FROM clicks WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY click_id ORDER BY ts, kind NULLS FIRST, value NULLS FIRST) = 1),
 b AS (SELECT kind, ts, c, unnest([cell, cell + 1]) AS cell FROM c),
@@ -128,4 +140,4 @@ SELECT click_id, kind, n, median2, mad4, 2 * abs(2 * c - median2) > 2 * mad4 AS
 
 def oracle_sql() -> dict[str, str]:
     """Fingerprints, tokens, media and learnt models can't be had in SQL; the tests hold those against brute force."""
-    return {"op4_quality_rules": _OP4, "op6_mixing": _OP6, "op12_rolling_median": _OP12}
+    return {"op4_quality_rules": _OP4, "op6_mixing": _OP6, "op11_hard_negatives": _OP11, "op12_rolling_median": _OP12}
