@@ -18,8 +18,10 @@ The strings that start at all places are never listed: that would be a multiple
 
 Every step is an aggregation or a join by hash of anchors that still count, and a
 shuffle's sort on disk holds what memory doesn't. A class of anchors that very many different
-surroundings share (a licence in a third of all texts) isn't worked on in one task: its strings
-become rows, counted before they are shuffled. Equal texts are found first and stand
+surroundings share (a licence in a third of all texts) is dealt into shares of about ``CLASS``
+by a hash. Each share finds the repeats inside it; its different strings then become
+rows, counted before they are shuffled, and only strings that lie beyond what the share has found
+ask whether another share has them. Equal texts are found first and stand
 for each other; they are removed whole, if they have ``length`` bytes.
 
 Strings are told apart by 64-bit polynomial hashes of their bytes and the hashes of their anchors.
@@ -39,7 +41,7 @@ from tabloom.llm.common import id_field, lookup, materialise, only, slices
 from tabloom.sources.store import forget, release
 
 LENGTH, WIDTH = 200, 32
-#: Different surroundings of one class of anchors that are compared in one task; larger classes become rows.
+#: Different surroundings of one class of anchors that are compared together; larger classes are dealt into shares.
 CLASS = 4_096
 #: Bytes of text hashed together; longer texts go piece by piece.
 PIECE = 1 << 20
@@ -142,18 +144,21 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """core, num, p, ahead, piece of the anchors that each text is asked for."""
+    """core, share, shares, num, p, ahead, piece of the anchors that each text is asked for."""
     for rows, texts in slices(batches, PIECE):
         numbers, asked = rows.column(0).to_pylist(), rows.column(2)
         ends = np.concatenate(([0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))))
         flat = asked.flatten()
-        p, core = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        p, core, shares = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+        owner = np.repeat(np.array(numbers, np.int64), np.diff(ends))
+        share = (mixed(mixed(owner.view(np.uint64)) + p.astype(np.uint64)) >> np.uint64(8)).astype(np.int64) % shares
         for i, text in enumerate(texts):
             at = p[ends[i] : ends[i + 1]].tolist()
             low = [max(0, x - LENGTH + WIDTH) for x in at]
             pieces = [text[a : x + LENGTH] for a, x in zip(low, at, strict=True)]
-            columns = [pa.array(core[ends[i] : ends[i + 1]]), pa.array([numbers[i]] * len(at), pa.int64()), pa.array(at, pa.int32()), pa.array([x - a for a, x in zip(low, at, strict=True)], pa.int16()), pa.array(pieces, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["core", "num", "p", "ahead", "piece"])
+            mine = slice(ends[i], ends[i + 1])
+            columns = [pa.array(core[mine]), pa.array(share[mine]), pa.array(shares[mine]), pa.array(owner[mine]), pa.array(at, pa.int32()), pa.array([x - a for a, x in zip(low, at, strict=True)], pa.int16()), pa.array(pieces, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["core", "share", "shares", "num", "p", "ahead", "piece"])
 
 
 def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -173,60 +178,64 @@ def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return keys, (column >= first) & (column + LENGTH <= first + sizes[:, None])
 
 
-def _edges(rows: pa.Table) -> pa.RecordBatch | None:
-    """num, s, e: what the repeated strings of whole classes of fragments cover."""
+_EDGES = "num long, s long, e long, string long, asks boolean"
+
+
+def _edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """num, s, e: what the repeated strings of whole shares of fragments cover.
+
+    Of classes of several shares also num, s, string, asks: the different strings, and
+    whether one found once here would reach farther than what was found.
+    """
     keys, valid = _strings(rows)
-    flat = keys[valid]
-    order = np.argsort(flat, kind="stable")
-    same = flat[order][1:] == flat[order][:-1]
-    twice = np.zeros(len(flat), bool)
-    twice[order[1:][same]] = True
-    twice[order[:-1][same]] = True
+    flat, back, counts = np.unique(keys[valid], return_inverse=True, return_counts=True)
     found = np.zeros(keys.shape, bool)
-    found[valid] = twice
-    some = np.flatnonzero(found.any(axis=1))
-    if not len(some):
-        return None
+    found[valid] = counts[back] > 1
+    hit = found.any(axis=1)
+    some = np.flatnonzero(hit)
     reach = LENGTH - WIDTH
-    first = found[some].argmax(axis=1)
-    last = reach - found[some][:, ::-1].argmax(axis=1)
-    p = rows.column("p").to_numpy().astype(np.int64)[some] - reach
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rows.column("num").to_numpy()[some], p + first, p + last + LENGTH)], ["num", "s", "e"])
+    first = found.argmax(axis=1)
+    last = reach - found[:, ::-1].argmax(axis=1)
+    num, start = rows.column("num").to_numpy(), rows.column("p").to_numpy().astype(np.int64) - reach
+    if len(some):
+        yield _edge_batch(num[some], start[some] + first[some], start[some] + last[some] + LENGTH, None, None)
+    shared = rows.column("shares").to_numpy() > 1
+    if not shared.any():
+        return
+    i, o = np.nonzero(valid)
+    one = np.zeros(len(back), bool)
+    one[np.unique(back, return_index=True)[1]] = True
+    asks = (counts[back] == 1) & (~hit[i] | (o < first[i]) | (o > last[i]))
+    out = np.flatnonzero(one & shared[i])
+    for at in range(0, len(out), 1 << 16):
+        k = out[at : at + (1 << 16)]
+        yield _edge_batch(num[i[k]], start[i[k]] + o[k], None, flat[back[k]].view(np.int64), asks[k])
+
+
+def _edge_batch(*columns: np.ndarray | None) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["num", "s", "e", "string", "asks"])
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments in order of classes, worked on FRAGMENTS or so together, classes whole."""
+    """Fragments in order of class and share, worked on FRAGMENTS or so together, shares whole."""
     held: list[pa.RecordBatch] = []
-    rows = 0
+    rows, before = 0, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        core, share = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         start = 0
-        core = batch.column(0).to_numpy()
-        turns = np.concatenate((np.flatnonzero(np.diff(core)) + 1, [len(core)])) if len(core) else []
-        if held and len(core) and core[0] != held[-1].column(0)[-1].as_py() and rows >= FRAGMENTS:
-            if (out := _edges(pa.Table.from_batches(held))) is not None:
-                yield out
-            held, rows = [], 0
-        for turn in turns:
-            if turn < len(core) and rows + turn - start >= FRAGMENTS:
-                if (out := _edges(pa.Table.from_batches([*held, batch.slice(start, turn - start)]))) is not None:
-                    yield out
-                held, rows, start = [], 0, int(turn)
-        if start < len(core):
-            held.append(batch.slice(start))
-            rows += len(core) - start
-    if rows and (out := _edges(pa.Table.from_batches(held))) is not None:
-        yield out
-
-
-def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """num, s, string: the strings of fragments as rows."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            rows = pa.Table.from_batches([batch.slice(at, 256)])
-            keys, valid = _strings(rows)
-            i, o = np.nonzero(valid)
-            p = rows.column("p").to_numpy().astype(np.int64)[i] - (LENGTH - WIDTH) + o
-            yield pa.RecordBatch.from_arrays([pa.array(rows.column("num").to_numpy()[i]), pa.array(p), pa.array(keys[valid].view(np.int64))], ["num", "s", "string"])
+        turns = np.flatnonzero((np.diff(core) != 0) | (np.diff(share) != 0)) + 1
+        for turn in [*([0] if before not in (None, (core[0], share[0])) else []), *turns.tolist()]:
+            if rows + turn - start >= FRAGMENTS:
+                yield from _edges(pa.Table.from_batches([*held, batch.slice(start, turn - start)]))
+                held, rows, start = [], 0, turn
+        held.append(batch.slice(start))
+        rows += batch.num_rows - start
+        before = core[-1], share[-1]
+    if rows:
+        yield from _edges(pa.Table.from_batches(held))
 
 
 def covered(texts: DataFrame) -> DataFrame:
@@ -243,22 +252,18 @@ def covered(texts: DataFrame) -> DataFrame:
     same = materialise(lookup(asked, whole, "kind", "n", alive.count()).select("num", (F.col("p") - F.col("ahead")).cast("long").alias("s"), (F.col("p") + F.col("behind")).cast("long").alias("e")), "same")
     release(alive)
     classes = materialise(kinds.groupBy("core").agg(F.count("*").alias("h")).where("h > 1"), "classes")
-    differ = lookup(kinds.select("core", "num", "p"), classes.select("core", "h", (F.col("h") > CLASS).alias("wide")), "core", "h", kinds.count())
-    differ = materialise(differ, "differ")
+    shares = classes.select("core", "h", F.ceil(F.col("h") / CLASS).cast("long").alias("shares"))
+    differ = materialise(lookup(kinds.select("core", "num", "p"), shares, "core", "h", kinds.count()), "differ")
     release(kinds)
-
-    def fragments(wide: bool) -> DataFrame:
-        wanted = differ.where(F.col("wide") == wide).groupBy("num").agg(F.collect_list(F.struct("p", "core")).alias("asked"))
-        return texts.join(wanted, "num").select("num", "text", "asked").mapInArrow(_fragment_rows, "core long, num long, p int, ahead short, piece binary")
-
+    wanted = differ.groupBy("num").agg(F.collect_list(F.struct("p", "core", "shares")).alias("asked"))
+    fragments = texts.join(wanted, "num").select("num", "text", "asked").mapInArrow(_fragment_rows, "core long, share long, shares long, num long, p int, ahead short, piece binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = fragments(False).repartition(parts, "core").sortWithinPartitions("core").mapInArrow(_edge_rows, "num long, s long, e long")
-    out = same.unionByName(materialise(edges, "edges"))
-    if classes.where(F.col("h") > CLASS).limit(1).count():
-        strings = materialise(fragments(True).mapInArrow(_string_rows, "num long, s long, string long"), "strings")
-        twice = materialise(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "twice")
-        again = lookup(strings, twice, "string", "n", strings.count())
-        out = out.unionByName(materialise(again.select("num", "s", (F.col("s") + LENGTH).alias("e")), "again"))
+    edges = materialise(fragments.repartition(parts, "core", "share").sortWithinPartitions("core", "share").mapInArrow(_edge_rows, _EDGES), "edges")
+    strings = edges.where("string IS NOT NULL")
+    twice = materialise(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "twice")
+    asking = strings.where("asks").select("num", "s", "string")
+    again = lookup(asking, twice, "string", "n", asking.count()).select("num", "s", (F.col("s") + LENGTH).alias("e"))
+    out = same.unionByName(edges.where("string IS NULL").select("num", "s", "e")).unionByName(materialise(again, "again"))
     forget(texts.sparkSession)
     return out
 
