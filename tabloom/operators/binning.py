@@ -1,8 +1,7 @@
 """Supervised binning and single-factor analysis on train rows.
 
-Fine bins come from one aggregation over the data; the merging that follows works on at most
-a few dozen bins a variable and runs on the driver, or, for very many variables at once, as
-grouped pandas functions with one small group a variable (``propose_all``).
+Here are the rules on the bins of one variable, at most a few dozen: merging, shapes, information
+value, labels. Fine bins, cuts and proposals of all variables together are in ``variables``.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,20 +79,6 @@ def fine_cuts(train: DataFrame, column: str, k: int = FINE, grid: int = 2_000) -
         tt.unpersist()
 
 
-def numeric_bins(train: DataFrame, column: str, target: str, cuts: Sequence[float]) -> list[Bin]:
-    """Filled train rows by cuts, in order."""
-    x = num(F.col(f"`{column}`"))
-    rows = train.where(F.col(target).isNotNull()).select(x.alias("x"), F.col(target).alias("y")).where("x IS NOT NULL")
-    got = rows.groupBy(below(cuts, F.col("x"), False).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") > 0).alias("bad"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("b").collect()
-    return [Bin(r.n, r.bad, r.low, cuts[r.b] if r.b < len(cuts) else None) for r in got]
-
-
-def category_bins(train: DataFrame, column: str, target: str) -> list[Bin]:
-    """Categories by rising rate (ties: the larger first, then the name)."""
-    got = train.where(F.col(target).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) > 0).alias("bad")).collect()
-    return [Bin(r.n, r.bad, values=(r.c,)) for r in sorted(got, key=lambda r: (r.bad / r.n, -r.n, r.c))]
-
-
 def iv(bins: Sequence[Bin]) -> float | None:
     bad, good, k = sum(b.bad for b in bins), sum(b.n - b.bad for b in bins), len(bins)
     if not bad or not good:
@@ -158,9 +142,12 @@ def shape(bins: Sequence[Bin]) -> str:
     return ("artan" if steps[0] > 0 else "azalan") if not turns else ("U" if steps[0] < 0 else "ters U") if turns == 1 else "düzensiz"
 
 
-def best_bins(fine: Sequence[Bin]) -> tuple[list[Bin], str]:
-    """The better of rising and falling by IV; a U or inverted U only with a tenth more IV and three bins."""
-    total = sum(b.n for b in fine)
+def best_bins(fine: Sequence[Bin], total: int | None = None) -> tuple[list[Bin], str]:
+    """The better of rising and falling by IV; a U or inverted U only with a tenth more IV and three bins.
+
+    total: the rows that shares are of, those of the bins unless given.
+    """
+    total = sum(b.n for b in fine) if total is None else total
     settle = lambda bins: _distinct(_shares(list(bins), total))
     value = lambda bins: iv(bins) or 0.0
     best = max((settle(_pooled(fine, way)) for way in (True, False)), key=value)
@@ -187,39 +174,6 @@ class Proposal:
     note: str | None = None
 
 
-def propose(train: DataFrame, column: str, target: str, categorical: bool) -> Proposal:
-    """Bins of one variable: none below 100 filled rows or with one class, a single one below an IV of 0.02."""
-    fine = category_bins(train, column, target) if categorical else numeric_bins(train, column, target, fine_cuts(train, column))
-    kind, n, bad = "kategorik" if categorical else "sayisal", sum(b.n for b in fine), sum(b.bad for b in fine)
-    if n < MIN_ROWS or bad in (0, n):
-        return Proposal(column, [], "düz", None, kind, "too few rows or one class")
-    bins, form = best_bins(fine)
-    if (iv(bins) or 0.0) < MIN_IV:
-        whole = fine[0]
-        for b in fine[1:]:
-            whole = whole + b
-        return Proposal(column, [whole], "düz", iv(bins), kind, "IV below 0.02")
-    return Proposal(column, bins, form, iv(bins), kind)
-
-
-def fine_table(train: DataFrame, columns: Sequence[str], target: str, cuts: dict[str, list[float]]) -> DataFrame:
-    """(variable, b, n, bad, high) of many numeric variables, in one pass over the data."""
-    cells = F.array(*[F.struct(F.lit(c).alias("k"), below(cuts[c], num(F.col(f"`{c}`")), False).alias("b")) for c in columns])
-    counted = train.where(F.col(target).isNotNull()).select(F.explode(cells).alias("c"), F.col(target).alias("y")).where("c.b IS NOT NULL").groupBy(F.col("c.k").alias("variable"), F.col("c.b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("y") > 0).alias("bad"))
-    return counted
-
-
-def propose_all(fine: DataFrame) -> DataFrame:
-    """(variable, bins, shape, iv) for many variables, one task group of at most FINE rows each."""
-
-    def work(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("b")
-        bins, form = best_bins([Bin(int(n), int(b)) for n, b in zip(rows["n"], rows["bad"], strict=True)])
-        return pd.DataFrame({"variable": [rows["variable"].iloc[0]], "bins": [len(bins)], "shape": [form], "iv": [iv(bins)]})
-
-    return fine.groupBy("variable").applyInPandas(work, "variable string, bins int, shape string, iv double")
-
-
 def number_text(v: float, decimals: int = 2) -> str:
     """Turkish number format: dots between thousands, a decimal comma, no trailing zeros."""
     text = f"{v:,.0f}" if float(v).is_integer() else f"{v:,.{decimals}f}".rstrip("0").rstrip(".")

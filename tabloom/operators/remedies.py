@@ -11,32 +11,27 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import periods
 from tabloom.functions.exprs import num, spelling_key, turkish_lower
-from tabloom.operators import measures
-from tabloom.operators.binning import Bin, _distinct, _shares
+from tabloom.operators import measures, variables
 from tabloom.operators.checks import EMPTY_TEXTS, FIRST_YEAR, LAST_YEAR
 from tabloom.sources.store import materialise
 
-RARE, RARE_NAME, OTHER, TOP = 30, "Seyrek", "Diğer", 20
+RARE, OTHER, TOP = 30, "Diğer", 20
+#: A mapping on the driver has at most so many entries.
+MAPPED = 1_000
 Z = 2.58
 
 
 def learn_target_groups(train: DataFrame, column: str, target: str) -> dict[str, str]:
-    """category -> G1 .. Gn by rising target rate; categories below 30 train rows are one, "Seyrek"; neighbours merge by share and z test."""
-    got = train.where(F.col(target).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("c")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(target) > 0).alias("bad")).collect()
-    common = [Bin(r.n, r.bad, values=(r.c,)) for r in got if r.n >= RARE]
-    rare = [r for r in got if r.n < RARE]
-    if rare:
-        common.append(Bin(sum(r.n for r in rare), sum(r.bad for r in rare), values=tuple(sorted(r.c for r in rare))))
-    if not common:
-        return {}
-    order = sorted(common, key=lambda b: (b.rate, -b.n, b.values))
-    merged = _distinct(_shares(order, sum(b.n for b in order)))
-    return {v: f"G{i + 1}" for i, b in enumerate(merged) for v in b.values}
+    """``variables.target_groups`` of a column of few categories, as a mapping; columns of more than a thousand stay a table."""
+    rows = variables.target_groups(train, column, target, RARE).limit(MAPPED + 1).collect()
+    if len(rows) > MAPPED:
+        raise ValueError(f"{column} has over {MAPPED} categories: use variables.target_groups and with_group")
+    return {r.category: r.grp for r in rows}
 
 
 def target_group(column: str, groups: dict[str, str], default: str | None = None) -> Column:
     """The learnt group; a category that train never saw gets the default, the largest group unless given."""
-    c = F.col(f"`{column}`").cast("string")
+    c = variables.category_key(column)
     if not groups:
         return F.lit(None).cast("string")
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in sorted(groups.items()) for x in pair]), c), F.lit(default or max(sorted(set(groups.values())), key=list(groups.values()).count)))
@@ -44,11 +39,9 @@ def target_group(column: str, groups: dict[str, str], default: str | None = None
 
 def groups_hold(train: DataFrame, column: str, target: str, parity: Column) -> bool:
     """Groups learnt on one half separate the other: AUC 2.58 standard errors above a half."""
-    groups = learn_target_groups(train.where(parity == 1), column, target)
-    if not groups:
-        return False
-    score = target_group(column, groups).alias("g")
-    rows = train.where(parity == 0).select(score, F.col(target).alias("y")).withColumn("s", F.substring("g", 2, 9).cast("double"))
+    groups = variables.target_groups(train.where(parity == 1), column, target, RARE)
+    marked = variables.with_group(train.where(parity == 0).select(F.col(f"`{column}`"), F.col(f"`{target}`").alias("__y")), groups, column, "__g")
+    rows = marked.select(F.substring("__g", 2, 9).cast("double").alias("s"), F.col("__y").alias("y"))
     row = measures.separation(measures.class_counts(rows, [], "s", "y"), [], "s", "bad", "good").first()
     if row is None or row.auc is None:
         return False

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, dictionary, features, measures, remedies, select
+from tabloom.operators import binning, dictionary, features, measures, remedies, select, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
+from tabloom.sources.store import materialise
 
 R = Registry()
 _AMT = [(f"TXN_AMT_L{d}D", d) for d in (30, 90, 180, 360)]
@@ -209,9 +210,26 @@ def single_factor(spark: SparkSession, sf: str) -> DataFrame:
 @R.add()
 def binning_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Supervised binning of several variables: fine bins in one pass, merging by grouped functions."""
-    train = items(spark, sf).where("tr")
-    columns = ["l_quantity", "l_extendedprice", "disc", "tax"]
-    return binning.propose_all(binning.fine_table(train, columns, "y", {c: binning.fine_cuts(train, c) for c in columns}))
+    sets = F.when(F.col("tr"), variables.TRAIN).otherwise("test")
+    out = variables.proposals(items(spark, sf), ["l_quantity", "l_extendedprice", "disc", "tax"], ["l_returnflag", "l_linestatus"], "y", sets)
+    return rounded(out.withColumn("test", F.col("consistency")["test"]).drop("consistency"), "iv", "c", "iv_bins", "iv_median")
+
+
+_CUTS = f"""WITH RECURSIVE v AS (SELECT k, x, CAST(sum(n) OVER (PARTITION BY k ORDER BY x) AS DOUBLE) AS upto, CAST(sum(n) OVER (PARTITION BY k) AS DOUBLE) AS total, count(*) OVER (PARTITION BY k) AS d, max(x) OVER (PARTITION BY k) AS last
+FROM (SELECT k, x, count(*) AS n FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'disc', 'tax']) AS k, unnest([l_quantity, l_extendedprice, disc, tax]) AS x FROM {ITEMS} WHERE tr) WHERE x IS NOT NULL GROUP BY 1, 2)),
+r AS (SELECT DISTINCT k, CAST(20 AS BIGINT) AS b, CAST(0 AS DOUBLE) AS done, CAST(NULL AS DOUBLE) AS cut FROM v WHERE d > 20
+UNION ALL SELECT r.k, r.b - 1, min(v.upto), min(v.x) FROM r JOIN v ON v.k = r.k AND v.upto - r.done >= (v.total - r.done) / r.b AND v.x < v.last WHERE r.b > 1 GROUP BY r.k, r.b),
+c AS (SELECT k, cut FROM r WHERE cut IS NOT NULL UNION ALL SELECT k, x FROM v WHERE d <= 20 AND x < last),
+a AS (SELECT k, list(cut) AS cuts FROM c GROUP BY 1), m AS (SELECT k, x, y, tr FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'disc', 'tax']) AS k, unnest([l_quantity, l_extendedprice, disc, tax]) AS x, y, tr FROM {ITEMS}))
+SELECT k, CASE WHEN tr THEN 'train' ELSE 'test' END AS s, CASE WHEN x IS NULL THEN -1 ELSE len(list_filter(cuts, lambda c: c < x)) END AS b, count(*) AS n, CAST(sum(y) AS BIGINT) AS bad, min(x) AS low, max(x) AS high FROM m JOIN a USING (k) GROUP BY 1, 2, 3"""
+
+
+@R.add(_CUTS)
+def binning_fine(spark: SparkSession, sf: str) -> DataFrame:
+    """Equal-frequency bins of several variables together, nulls a bin of their own, counted in every set."""
+    df, names = items(spark, sf), ["l_quantity", "l_extendedprice", "disc", "tax"]
+    values = materialise(variables.value_counts(df, names, "y", F.when(F.col("tr"), variables.TRAIN).otherwise("test"), False), "values")
+    return variables.fine_bins(values, variables.equal_cuts(materialise(variables.running(values), "running"))).drop("whole")
 
 
 @R.add(f"""SELECT CASE WHEN disc IS NULL THEN 'Eksik' WHEN disc <= 0.03 THEN '≤ 0,03' WHEN disc <= 0.07 THEN '0,03 - 0,07' ELSE '> 0,07' END AS label, CASE WHEN l_returnflag = 'A' THEN 'G1' WHEN l_returnflag = 'N' THEN 'G2' ELSE 'Diğer' END AS grp, count(*) AS n FROM {ITEMS} GROUP BY 1, 2""")
@@ -271,8 +289,8 @@ def remedies_apply(spark: SparkSession, sf: str) -> DataFrame:
 def remedies_target_groups(spark: SparkSession, sf: str) -> DataFrame:
     """Categories grouped by their target rate on train rows."""
     df = items(spark, sf).withColumn("k", (F.col("l_partkey") % 23).cast("string"))
-    groups = remedies.learn_target_groups(df.where("tr"), "k", "y")
-    return df.groupBy(remedies.target_group("k", groups).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("rate"))
+    groups = variables.target_groups(df.where("tr"), "k", "y", remedies.RARE)
+    return variables.with_group(df, groups, "k", "g").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("y"), 6).alias("rate"))
 
 
 @R.add("""SELECT l_orderkey, l_linenumber, date_diff('day', CAST(l_shipdate AS DATE), last_day(CAST(l_shipdate AS DATE))) AS days, CASE WHEN l_orderkey % 50 = 0 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS d FROM lineitem""")
