@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import periods
 from tabloom.functions.exprs import num, spelling_key, turkish_lower
-from tabloom.operators import measures
+from tabloom.operators import gram, measures
 from tabloom.operators.profile import numeric, kind_of, value_table
 
 #: Codes that hide a missing value, fixed values.
@@ -21,6 +21,8 @@ EMPTY_TEXTS = ("", "null", "none", "nan", "nat", "n/a", "na", "#n/a", "nil", "un
 NEVER_NEGATIVE = ("adet", "sayı", "sayi", "gün", "gun", "süre", "sure", "yaş", "yas", "kez", "frekans")
 NEVER_NEGATIVE_WORDS = ("ay", "ayı", "aylar", "yıl", "yılı", "yil", "yili")
 FIRST_YEAR, LAST_YEAR = 1901, 2200
+#: Pairs of near copies whose ratios one aggregation measures.
+RATIOS = 200
 
 
 def column_rules(profiled: DataFrame, null_share: float = 0.5, id_share: float = 0.95, id_min: int = 100, cardinality: int = 50, dominant: float = 0.99) -> DataFrame:
@@ -251,7 +253,8 @@ def near_copies(df: DataFrame, columns: Sequence[str], least: float = 0.99) -> D
     """(column, copy, r, relation): numeric columns that correlate at ``least`` or are a constant multiple.
 
     Candidates share null count, zero count and the rounded quantiles of their standard form,
-    up to sign; then one aggregation measures all candidate pairs on all rows.
+    up to sign; one pass over the candidates' columns (``gram``) correlates them, however many
+    share a signature, and the ratios of those that do correlate are measured RATIOS pairs at a time.
     """
     x = {c: num(F.col(f"`{c}`")) for c in columns}
     tt = _numeric_table(df, columns)
@@ -264,16 +267,15 @@ def near_copies(df: DataFrame, columns: Sequence[str], least: float = 0.99) -> D
             z = [round((v - moments[f"m{i}"]) / moments[f"s{i}"], 1) + 0.0 for v in quantile[c]]
             mark = min(tuple(z), tuple(-v + 0.0 for v in reversed(z)))
             buckets.setdefault((moments[f"n{i}"], moments[f"z{i}"], mark), []).append(c)
-    pairs = [p for group in buckets.values() for p in combinations(group, 2)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "column string, copy string, r double, relation string")
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        ratio = F.try_divide(F.when(x[a] != 0, x[b]), F.when(x[a] != 0, x[a]))
-        aggs += [F.corr(x[a], x[b]).alias(f"r{i}"), F.stddev_samp(ratio).alias(f"s{i}"), F.avg(ratio).alias(f"m{i}")]
-    row = df.agg(*aggs).first()
-    found = [(a, b, row[f"r{i}"], "kat" if row[f"s{i}"] is not None and row[f"s{i}"] <= 1e-9 * max(abs(row[f"m{i}"]), 1) else "kor") for i, (a, b) in enumerate(pairs) if row[f"r{i}"] is not None and abs(row[f"r{i}"]) >= least]
-    return df.sparkSession.createDataFrame(found, "column string, copy string, r double, relation string")
+    together = {c: i for i, group in enumerate(buckets.values()) for c in group if len(group) > 1}
+    strong = [(r.a, r.b, r.r) for r in gram.correlations(df, [c for c in columns if c in together], least).collect() if together[r.a] == together[r.b]]
+    kinds: dict[tuple[str, str], str] = {}
+    for at in range(0, len(strong), RATIOS):
+        part = strong[at : at + RATIOS]
+        ratio = [F.try_divide(F.when(x[a] != 0, x[b]), F.when(x[a] != 0, x[a])) for a, b, _ in part]
+        row = df.agg(*[f(q).alias(f"{n}{i}") for i, q in enumerate(ratio) for n, f in (("s", F.stddev_samp), ("m", F.avg))]).first()
+        kinds |= {(a, b): "kat" if row[f"s{i}"] is not None and row[f"s{i}"] <= 1e-9 * max(abs(row[f"m{i}"]), 1) else "kor" for i, (a, b, _) in enumerate(part)}
+    return df.sparkSession.createDataFrame([(a, b, r, kinds[a, b]) for a, b, r in strong], "column string, copy string, r double, relation string")
 
 
 def _violations(df: DataFrame, tests: list[tuple[str, str, str, Column, Column]]) -> DataFrame:

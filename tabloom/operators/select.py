@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import below, num
-from tabloom.operators import measures
+from tabloom.operators import gram, measures
 
 
 def leaks(train: DataFrame, columns: Sequence[str], target: str, most: float = 0.95) -> DataFrame:
@@ -18,15 +17,9 @@ def leaks(train: DataFrame, columns: Sequence[str], target: str, most: float = 0
     return train.sparkSession.createDataFrame([(c, row[f"r{i}"]) for i, c in enumerate(columns) if row[f"r{i}"] is not None and abs(row[f"r{i}"]) > most], "column string, r double")
 
 
-def correlations(train: DataFrame, columns: Sequence[str], batch: int = 500) -> dict[tuple[str, str], float]:
-    """Pairwise correlations over rows where both are filled; ``batch`` pairs to an aggregation."""
-    pairs, out = list(combinations(columns, 2)), {}
-    x = {c: num(F.col(f"`{c}`")) for c in columns}
-    for start in range(0, len(pairs), batch):
-        part = pairs[start : start + batch]
-        row = train.agg(*[F.corr(F.when(x[b].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[b])).alias(f"r{i}") for i, (a, b) in enumerate(part)]).first()
-        out |= {p: row[f"r{i}"] for i, p in enumerate(part) if row[f"r{i}"] is not None}
-    return out
+def correlations(train: DataFrame, columns: Sequence[str], least: float = 0.0) -> dict[tuple[str, str], float]:
+    """Pairwise correlations of at least ``least`` over rows where both are filled; one pass for all pairs (``gram``)."""
+    return {(r.a, r.b): r.r for r in gram.correlations(train, columns, least).collect()}
 
 
 def prune_correlated(r: dict[tuple[str, str], float], priority: dict[str, float], most: float = 0.95) -> dict[str, str]:
@@ -92,7 +85,7 @@ def select(train: DataFrame, columns: Sequence[str], target: str, priority: dict
     rest = [c for c in columns if c not in reason]
     reason |= {r["column"]: "quasi constant" for r in quasi_constant(train, rest).collect()} if rest else {}
     rest = [c for c in rest if c not in reason]
-    reason |= {c: f"correlates with {k}" for c, k in prune_correlated(correlations(train, rest), priority).items()}
+    reason |= {c: f"correlates with {k}" for c, k in prune_correlated(correlations(train, rest, 0.95), priority).items()}
     return train.sparkSession.createDataFrame([(c, c not in reason, reason.get(c)) for c in columns], "column string, kept boolean, reason string")
 
 

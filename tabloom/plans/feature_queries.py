@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, dictionary, features, measures, remedies, select, variables
+from tabloom.operators import binning, dictionary, features, gram, measures, remedies, select, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
 from tabloom.sources.store import materialise
 
@@ -342,6 +342,17 @@ def selection(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("reason", F.regexp_replace("reason", " r=.*", ""))
 
 
+_PAIRED = ("l_quantity", "l_extendedprice", "disc", "tax", "y", "gap")
+_GAP = f"(SELECT *, CASE WHEN l_partkey % 3 <> 0 THEN l_quantity * (1 - disc) END AS gap FROM {ITEMS})"
+
+
+@R.add(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, count(*) FILTER ({a} IS NOT NULL AND {b} IS NOT NULL) AS n, round(corr({a}, {b}), 6) AS r FROM {_GAP}" for i, a in enumerate(_PAIRED) for b in _PAIRED[i + 1 :]))
+def selection_correlations(spark: SparkSession, sf: str) -> DataFrame:
+    """Correlations of all pairs of columns over rows where both are filled, from one pass."""
+    df = items(spark, sf).withColumn("gap", F.when(F.col("l_partkey") % 3 != 0, F.col("l_quantity") * (1 - F.col("disc"))))
+    return rounded(gram.correlations(df, _PAIRED), "r")
+
+
 @R.add(f"""WITH c AS (SELECT coalesce(CAST(l_quantity > 10 AS INT) + CAST(l_quantity > 30 AS INT), -1) AS b, y, count(*) AS n FROM {ITEMS} GROUP BY 1, 2), s AS (SELECT n, sum(n) OVER (PARTITION BY b) AS nb, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS t FROM c)
 SELECT 'l_quantity' AS "column", round(sum(n / t * ln(n * t / (nb * ny))), 6) AS mi FROM s""")
 def selection_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
