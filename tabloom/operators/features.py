@@ -330,29 +330,10 @@ def worth(iv_gain: float, rho: float, auc_gain: float | None = None) -> bool:
 
 
 def linear_gain(df: DataFrame, source: str, candidate: str, target: str, keys: Sequence[str]) -> float:
-    """AUC of a logistic on (source, candidate) less that on the source alone, crossed over two halves; below two standard errors it is 0."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-
-    rows = df.select(_x(source).alias("s"), _x(candidate).alias("c"), F.col(target).cast("double").alias("y"), fold_of(keys, 2).alias("h")).dropna().cache()
-    scores: dict[str, list[float]] = {"one": [], "two": []}
-    n_bad = n_good = 0
-    for half in (0, 1):
-        for name, cols in (("one", ["s"]), ("two", ["s", "c"])):
-            ready = VectorAssembler(inputCols=cols, outputCol="f").transform(rows)
-            model = LogisticRegression(featuresCol="f", labelCol="y", maxIter=25).fit(ready.where(F.col("h") == half))
-            from pyspark.ml.functions import vector_to_array
-
-            scored = model.transform(ready.where(F.col("h") != half)).select(F.round(vector_to_array("probability")[1], 9).alias("p"), "y")
-            row = measures.separation(measures.class_counts(scored, [], "p", "y"), [], "p", "bad", "good").first()
-            scores[name].append(row.auc if row and row.auc is not None else 0.5)
-            if row and name == "two":
-                n_bad, n_good = n_bad + row.n_bad, n_good + row.n_good
-    rows.unpersist()
-    gain = sum(scores["two"]) / 2 - sum(scores["one"]) / 2
-    a = sum(scores["two"]) / 2
-    error = math.sqrt(max(a * (1 - a), 1e-12) / max(min(n_bad, n_good), 1))
-    return gain if gain >= 2 * error else 0.0
+    """AUC of a logistic on (source, candidate) less that on the source alone; 0 below two standard errors or where it can't be measured (``uplift.linear_gains``)."""
+    from tabloom.operators import uplift
+
+    return uplift.linear_gains(df, [(candidate, source)], target, keys)[candidate, source] or 0.0
 
 
 def prune(names: Sequence[str]) -> list[str]:

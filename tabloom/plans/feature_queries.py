@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, dictionary, features, gram, measures, remedies, select, variables
+from tabloom.operators import binning, dictionary, features, gram, measures, remedies, select, uplift, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
 from tabloom.sources.store import materialise
 
@@ -201,6 +201,38 @@ def measure_candidate(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(features.candidate_iv(items(spark, sf).where("tr"), "disc", "y"), "iv")
 
 
+_UPLIFT = {"kare": ["l_quantity"], "carpim": ["l_quantity", "disc"], "toplam": ["l_quantity", "l_linenumber"]}
+_UPLIFT_SQL = f"""WITH t AS (SELECT *, l_quantity * l_quantity AS kare, l_quantity * disc AS carpim, l_quantity * 100 + l_linenumber * 37.0 AS toplam FROM {ITEMS} WHERE tr),
+m AS (SELECT unnest(['l_quantity', 'disc', 'l_linenumber', 'kare', 'carpim', 'toplam']) AS k, unnest([l_quantity, disc, CAST(l_linenumber AS DOUBLE), kare, carpim, toplam]) AS x, y FROM t),
+q AS (SELECT k, count(DISTINCT x) AS d, list_distinct(quantile_cont(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS cuts FROM m GROUP BY 1),
+b AS (SELECT k, CASE WHEN x IS NULL THEN '-' WHEN d <= 10 THEN CAST(x AS VARCHAR) ELSE CAST(len(list_filter(cuts, lambda c: c < x)) AS VARCHAR) END AS b, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM m JOIN q USING (k) GROUP BY 1, 2),
+p AS (SELECT k, (bad + 0.5) / (sum(bad) OVER w + 0.5 * count(*) OVER w) AS pb, (good + 0.5) / (sum(good) OVER w + 0.5 * count(*) OVER w) AS pg FROM b WINDOW w AS (PARTITION BY k)),
+iv AS (SELECT k, sum((pb - pg) * ln(pb / pg)) AS iv FROM p GROUP BY 1), pairs AS (SELECT * FROM (VALUES ('kare', 'l_quantity'), ('carpim', 'l_quantity'), ('carpim', 'disc'), ('toplam', 'l_quantity'), ('toplam', 'l_linenumber')) v(c, s)),
+g AS (SELECT pairs.c, any_value(a.iv) AS iv, max(z.iv) AS source_iv FROM pairs JOIN iv a ON a.k = c JOIN iv z ON z.k = s GROUP BY 1),
+r AS (SELECT y, {", ".join(f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY {c} IS NULL ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 END AS {c}" for c in ("l_quantity", "disc", "l_linenumber", "kare", "carpim", "toplam"))} FROM t),
+rho AS (SELECT 'kare' AS c, abs(corr(kare, l_quantity)) AS r FROM r UNION ALL SELECT 'carpim', greatest(abs(corr(carpim, l_quantity)), abs(corr(carpim, disc))) FROM r UNION ALL SELECT 'toplam', greatest(abs(corr(toplam, l_quantity)), abs(corr(toplam, l_linenumber))) FROM r)
+SELECT c AS "column", round(iv, 6) AS iv, round(source_iv, 6) AS source_iv, round(iv - source_iv, 6) AS gain, CASE WHEN iv - source_iv >= 0.02 THEN round(r, 6) END AS rho FROM g JOIN rho USING (c)"""
+
+
+def _made(spark: SparkSession, sf: str) -> DataFrame:
+    q = F.col("l_quantity")
+    return items(spark, sf).where("tr").withColumns({"kare": q * q, "carpim": q * F.col("disc"), "toplam": q * 100 + F.col("l_linenumber") * 37.0})
+
+
+@R.add(_UPLIFT_SQL)
+def features_uplift(spark: SparkSession, sf: str) -> DataFrame:
+    """What candidate features add to the information value of their sources, and how alike they order the rows."""
+    out = uplift.measure(_made(spark, sf), _UPLIFT, "y", ["l_orderkey", "l_linenumber"])
+    return rounded(out.select("column", "iv", "source_iv", "gain", "rho"), "iv", "source_iv", "gain", "rho")
+
+
+@R.add()
+def features_linear_gain(spark: SparkSession, sf: str) -> DataFrame:
+    """What candidates add to a logistic model on their source, all models fitted in the same passes."""
+    out = uplift.measure(_made(spark, sf), {"kare": ["l_quantity"], "carpim": ["disc"], "toplam": ["l_linenumber"]}, "y", ["l_orderkey", "l_linenumber"], ["kare", "carpim", "toplam"])
+    return rounded(out.select("column", "linear_gain", "worth"), "linear_gain")
+
+
 @R.add(f"""WITH v AS (SELECT l_quantity AS x, count(*) FILTER (y = 1) AS bad, count(*) FILTER (y = 0) AS good FROM {ITEMS} WHERE tr GROUP BY 1), c AS (SELECT *, coalesce(sum(good) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS gb FROM v)
 SELECT 'l_quantity' AS "column", round(greatest(a, 1 - a), 6) AS c_value, greatest(a, 1 - a) > 0.95 AS leak FROM (SELECT sum(bad * (gb + good / 2.0)) / (sum(bad) * sum(good)) AS a FROM c)""")
 def single_factor(spark: SparkSession, sf: str) -> DataFrame:

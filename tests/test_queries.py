@@ -9,7 +9,7 @@ from tabloom.plans import catalog
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 #: Learnt groupings, models and out-of-fold scores; SQL has no counterpart, the other tests cover them.
-WITHOUT_SQL = {"binning_proposals", "remedies_target_groups", "text_scores", "model_importance", "model_comparison", "text_topics"}
+WITHOUT_SQL = {"binning_proposals", "remedies_target_groups", "text_scores", "model_importance", "model_comparison", "text_topics", "features_linear_gain"}
 
 
 @pytest.fixture(scope="module")
