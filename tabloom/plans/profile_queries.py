@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import checks, profile
+from tabloom.operators import checks, cube, profile
 from tabloom.plans.base import FAMILY, ITEMS, ORDERS, Registry, family_table, items, orders, rounded, t
 
 R = Registry()
@@ -262,3 +262,30 @@ def check_amounts(spark: SparkSession, sf: str) -> DataFrame:
 def check_precision(spark: SparkSession, sf: str) -> DataFrame:
     df = t(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") / 3).alias("third"))
     return checks.decimal_precision(df, ["l_quantity", "l_extendedprice", "third"])
+
+
+_ADVISED = ["l_quantity", "almost", "gap", "jump", "drift", "far", "days", "said", "city", "thin"]
+_ADVICE = f"""WITH c AS {_C}, n AS (SELECT count(DISTINCT p) AS d, count(*) AS t FROM c), tr AS (SELECT avg(y) FILTER (almost = 1) AS a, avg(y) FILTER (almost = 0) AS b, count(*) FILTER (almost = 1) AS m FROM c WHERE tr),
+g AS (SELECT p, count(gap) AS f FROM c GROUP BY 1), r AS (SELECT p, f, row_number() OVER (ORDER BY p) AS i FROM g), e AS (SELECT count(*) AS m, max(i) AS l FROM r WHERE f = 0),
+s AS (SELECT k, p, f, lag(f) OVER (PARTITION BY k ORDER BY p) AS b FROM (SELECT 'jump' AS k, p, 1 - count(jump) / count(*) AS f FROM c GROUP BY p UNION ALL SELECT 'gap', p, 1 - count(gap) / count(*) FROM c GROUP BY p)),
+j AS (SELECT * FROM s WHERE abs(f - b) > 0.2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY abs(f - b) DESC, p) = 1),
+q AS (SELECT p, count(*) AS m, quantile_cont(drift, 0.25) AS a, quantile_cont(drift, 0.5) AS b, quantile_cont(drift, 0.75) AS c FROM c WHERE drift <> 0 GROUP BY p),
+l AS (SELECT *, least(a / lag(a) OVER w, b / lag(b) OVER w, c / lag(c) OVER w) AS f, b / lag(b) OVER w AS rb, lag(m) OVER w AS bm FROM q WINDOW w AS (ORDER BY p)), z AS (SELECT f, rb FROM l WHERE m >= 30 AND bm >= 30 AND f >= 10 ORDER BY f DESC LIMIT 1)
+SELECT 'almost' AS "column", 'baskin' AS finding, CASE WHEN m < 30 OR greatest(a, b) = 0 OR (least(a, b) > 0 AND greatest(a, b) / least(a, b) < 1.5) THEN 'cikar' ELSE 'tut' END AS advice,
+ CASE WHEN m < 30 THEN 'az_satir' WHEN greatest(a, b) = 0 THEN 'olay_yok' WHEN least(a, b) = 0 OR greatest(a, b) / least(a, b) >= 1.5 THEN 'ayirir' ELSE 'ayirmaz' END AS reason, round(a, 6) AS figure, round(b, 6) AS against FROM tr WHERE (SELECT avg(CAST(almost = 0 AS DOUBLE)) FROM c) >= 0.99
+UNION ALL SELECT 'gap', 'donem', CASE WHEN l = m AND m <= 0.35 * d AND l <> d THEN 'tut' ELSE 'cikar' END, CASE WHEN l = d THEN 'son_donem' WHEN l = m AND m <= 0.35 * d THEN 'ilk_donemler' ELSE 'tutarsiz' END, m, d FROM e, n WHERE m > 0
+UNION ALL SELECT k, 'sicrama', CASE WHEN f > b AND f >= 0.5 THEN 'cikar' ELSE 'tut' END, CASE WHEN f <= b THEN 'azaldi' WHEN f >= 0.5 THEN 'asti' ELSE 'artti' END, round(b, 6), round(f, 6) FROM j
+UNION ALL SELECT 'drift', 'kayma', CASE WHEN abs(log10(f) - round(log10(f))) <= 0.05 THEN 'cikar' ELSE 'tut' END, CASE WHEN abs(log10(f) - round(log10(f))) <= 0.05 THEN 'birim' ELSE 'degisim' END, round(f, 6), round(rb, 6) FROM z
+UNION ALL SELECT 'far', 'uc', 'kirp', 'kat', max(far), round(quantile_cont(far, 0.99), 6) FROM c HAVING max(far) > 100 * quantile_cont(far, 0.99)
+UNION ALL SELECT 'days', 'negatif', CASE WHEN count(*) FILTER (days < 0) < 0.05 * count(*) THEN 'negatif_bos' ELSE 'birak' END, CASE WHEN count(*) FILTER (days < 0) < 0.05 * count(*) THEN 'az' ELSE 'sistematik' END, count(*) FILTER (days < 0), min(days) FROM c HAVING count(*) FILTER (days < 0) > 0
+UNION ALL SELECT k, 'ondalik', 'tam_sayi', 'tam', 4, f FROM (SELECT unnest(['l_quantity', 'gap', 'jump', 'days', 'thin', 'far']) AS k, unnest([count(l_quantity), count(gap), count(jump), count(days), count(thin), count(far)]) AS f FROM c)
+UNION ALL SELECT 'drift', 'ondalik', 'yuvarla', 'fazla', 4, count(drift) FROM c HAVING bool_or(round(drift, 4) <> drift)
+UNION ALL SELECT 'said', 'metin_bos', 'metin_bos_bayrak', 'cok', count(*) FILTER (said <> 'dolu'), round(count(*) FILTER (said <> 'dolu') / count(*), 6) FROM c
+UNION ALL SELECT 'city', 'yazim', 'tek_yazim', 'yazimlar', 1, count(*) FILTER (city IN ('istanbul', 'ISTANBUL ')) FROM c"""
+
+
+@R.add(_ADVICE)
+def advice_findings(spark: SparkSession, sf: str) -> DataFrame:
+    """Keep, drop or mend: what the battery finds on a table, with the numbers that decide, from one count cube."""
+    out = cube.keep_or_drop(_checked(spark, sf), _ADVISED, "p", "y", F.col("tr"), {"days": "gün sayısı"})
+    return rounded(out, "figure", "against")
