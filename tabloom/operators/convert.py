@@ -120,3 +120,29 @@ def suggest(profile: dict) -> str | None:
     if p["kind"] == "tam" and 1 < p["distinct"] <= MAX_LEVELS and p.get("named_code"):
         return "kategorik_metin"
     return None
+
+
+def facts(df: DataFrame, columns: list[str]) -> list[tuple[str, dict]]:
+    """For each column what ``suggest`` asks about, from one aggregation over the table."""
+    aggs, kinds = [], {}
+    for i, n in enumerate(columns):
+        kind = df.schema[n].dataType
+        c = F.col(f"`{n}`")
+        text = rendered(c, kind, True)
+        filled = F.when(text != "", text)
+        bad = lambda code, c=c, kind=kind, filled=filled: F.count_if(filled.isNotNull() & convert(c, code, kind, True).isNull())
+        kinds[n] = "metin" if isinstance(kind, T.StringType) else "tam" if isinstance(kind, T.IntegralType) else "ondalik" if isinstance(kind, T.NumericType) else "tarih"
+        aggs += [
+            F.count(filled).alias(f"filled{i}"), bad("donem_ym6").alias(f"bad_ym6{i}"), bad("donem_ymd8").alias(f"bad_ymd8{i}"), bad("sayisal_nokta").alias(f"bad_number{i}"),
+            bad("tarih_ymd").alias(f"bad_date{i}"), F.count_if(filled.rlike("^0[0-9]")).alias(f"leading_zero{i}"), F.count_distinct(filled).alias(f"distinct{i}"),
+        ]
+    row = df.agg(*aggs).first()
+    keys = ("filled", "bad_ym6", "bad_ymd8", "bad_number", "bad_date", "leading_zero", "distinct")
+    named = lambda n: n.upper().endswith(("KOD", "CODE", "CD"))
+    return [(n, {"kind": kinds[n], "named_code": named(n), **{k: row[f"{k}{i}"] for k in keys}}) for i, n in enumerate(columns)]
+
+
+def suggestions(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, code) of the columns whose values all fit a conversion, by the first rule they meet; others have no row."""
+    found = [(n, code) for n, f in facts(df, columns) if (code := suggest(f))]
+    return df.sparkSession.createDataFrame(found, "column string, code string")

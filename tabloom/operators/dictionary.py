@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Sequence
 from itertools import pairwise
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import turkish_fold
@@ -63,6 +63,43 @@ def registry(features: DataFrame, quality: DataFrame, selection: DataFrame) -> D
     return features.join(q, "name", "left").join(s, "name", "left").withColumn("status", status).orderBy(rank, F.col("importance").desc_nulls_last(), "name")
 
 
+# ---- names in tables: any number of them ----------------------------------------------------
+
+_SPLIT = "_+|(?<=[a-zçğıöşü])(?=[A-ZÇĞİÖŞÜ])"
+_PERIOD_WORD = "^((SON|L|LAST|PREV|NEXT|ILK|GELECEK)_?)?[0-9]{1,3}[DGWMAQY]$"
+
+
+def name_tokens(name: Column) -> Column:
+    """Parts of a name, as ``tokens``, in upper case."""
+    return F.transform(F.filter(F.split(name, _SPLIT), lambda t: t != ""), lambda t: F.upper(t))
+
+
+def pattern_table(names: DataFrame, name: str = "name") -> DataFrame:
+    """(pattern, n, examples): period tokens with # for numbers, how many names hold one, the least three of them."""
+    rows = names.where(F.col(name).isNotNull()).select(name, F.explode(F.array_distinct(F.transform(F.filter(name_tokens(F.col(name)), lambda t: t.rlike(_PERIOD_WORD)), lambda t: F.regexp_replace(t, "[0-9]+", "#")))).alias("pattern"))
+    few = rows.groupBy("pattern", name).agg(F.count(F.lit(1)).alias("m"))
+    best = few.withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy(name))).where("r <= 3").groupBy("pattern").agg(F.sort_array(F.collect_list(name)).alias("examples"))
+    return few.groupBy("pattern").agg(F.sum("m").alias("n")).join(best, "pattern")
+
+
+def adjacent_table(names: DataFrame, support: int = 3, name: str = "name") -> DataFrame:
+    """(first, second, n): neighbouring tokens that occur together at least ``support`` times."""
+    t = name_tokens(F.col(name))
+    pairs = F.arrays_zip(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))).alias("first"), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))).alias("second"))
+    return names.where(F.col(name).isNotNull()).select(F.explode(pairs).alias("p")).groupBy("p.first", "p.second").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= support)
+
+
+def looks_ahead(name: Column) -> Column:
+    """Whether a name holds a window that lies in the future: such a column would leak."""
+    return F.exists(name_tokens(name), lambda t: t.rlike("^(NEXT|GELECEK)_?[0-9]{1,3}[DGWMAQY]$"))
+
+
+def standard(name: Column) -> Column:
+    """Upper case, single underscores, window tokens last, as ``standard_name``."""
+    t = name_tokens(name)
+    return F.concat_ws("_", F.filter(t, lambda x: ~x.rlike(_PERIOD_WORD)), F.filter(t, lambda x: x.rlike(_PERIOD_WORD)))
+
+
 # ---- names: small inputs, plain Python -------------------------------------------------------
 
 

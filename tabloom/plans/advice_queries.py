@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import spelling_key
-from tabloom.operators import advice, binning, dictionary, features, remedies
+from tabloom.operators import advice, binning, remedies
 from tabloom.plans.base import ITEMS, Registry, items, rounded, t
 
 R = Registry()
@@ -128,21 +128,3 @@ def remedies_prefixes(spark: SparkSession, sf: str) -> DataFrame:
 def binning_bands(spark: SparkSession, sf: str) -> DataFrame:
     """Names of information values, here of a share of each customer."""
     return t(spark, sf, "customer").select("c_custkey", binning.iv_band(F.col("c_acctbal") / 10000).alias("band"))
-
-
-_NAMES = ["TXN_OUT_AMT_L30D", "TXN_OUT_AMT_L90D", "TXN_IN_AMT_L30D", "TXN_OUT_CNT_L30D", "L7D_TXN_TOT_AMT", "CARD_LIMIT_NEXT3M", "CUSTOMER_AGE", "CUSTMER_AGE"]
-
-
-@R.add("""SELECT * FROM (VALUES ('adjacent', 'TXN OUT', 3), ('family', 'TXN_OUT_AMT', 2), ('future', 'CARD_LIMIT_NEXT3M', 1), ('pair', 'TXN_IN_AMT_L30D TXN_OUT_AMT_L30D', 1), ('pair', 'TXN_OUT_AMT_L30D TXN_OUT_CNT_L30D', 1),
-('similar', 'CUSTMER CUSTOMER', 2), ('standard', 'TXN_TOT_AMT_L7D', 1), ('feasible', 'oran woe', 2), ('columns', 'oran fark', 4)) v(what, text, n)""")
-def names_structure(spark: SparkSession, sf: str) -> DataFrame:
-    """What column names say: neighbours, families, pairs, columns that look ahead, like words, standard names, codes for trees, counts of new columns."""
-    rows = [("adjacent", " ".join(p), n) for p, n in dictionary.adjacent(_NAMES).items()]
-    rows += [("family", stem, len(members)) for stem, members in features.families(_NAMES).items()]
-    rows += [("future", c, 1) for c in dictionary.future_columns(_NAMES)]
-    rows += [("pair", f"{a} {b}", 1) for _, a, b in features.pairs(_NAMES)]
-    rows += [("similar", " ".join(g), len(g)) for g in dictionary.similar_tokens(_NAMES)]
-    rows += [("standard", dictionary.standard_name(c), 1) for c in _NAMES if dictionary.standard_name(c) != c]
-    fit = advice.feasible(["kare", "oran", "esik", "woe"], "agac")
-    rows += [("feasible", " ".join(fit), len(fit)), ("columns", "oran fark", features.estimate(3, ["oran", "fark"]))]
-    return spark.createDataFrame(rows, "what string, text string, n int")

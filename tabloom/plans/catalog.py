@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.plans import advice_queries, feature_queries, merge_queries, more_queries, profile_queries
+from tabloom.plans import advice_queries, feature_queries, merge_queries, more_queries, profile_queries, table_queries
 from tabloom.plans.base import Query
 
-_MODULES = (merge_queries, profile_queries, feature_queries, more_queries, advice_queries)
+_MODULES = (merge_queries, profile_queries, feature_queries, more_queries, advice_queries, table_queries)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, dictionary, features, gram, measures, remedies, select, uplift, variables
+from tabloom.operators import binning, features, gram, measures, remedies, select, uplift, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
 from tabloom.sources.store import materialise
 
@@ -391,36 +391,4 @@ def selection_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(select.mutual_information(items(spark, sf), "l_quantity", "y", (10.0, 30.0)), "mi")
 
 
-@R.add("""SELECT 'kosullu' AS verdict, 6 AS n""")
-def validation_gate(spark: SparkSession, sf: str) -> DataFrame:
-    """Six criteria, each passed, conditional or failed."""
-    verdict, marks = select.gate({"gini_test": 0.45, "ks_test": 0.35, "gini_drop": 0.05, "psi": 0.2, "gini_oot": 0.4, "ks_oot": 0.3})
-    return spark.createDataFrame([(verdict, len(marks))], "verdict string, n int")
-
-
-def _dictionary(spark: SparkSession) -> DataFrame:
-    rows = [("L_QUANTITY", "miktar", "A"), ("l_quantity", "", "A"), ("L_DİSCOUNT", "indirim", "B"), ("YOK", "kayıp", "C")]
-    return spark.createDataFrame(rows, "DEGISKEN string, ACIKLAMA string, KATEGORI string")
-
-
-@R.add("""SELECT * FROM (VALUES ('l_quantity', 'miktar', 'A', 'match'), ('l_discount', 'indirim', 'B', 'match'), ('l_tax', NULL, NULL, 'missing'), ('YOK', 'kayıp', 'C', 'extra')) v(name, description, category, status)""")
-def dictionary_match(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([("l_quantity",), ("l_discount",), ("l_tax",)], "column string")
-    return dictionary.match(_dictionary(spark), names)
-
-
-@R.add("""SELECT * FROM (VALUES ('a', 'bir', 2), ('b', 'iki', 1)) v(name, description, conflicts)""")
-def dictionary_combine(spark: SparkSession, sf: str) -> DataFrame:
-    make = lambda rows: spark.createDataFrame(rows, "DEGISKEN string, ACIKLAMA string")
-    return dictionary.combine([make([("a", "bir"), ("b", " ")]), make([("a", "one"), ("b", "iki")])])
-
-
-@R.add("""SELECT * FROM (VALUES ('x', 'SECILDI', 0.9), ('y', 'ELENDI', 0.1), ('z', '-', NULL)) v(name, status, importance)""")
-def feature_registry(spark: SparkSession, sf: str) -> DataFrame:
-    made = spark.createDataFrame([("x", "s", "f"), ("y", "s", "f"), ("z", "s", "f")], "name string, source string, formula string")
-    quality = spark.createDataFrame([("x", 0.2, 0.01)], "column string, iv double, psi double")
-    chosen = spark.createDataFrame([("x", True, 0.9), ("y", False, 0.1)], "column string, kept boolean, importance double")
-    return dictionary.registry(made, quality, chosen).select("name", "status", "importance")
-
-
 __all__ = ["R", "Window"]

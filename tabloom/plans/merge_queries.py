@@ -148,45 +148,8 @@ def duplicate_rows(spark: SparkSession, sf: str) -> DataFrame:
     return merge.duplicates(e, "user_id", "event_type")
 
 
-@R.add("""SELECT p, m FROM (VALUES ('202501', 24301), ('2024M12', 24300), ('01/2025', 24301), ('20250131', 24301), ('2025-03-05', 24303)) v(p, m)""")
-def period_spellings(spark: SparkSession, sf: str) -> DataFrame:
-    """Every spelling of a period decodes to a month index; each column by a format of its own."""
-    out = None
-    for p in ("202501", "2024M12", "01/2025", "20250131", "2025-03-05"):
-        df = spark.createDataFrame([(p,), (" NULL ",)], "p string")
-        one = df.select("p", periods.month_index(df, "p", periods.decide(df, "p")).alias("m")).where("m IS NOT NULL")
-        out = one if out is None else out.unionAll(one)
-    return out
-
-
 # ---- conversions ------------------------------------------------------------------------------
 
-_CASES = [
-    ("sayisal_nokta", "1,234.50", 1234.5, True), ("sayisal_nokta", "1,23.5", None, False), ("sayisal_nokta", "12,34", None, False), ("sayisal_nokta", "-7.25", -7.25, True),
-    ("sayisal_virgul", "1.234,50", 1234.5, True), ("sayisal_virgul", "1.23,5", None, False),
-    ("tarih_ymd", "2024-01-31", 20240131.0, True), ("tarih_ymd", "2024-13-01", None, False),
-    ("tarih_dmy", "31.01.2024", 20240131.0, True), ("tarih_dmy", "31/01/2024", None, False),
-    ("tarih_ymd8", "20240131", 20240131.0, True), ("tarih_ymd8", "20241301", None, False),
-    ("tarih_ym6", "202401", 20240101.0, True), ("donem_ym6", "202401", 202401.0, True), ("donem_ym6", "202413", None, False),
-    ("donem_ymd8", "20240229", 20240229.0, True), ("donem_ymd8", "20230229", None, False),
-    ("kategorik_metin", "12.0", 12.0, True), ("kategorik_ay", "2024-05-06", 202405.0, True), ("kategorik_yil", "06.05.2024", 2024.0, True), ("sayisal_ymd8", "2024-05-06", 20240506.0, True),
-]
-
-
-@R.add("SELECT code, raw, val, ok FROM (VALUES " + ", ".join(f"('{c}', '{r}', {'NULL' if v is None else v}::DOUBLE, {str(o).upper()})" for c, r, v, o in _CASES) + ") v(code, raw, val, ok)")
-def conversions(spark: SparkSession, sf: str) -> DataFrame:
-    """All conversion codes on good and bad spellings; dates as eight digits."""
-    from pyspark.sql import types as T
-
-    df = spark.createDataFrame([(c, r) for c, r, _, _ in _CASES], "code string, raw string")
-    val = F.lit(None).cast("double")
-    for code in convert.CODES:
-        c = convert.convert(F.col("raw"), code, T.StringType())
-        as_number = F.date_format(c, "yyyyMMdd").try_cast("double") if code.startswith("tarih") else F.regexp_replace(c.cast("string"), "-(?=[0-9]{2}$)", "").try_cast("double")
-        val = F.when(F.col("code") == code, as_number).otherwise(val)
-    return df.withColumn("val", val).withColumn("ok", val.isNotNull())
-
-
 @R.add("""SELECT 'txt' AS "column", 'sayisal_nokta' AS code, count(*) AS filled, count(*) FILTER (l_orderkey % 50 = 0) AS failed FROM lineitem
 UNION ALL SELECT 'd', 'tarih_ymd', count(*), 0 FROM lineitem""")
 def conversion_audit(spark: SparkSession, sf: str) -> DataFrame:

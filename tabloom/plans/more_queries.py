@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import binning, checks, columns, convert, dictionary, features, merge, profile, remedies, select, split
+from tabloom.operators import binning, checks, columns, features, merge, profile, remedies, select, split
 from tabloom.operators.columns import Roles
 from tabloom.plans.base import ITEMS, ORDERS, Registry, items, orders, rounded, t
 
@@ -30,12 +30,6 @@ def columns_base(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.agg(F.sum("disc").alias("disc"), F.sum("tax").alias("tax"), F.count(F.lit(1)).alias("n")), "disc", "tax", places=4)
 
 
-@R.add("""SELECT * FROM (VALUES ('MUSTERI_AD', TRUE), ('E_POSTA', TRUE), ('CEP_TEL', TRUE), ('URUN_AD', FALSE), ('TXN_AMT', FALSE), ('KİMLİK_NO', TRUE)) v("column", personal)""")
-def columns_personal(spark: SparkSession, sf: str) -> DataFrame:
-    names = spark.createDataFrame([(c,) for c in ("MUSTERI_AD", "E_POSTA", "CEP_TEL", "URUN_AD", "TXN_AMT", "KİMLİK_NO")], "column string")
-    return columns.personal_names(names)
-
-
 @R.add(f"""SELECT 'binary' AS kind, count(DISTINCT y) AS "distinct", round(avg(coalesce(CAST(y > 0 AS DOUBLE), 0)), 6) AS event_rate, count(*) - count(y) AS nulls FROM (SELECT CASE WHEN l_partkey % 5 <> 0 THEN y END AS y FROM {ITEMS})""")
 def target_definition(spark: SparkSession, sf: str) -> DataFrame:
     """The event rate has all rows below the line, those without a target, too."""
@@ -51,12 +45,6 @@ def period_definition(spark: SparkSession, sf: str) -> DataFrame:
     return columns.period_summary(df, "p").select(turn("first").alias("first"), turn("last").alias("last"), "n_periods", "serves")
 
 
-@R.add("""SELECT * FROM (VALUES ('a', 'drop'), ('b', 'fix'), ('c', 'keep')) v("column", advice)""")
-def columns_advice(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [("a", "constant"), ("a", "extreme"), ("b", "hidden_code"), ("c", "noted")]
-    return columns.advice(spark.createDataFrame(rows, "column string, finding string"))
-
-
 @R.add(f"""WITH v AS (SELECT l_quantity AS x FROM {ITEMS}), q AS (SELECT quantile_cont(x, [0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99]) AS q, skewness(x) AS s FROM v)
 SELECT 'l_quantity' AS "column", q[1] AS p1, q[2] AS p5, q[3] AS p25, q[4] AS p50, q[5] AS p75, q[6] AS p95, q[7] AS p99, round(avg(CAST(x < q[3] - 3 * (q[5] - q[3]) OR x > q[5] + 3 * (q[5] - q[3]) AS DOUBLE)), 6) AS outlier_share, round(any_value(s), 6) AS skew FROM v, q GROUP BY q""")
 def variable_detail(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,35 +79,6 @@ def binning_ordinal(spark: SparkSession, sf: str) -> DataFrame:
     return df.groupBy(binning.ordinal("a", binning.labels([0.05])).alias("o")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@R.add("""SELECT * FROM (VALUES ('a', 'x'), ('b', 'filled'), ('new', 'made')) v("DEGISKEN", "ACIKLAMA")""")
-def dictionary_refresh(spark: SparkSession, sf: str) -> DataFrame:
-    d = spark.createDataFrame([("a", "x"), ("gone", "y"), ("b", "")], "DEGISKEN string, ACIKLAMA string")
-    cols = spark.createDataFrame([("a",), ("b",), ("new",)], "column string")
-    return dictionary.refresh(d, cols, spark.createDataFrame([("new", "made"), ("b", "filled")], "name string, description string"))
-
-
-@R.add("""SELECT * FROM (VALUES ('amt_sum', 'tutar (sum, son_3a)'), ('other', NULL)) v(name, description)""")
-def dictionary_inherit(spark: SparkSession, sf: str) -> DataFrame:
-    lineage = spark.createDataFrame([("amt_sum", "amt", "sum", "son_3a"), ("other", "zz", None, None)], "column string, source_column string, function string, window string")
-    return dictionary.inherit(lineage, spark.createDataFrame([("amt", "tutar")], "DEGISKEN string, ACIKLAMA string"))
-
-
-@R.add("""SELECT * FROM (VALUES ('TXN', 'işlem', 4, 2.0), ('TXN', 'tutarı', 4, 2.0), ('AMT', 'işlem', 4, 2.0), ('AMT', 'tutarı', 4, 2.0), ('CUST', 'müşteri', 4, 2.0), ('CUST', 'yaşı', 4, 2.0), ('AGE', 'müşteri', 4, 2.0), ('AGE', 'yaşı', 4, 2.0)) v(token, word, n, lift)""")
-def names_abbreviations(spark: SparkSession, sf: str) -> DataFrame:
-    """Words of descriptions that go with tokens of names, by support and lift."""
-    rows = [(f"TXN_AMT_{i}", "işlem tutarı") for i in range(4)] + [(f"CUST_AGE_{i}", "müşteri yaşı") for i in range(4)]
-    return dictionary.abbreviations(spark.createDataFrame(rows, "name string, description string"))
-
-
-@R.add("""SELECT * FROM (VALUES ('L#D', 4, 'TXN_AMT'), ('SON#A', 1, NULL)) v(pattern, n, family)""")
-def names_periods(spark: SparkSession, sf: str) -> DataFrame:
-    """Period patterns in column names, and the window family behind them."""
-    names = ["TXN_AMT_L30D", "TXN_AMT_L90D", "TXN_CNT_L30D", "X_L7D", "Y_SON3A"]
-    family = next(iter(features.families(names)))
-    rows = [(p, n, family if any(family in e for e in ex) else None) for p, (n, ex) in dictionary.period_patterns(names).items()]
-    return spark.createDataFrame(rows, "pattern string, n int, family string")
-
-
 @R.add(f"""SELECT o_custkey, mon, round(sum(amt), 2) AS total, count(amt) AS filled, count(*) AS n_rows FROM {ORDERS} GROUP BY 1, 2""")
 def months_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Transactions summed to months, the input of all windows: the sum of filled amounts (null without any), their count, and rows."""
@@ -127,16 +86,6 @@ def months_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("o_custkey", F.col("__m").alias("mon"), F.col("amt__s").alias("total"), F.col("amt__n").alias("filled"), F.col("__rows").alias("n_rows")), "total", places=2)
 
 
-@R.add("""SELECT 'p' AS "column", 'donem_ym6' AS code UNION ALL SELECT 'd', 'tarih_ymd8' UNION ALL SELECT 'n', 'sayisal_nokta' UNION ALL SELECT 't', 'tarih_ymd'""")
-def conversion_suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    """The first rule that a column's profile meets."""
-    profiles = {
-        "p": {"kind": "tam", "filled": 5, "bad_ym6": 0}, "d": {"kind": "metin", "filled": 5, "bad_ymd8": 0},
-        "n": {"kind": "metin", "filled": 5, "bad_number": 0, "leading_zero": 0}, "t": {"kind": "metin", "filled": 5, "bad_date": 0}, "z": {"kind": "metin", "filled": 5, "bad_number": 0, "leading_zero": 2},
-    }
-    return spark.createDataFrame([(c, code) for c, p in profiles.items() if (code := convert.suggest(p))], "column string, code string")
-
-
 @R.add()
 def model_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Forest importances, columns and their null indicators together."""

@@ -52,15 +52,6 @@ def profile_date_median(spark: SparkSession, sf: str) -> DataFrame:
     return profile.date_median(t(spark, sf, "lineitem"), "l_shipdate")
 
 
-_PII = ["a@b.co", "x y", "TR000000000000000000000001", "05321234567", "+90 532 123 45 67", "10000000146", "10000000147", "1234567812345678", "10000000146.0"]
-
-
-@R.add("""SELECT * FROM (VALUES ('v', 'eposta', 1, 9, FALSE), ('v', 'iban', 1, 9, FALSE), ('v', 'telefon', 2, 9, FALSE), ('v', 'kart', 1, 9, FALSE), ('v', 'kimlik', 2, 9, FALSE)) x("column", pattern, matching, filled, flagged)""")
-def profile_personal_data(spark: SparkSession, sf: str) -> DataFrame:
-    """Patterns of personal data on generated values, check digits included."""
-    return profile.personal_data(spark.createDataFrame([(v,) for v in _PII], "v string"), ["v"])
-
-
 @R.add("""SELECT * FROM (VALUES ('hedef', 'hedef'), ('o_orderstatus', 'segment'), ('o_orderpriority', 'segment'), ('o_orderkey', 'kimlik')) x("column", role)""")
 def profile_roles(spark: SparkSession, sf: str) -> DataFrame:
     """Role candidates: a 0/1 target, a key, segments."""
