@@ -23,10 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.llm.common import id_field, only, slices
+from tabloom.llm.common import id_field, materialise, only, slices
+from tabloom.sources.store import release
 
 LEVEL = 3
 
@@ -39,6 +40,10 @@ class QualityModel:
     constant: float | None = None
 
 
+#: Texts of either label that dictionaries need; below, all documents get the share of label 1.
+LEAST = 8
+
+
 class Scorer:
     """Features of texts, by the two dictionaries."""
 
@@ -71,30 +76,32 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return w
 
 
-def learn(rows: list[tuple[int, bytes, int]], shares: dict[int, int], dict_bytes: int) -> QualityModel:
-    """rows: (half, text, label); shares: how many labelled documents of either label there are in all."""
+def dictionary(texts: list[bytes], dict_bytes: int) -> bytes:
+    """A zstandard dictionary of texts; where they are too few or too short to train on, their own last bytes."""
+    texts = sorted(t for t in texts if t)
+    try:
+        return zstandard.train_dictionary(dict_bytes, texts, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(texts)[-dict_bytes:]
+
+
+def calibrated(good: bytes, bad: bytes, features: list[tuple[int, list[float]]], shares: dict[int, int]) -> QualityModel:
+    """The model of two dictionaries whose features (label, values) of other texts are weighted to the labels' shares of all documents."""
     total = sum(shares.values())
-    texts = {label: [t for half, t, q in rows if q == label and half == 0 and t] for label in (0, 1)}
-    calibrate = [(t, q) for half, t, q in rows if half == 1]
-    if any(len(texts[q]) < 8 or not any(c[1] == q for c in calibrate) for q in (0, 1)):
-        return QualityModel(b"", b"", [], shares.get(1, 0) / total if total else 0.5)
-    raw = []
-    for label in (1, 0):
-        try:
-            raw.append(zstandard.train_dictionary(dict_bytes, texts[label], level=LEVEL).as_bytes())
-        except zstandard.ZstdError:  # too little text to train on: its own bytes are the dictionary
-            raw.append(b"".join(texts[label])[-dict_bytes:])
-    scorer = Scorer(*raw)
-    x = np.array([scorer.features(t) for t, _ in calibrate])
-    y = np.array([q for _, q in calibrate], float)
+    features = sorted(features)
+    x, y = np.array([f for _, f in features]), np.array([q for q, _ in features], float)
     weight = np.where(y == 1, shares[1] / total / max(y.mean(), 1e-9), shares[0] / total / max(1 - y.mean(), 1e-9))
-    return QualityModel(raw[0], raw[1], _logistic(x, y, weight).tolist())
+    return QualityModel(good, bad, _logistic(x, y, weight).tolist())
 
 
-def fit(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3_000, dict_bytes: int = 112 << 10) -> QualityModel:
-    """learn_from: a condition on df's rows. Labels are joined by id_col.
+def fit(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_class: int = 3_000, dict_bytes: int = 112 << 10, sample_bytes: int = 64 << 20) -> QualityModel:
+    """learn_from: a condition on df's rows. Labels are joined by id_col; of several texts under one id the least teaches.
 
-    The sample's ids, at most 2 x per_class, are bounded, so they are broadcast.
+    The sample has at most per_class documents of either label, of any length. Half of them
+    make the dictionaries: of each label whole texts in a fixed order until they have
+    sample_bytes, in a task of its own. The others are reduced to features where they lie. The driver gets
+    two dictionaries and seven numbers for each of the others, whatever the lengths of texts. The
+    sample's ids are bounded, so they are broadcast.
     """
     known = only(labels, id=id_col, q=label_col).where(F.col("q").isin(0, 1) & F.col("id").isNotNull()).groupBy("id").agg(F.min("q").alias("q"))
     teach = only(df.where(learn_from), id=id_col, text=text_col)
@@ -105,8 +112,27 @@ def fit(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc
         part = ids.where(F.col("q") == label).orderBy(F.xxhash64("id"), "id").limit(per_class)
         picked = part if picked is None else picked.unionAll(part)
     rows = teach.join(F.broadcast(picked), "id").groupBy("id", "q").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    got = rows.select(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).alias("half"), F.col("text").cast("binary").alias("text"), "q").collect()
-    return learn(sorted((int(r.half), bytes(r.text), int(r.q)) for r in got), shares, dict_bytes)
+    rows = materialise(rows.select("id", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(2)).alias("half"), F.col("text").cast("binary").alias("text"), F.col("q").cast("int").alias("q")), "teachers")
+    counts = {(int(r.half), int(r.q)): int(r.n) for r in rows.groupBy("half", "q").agg(F.count_if((F.col("half") == 1) | (F.octet_length("text") > 0)).alias("n")).collect()}
+    if any(counts.get((0, q), 0) < LEAST or not counts.get((1, q)) for q in (0, 1)):
+        return QualityModel(b"", b"", [], shares.get(1, 0) / sum(shares.values()) if shares else 0.5)
+    before = F.sum(F.octet_length("text")).over(Window.partitionBy("q").orderBy(F.xxhash64("id"), "id").rowsBetween(Window.unboundedPreceding, -1))
+    half = rows.where("half = 0").withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_bytes).select("q", "text")
+
+    def train(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [t for batch in batches for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([dictionary(texts, dict_bytes)], pa.binary())], ["q", "raw"])
+
+    raw = {r.q: bytes(r.raw) for r in half.groupBy("q").applyInArrow(train, "q int, raw binary").collect()}
+
+    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(raw[1], raw[0])
+        for batch, texts in slices(batches, 4 << 20):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([list(scorer.features(t)) for t in texts], pa.list_(pa.float64()))], ["q", "f"])
+
+    features = rows.where("half = 1").select("q", "text").mapInArrow(reduced, "q int, f array<double>").collect()
+    release(rows)
+    return calibrated(raw[1], raw[0], [(r.q, list(r.f)) for r in features], shares)
 
 
 def score(df: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 4 << 20) -> DataFrame:

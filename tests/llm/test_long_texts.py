@@ -107,3 +107,21 @@ def test_null_media_have_null_digests(spark):
     df = spark.createDataFrame([(1, 3, None), (2, 3, media.store_payload(media.payload(b"abc"), "netpbm"))], "doc_id long, n_bytes long, media binary")
     got = {r.doc_id: r for r in media.media_digest(df).collect()}
     assert got[1].media_sha256 is None and got[1].payload_bytes is None and got[2].payload_bytes == 64
+
+
+def test_quality_learns_from_long_texts_on_executors(spark):
+    """Labelled texts of half a megabyte: few of them fill the dictionaries' sample, all others calibrate; the driver gets no text."""
+    import random
+
+    from pyspark.sql import functions as F
+    from tabloom.llm import quality
+
+    rng = random.Random(6)
+    words = {q: ["".join(rng.choice("abcdefgh" if q else "qrstuvwx") for _ in range(rng.randint(3, 8))) for _ in range(400)] for q in (0, 1)}
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(80_000 if i < 60 else 60))) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).cache()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, F.lit(True), sample_bytes=2 << 20)
+    assert 0 < len(model.good) <= 112 << 10 and len(model.weights) == 7
+    right = [(r.score >= 0.5) == bool(r.doc_id % 2) for r in quality.score(docs, model).collect()]
+    assert sum(right) >= 118
