@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import below, choose, div, finite, num
+from tabloom.functions.joins import attach
 from tabloom.operators import measures
+from tabloom.sources.store import materialise
 
 #: Days of a window unit, fixed values: D and G day, W week, M and A month, Q quarter, Y year.
 UNIT_DAYS = {"D": 1, "G": 1, "W": 7, "M": 30, "A": 30, "Q": 91, "Y": 365}
@@ -260,8 +262,8 @@ def encode(df: DataFrame, train: Column, column: str, target: str | None, keys:
         out[f"{column}__TE"] = F.when(seen, (b + weight * prior) / (n + weight)).otherwise(prior)
     if "frk" in kinds:
         out[f"{column}__FRK"] = F.coalesce(F.col("__n") / F.lit(n_all if n_all else 1.0), F.lit(0.0))
-    joined = work.join(cats, "__c", "left")
-    return joined.select(*[joined[x] for x in df.columns], *[v.alias(k) for k, v in out.items()])
+    joined = attach(work, materialise(cats.withColumn("__w", F.col("__n").cast("long")), "encoding"), "__c", "__w", int(n_all))
+    return joined.select(*[F.col(f"`{x}`") for x in df.columns], *[v.alias(k) for k, v in out.items()])
 
 
 def frequent(train: DataFrame, column: str, top: int = 10) -> list[str]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabloom.operators import measures
 from tabloom.operators.merge import duplicates
+from tabloom.sources.store import materialise
 
 BATCH = 150
 LIST_MAX = 50
@@ -67,6 +68,14 @@ def value_table(df: DataFrame, names: Sequence[str], text: bool) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).select("p.k", "p.v").where("v IS NOT NULL").groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _kept(result: DataFrame, *held: DataFrame) -> DataFrame:
+    """The result, written, so that the value tables behind it can go: it is short, they are not."""
+    out = materialise(result, "profile")
+    for tt in held:
+        tt.unpersist()
+    return out
+
+
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """One row a column: kind, n_rows, filled, distinct, top value and count, and for numbers and dates min, max, mean, quartiles, zeros, negatives.
 
@@ -74,11 +83,13 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """
     names = list(columns or df.columns)
     n_rows, out = df.count(), None
+    held = []
     for text in (False, True):
         own = [c for c in names if (kind_of(df.schema[c].dataType) == "metin") == text]
         for start in range(0, len(own), BATCH):
             batch = own[start : start + BATCH]
             tt = value_table(df, batch, text).persist()
+            held.append(tt)
             v, finite = F.col("v"), (F.abs("v") < float("inf")) if not text else F.lit(True)
             aggs = [F.sum("n").alias("filled"), F.count(F.lit(1)).alias("distinct"), F.max("n").alias("top_count"), F.max_by(v.cast("string"), F.struct("n", *([-v] if not text else []))).alias("top")]
             if text:
@@ -97,7 +108,8 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
             out = stats if out is None else out.unionByName(stats)
     kinds = df.sparkSession.createDataFrame([(c, kind_of(df.schema[c].dataType)) for c in names], "column string, kind string")
     full = kinds.join(out, F.col("column") == F.col("k"), "left").drop("k")
-    return full.withColumn("n_rows", F.lit(n_rows)).fillna(0, ["filled", "distinct", "top_count"]).withColumn("distinct_with_null", F.col("distinct") + (F.col("filled") < n_rows).cast("int"))
+    full = full.withColumn("n_rows", F.lit(n_rows)).fillna(0, ["filled", "distinct", "top_count"]).withColumn("distinct_with_null", F.col("distinct") + (F.col("filled") < n_rows).cast("int"))
+    return _kept(full, *held)
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 10) -> DataFrame:
@@ -174,14 +186,14 @@ def histogram(df: DataFrame, column: str, bins: int = 20) -> DataFrame:
     whole = tt.agg(F.count(F.lit(1)).alias("d"), F.bool_and(F.col("v") == F.floor("v")).alias("w")).first()
     if whole.d <= bins and whole.w:
         rank = F.row_number().over(Window.orderBy("v")) - 1
-        return tt.select(rank.cast("int").alias("bin"), F.col("v").alias("low"), F.col("v").alias("high"), "n")
+        return _kept(tt.select(rank.cast("int").alias("bin"), F.col("v").alias("low"), F.col("v").alias("high"), "n"), tt)
     q = measures.quantiles(tt, ["k"], "v", "n", (0.01, 0.99)).first()
     low, high = q.q0, q.q1
     width = (high - low) / bins
     at = F.least(F.floor((F.col("v") - low) / F.lit(width if width else 1.0)), F.lit(bins - 1))
     place = F.when(F.col("v").between(low, high), at).otherwise(F.lit(-1)).cast("int")
     edge = lambda plus: F.when(F.col("bin") >= 0, F.lit(low) + (F.col("bin") + plus) * F.lit(width))
-    return tt.groupBy(place.alias("bin")).agg(F.sum("n").alias("n")).select("bin", edge(0).alias("low"), edge(1).alias("high"), "n")
+    return _kept(tt.groupBy(place.alias("bin")).agg(F.sum("n").alias("n")).select("bin", edge(0).alias("low"), edge(1).alias("high"), "n"), tt)
 
 
 def distribution(df: DataFrame, column: str) -> DataFrame:
@@ -191,7 +203,8 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     reach = 1.5 * (F.col("p75") - F.col("p25"))
     far = (F.col("v") < F.col("p25") - reach) | (F.col("v") > F.col("p75") + reach)
     n = df.count()
-    return tt.join(q, "k").groupBy("k", *[f"p{i}" for i in (0, 1, 25, 50, 75, 99, 100)]).agg(F.sum("n").alias("filled"), (F.lit(n) - F.sum("n")).alias("nulls"), F.count(F.lit(1)).alias("distinct"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("outliers")).withColumnRenamed("k", "column")
+    found = tt.join(q, "k").groupBy("k", *[f"p{i}" for i in (0, 1, 25, 50, 75, 99, 100)]).agg(F.sum("n").alias("filled"), (F.lit(n) - F.sum("n")).alias("nulls"), F.count(F.lit(1)).alias("distinct"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.coalesce(F.sum(F.when(far, F.col("n"))), F.lit(0)).alias("outliers")).withColumnRenamed("k", "column")
+    return _kept(found, tt)
 
 
 def category_distribution(df: DataFrame, column: str, top: int = 15) -> DataFrame:
