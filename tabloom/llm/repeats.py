@@ -41,8 +41,8 @@ from tabloom.llm.common import id_field, lookup, materialise, only, slices
 from tabloom.sources.store import forget, release
 
 LENGTH, WIDTH = 200, 32
-#: Different surroundings of one class of anchors that are compared together; larger classes are dealt into shares.
-CLASS = 4_096
+#: Different surroundings of one class of anchors that are compared together, about 100 MB of hashes; larger classes are dealt into shares.
+CLASS = 16_384
 #: Bytes of text hashed together; longer texts go piece by piece.
 PIECE = 1 << 20
 #: Surroundings compared together (whole classes).
@@ -173,7 +173,11 @@ def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         sizes[i] = len(piece)
     core = rows.column("core").to_numpy().view(np.uint64)
     column = np.arange(reach + 1)
-    keys = mixed(rolling(data, LENGTH) + mixed(core ^ _BASE)[:, None] + mixed(column.astype(np.uint64) * _BASE + np.uint64(1))[None, :])
+    keys = np.empty((rows.num_rows, reach + 1), np.uint64)
+    offset = mixed(column.astype(np.uint64) * _BASE + np.uint64(1))
+    for at in range(0, rows.num_rows, 512):  # few rows at a time, as the steps between are wide
+        part = slice(at, at + 512)
+        keys[part] = mixed(rolling(data[part], LENGTH) + mixed(core[part] ^ _BASE)[:, None] + offset[None, :])
     first = (reach - ahead)[:, None]
     return keys, (column >= first) & (column + LENGTH <= first + sizes[:, None])
 
