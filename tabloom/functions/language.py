@@ -28,6 +28,14 @@ def _names(node: ast.AST) -> set[str]:
     return {n.id for n in ast.walk(node) if isinstance(n, ast.Name) and id(n) not in called}
 
 
+def names(text: str) -> list[str]:
+    """The columns that an expression names, in order of the alphabet; they needn't exist."""
+    try:
+        return sorted(_names(ast.parse(text.strip(), mode="eval")))
+    except SyntaxError as e:
+        raise ExpressionError(f"can't be read: {e.msg}") from e
+
+
 def parse(text: str, columns: list[str]) -> ast.expr:
     """The checked tree of an expression over columns."""
     if len(text) > MAX_TEXT:
@@ -144,4 +152,4 @@ def apply(df, steps: list[tuple[str, str]]):
     return df
 
 
-__all__ = ["ExpressionError", "apply", "checked_name", "expression", "null", "parse", "script", "source"]
+__all__ = ["ExpressionError", "apply", "checked_name", "expression", "names", "null", "parse", "script", "source"]

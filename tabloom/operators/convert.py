@@ -58,7 +58,7 @@ def convert(c: Column, code: str, kind: T.DataType, whole: bool = False) -> Colu
     raise ConversionError(f"no conversion {code}")
 
 
-def _whole(df: DataFrame, names: list[str]) -> dict[str, bool]:
+def whole_floats(df: DataFrame, names: list[str]) -> dict[str, bool]:
     """Which float columns are integral throughout: decided over the whole column, in one aggregation."""
     floats = [n for n in names if isinstance(df.schema[n].dataType, T.FloatType | T.DoubleType)]
     if not floats:
@@ -69,7 +69,7 @@ def _whole(df: DataFrame, names: list[str]) -> dict[str, bool]:
 
 def audit(df: DataFrame, changes: list[tuple[str, str]]) -> DataFrame:
     """Per change: column, code, filled, failed and up to three values that fail (the least ones)."""
-    whole = _whole(df, [n for n, _ in changes])
+    whole = whole_floats(df, [n for n, _ in changes])
     rows = []
     for n, code in changes:
         c = F.col(f"`{n}`")
@@ -88,7 +88,7 @@ def apply(df: DataFrame, changes: list[tuple[str, str]], strict: bool = True) ->
 
     Gives the table and the columns skipped. All failure counters come from one aggregation.
     """
-    whole = _whole(df, [n for n, _ in changes])
+    whole = whole_floats(df, [n for n, _ in changes])
     made = {n: convert(F.col(f"`{n}`"), code, df.schema[n].dataType, whole.get(n, False)) for n, code in changes}
     counters = []
     for n, c in made.items():

@@ -232,19 +232,29 @@ def fold_of(keys: Sequence[str], k: int = FOLDS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys])), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
 
 
-def encode(df: DataFrame, train: Column, column: str, target: str | None, keys: Sequence[str], kinds: Sequence[str] = ("woe", "te", "frk"), weight: float = 20.0) -> DataFrame:
+def category_counts(df: DataFrame, train: Column, column: str, target: str | None, keys: Sequence[str]) -> DataFrame:
+    """What ``encode`` learns: train rows n and bad rows b by category __c and fold __f; a category that is hot is summed before the shuffle."""
+    y = F.col(f"`{target}`") if target else F.lit(0)
+    rows = df.where(train & y.isNotNull()).select(_category(column).alias("__c"), fold_of(keys).alias("__f"), (y > 0).cast("double").alias("__y"))
+    return rows.groupBy("__c", "__f").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("__y").alias("b"))
+
+
+def _category(column: str) -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("__BOS__"))
+
+
+def encode(df: DataFrame, train: Column, column: str, target: str | None, keys: Sequence[str], kinds: Sequence[str] = ("woe", "te", "frk"), weight: float = 20.0, counts: DataFrame | None = None) -> DataFrame:
     """Add K__WOE, K__TE and K__FRK, learnt on train rows with a target.
 
     Train rows get out-of-fold values, also on a replay: a category's counts less those of the
     row's own fold. Other rows get those of all train rows. Unseen categories: 0 for WoE and
-    frequency, the prior for the target mean. Counts are by (category, fold); a category that
-    is hot is summed before the shuffle.
+    frequency, the prior for the target mean. counts: those of an earlier ``category_counts``,
+    for a replay; else they are taken from df.
     """
-    c = F.coalesce(F.col(f"`{column}`").cast("string"), F.lit("__BOS__"))
     y = F.col(target) if target else F.lit(0)
     valid = train & y.isNotNull()
-    work = df.withColumns({"__c": c, "__t": valid, "__f": fold_of(keys)})
-    counts = work.where("__t").groupBy("__c", "__f").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum((y > 0).cast("double")).alias("b"))
+    work = df.withColumns({"__c": _category(column), "__t": valid, "__f": fold_of(keys)})
+    counts = category_counts(df, train, column, target, keys) if counts is None else counts
     cats = counts.groupBy("__c").agg(F.sum("n").alias("__n"), F.sum("b").alias("__b"), F.map_from_entries(F.collect_list(F.struct("__f", F.struct("n", "b")))).alias("__by"))
     total = {r["__f"]: (r.n, r.b) for r in counts.groupBy("__f").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()}
     n_all, b_all = sum(v[0] for v in total.values()), sum(v[1] for v in total.values())

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import periods
+from tabloom.functions.joins import attach
 
 SPLIT = "_SPLIT"
 TRAIN, VAL, TEST, OOT, OUTSIDE = "train", "val", "test", "oot", "disarida"
@@ -101,12 +102,22 @@ def temporal_plan(counts: list[tuple[str, int]], test: Sequence[str], gap: int,
 
 def temporal(df: DataFrame, period: str, test: Sequence[str], gap: int = 0, val_ratio: float = 0.2) -> DataFrame:
     """Split by period; a null period trains. Only one row a period comes to the driver."""
+    return by_period(df, period, learn_periods(df, period, test, gap, val_ratio))
+
+
+def learn_periods(df: DataFrame, period: str, test: Sequence[str], gap: int = 0, val_ratio: float = 0.2) -> dict[str, str]:
+    """period -> set, by ``temporal_plan``."""
     form = periods.decide(df, period)
     text = periods.clean(F.col(period), df.schema[period].dataType)
     month = periods.month_index(df, period, form) if form else F.lit(0)
     counts = [(r.p, r.n) for r in df.groupBy(text.alias("p"), month.alias("m")).agg(F.count(F.lit(1)).alias("n")).where("p IS NOT NULL").orderBy("m", "p").collect()]
-    plan = temporal_plan(counts, test, gap, val_ratio)
+    return temporal_plan(counts, test, gap, val_ratio)
+
+
+def by_period(df: DataFrame, period: str, plan: dict[str, str]) -> DataFrame:
+    """Label rows by a plan; a period that it doesn't know, and a null one, train."""
     table = F.create_map(*[F.lit(x) for pair in plan.items() for x in pair])
+    text = periods.clean(F.col(period), df.schema[period].dataType)
     return df.withColumn(SPLIT, F.coalesce(F.try_element_at(table, text), F.lit(TRAIN)))
 
 
@@ -156,6 +167,34 @@ def stratified(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ratios
     return ranked.withColumn(SPLIT, c).select(*df.columns, SPLIT)
 
 
+def learn_ranges(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ratios: list[tuple[str, float]], seed: int = 42) -> DataFrame:
+    """(__k, __w, ranges): for every stratum its rows and, for each set, the least digest that belongs to it.
+
+    What ``stratified`` decided, in a form that later rows can be dealt by.
+    """
+    labelled = stratified(df, keys, strata, ratios, seed).withColumn("__k", stratum(strata))
+    lows = labelled.groupBy("__k", SPLIT).agg(F.min(order_key(seed, keys)).alias("low"), F.count(F.lit(1)).alias("n"))
+    return lows.groupBy("__k").agg(F.sum("n").alias("__w"), F.array_sort(F.collect_list(F.struct("low", F.col(SPLIT).alias("label")))).alias("ranges"))
+
+
+def stratum(strata: Sequence[str]) -> Column:
+    """A stratum as one text; nulls are a value."""
+    return F.to_json(F.array(*[F.col(f"`{s}`").cast("string") for s in strata])) if strata else F.lit("[]")
+
+
+def by_ranges(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ranges: DataFrame, seed: int = 42) -> DataFrame:
+    """Label rows by ``learn_ranges``, without ranking them: equal to ``stratified`` on the rows it learnt from.
+
+    Rows of one key never part; a stratum that wasn't there trains.
+    """
+    rows = df.select(F.struct("*").alias("row"), stratum(strata).alias("__k"), order_key(seed, keys).alias("digest"))
+    total = ranges.agg(F.sum("__w")).first()[0] or 0
+    joined = attach(rows, ranges, "__k", "__w", int(total))
+    met = F.filter("ranges", lambda r: r["low"] <= F.col("digest"))
+    label = F.when(F.size(met) > 0, F.element_at(met, -1)["label"]).otherwise(F.get("ranges", F.lit(0))["label"])
+    return joined.select("row.*", F.coalesce(label, F.lit(TRAIN)).alias(SPLIT))
+
+
 def stratified_by_id(df: DataFrame, ident: str, target: str, ratios: list[tuple[str, float]], segment: str | None = None, seed: int = 42) -> DataFrame:
     """Every row of an id gets one label; an id's stratum is its largest target and smallest segment. Rows without an id train."""
     aggs = [F.max(target).alias("__y")] + ([F.min(segment).alias("__seg")] if segment else [])

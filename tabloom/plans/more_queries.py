@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabloom.operators import binning, checks, columns, features, merge, profile, remedies, select, split
+from tabloom.operators import binning, checks, columns, features, merge, profile, recipe, remedies, select, split
 from tabloom.operators.columns import Roles
 from tabloom.plans.base import ITEMS, ORDERS, Registry, items, orders, rounded, t
+from tabloom.sources import store
 
 R = Registry()
 
@@ -86,6 +87,37 @@ def months_grid(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(out.select("o_custkey", F.col("__m").alias("mon"), F.col("amt__s").alias("total"), F.col("amt__n").alias("filled"), F.col("__rows").alias("n_rows")), "total", places=2)
 
 
+@R.add(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5('42|' || l_orderkey || '|' || l_linenumber)) - 1 AS r, count(*) OVER (PARTITION BY y) AS n FROM {ITEMS}),
+s AS (SELECT * EXCLUDE (r, n, tr), CASE WHEN r < round_even(n * 0.2, 0) THEN 'test' WHEN r < round_even(n * 0.2, 0) + round_even(n * 0.15, 0) THEN 'val' ELSE 'train' END AS split FROM r),
+m AS (SELECT median(disc) AS disc, median(tax) AS tax, list_distinct([round(x, 6) FOR x IN quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])]) AS cuts FROM s WHERE split = 'train'),
+b AS (SELECT s.*, CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT % 5 AS INT) AS f FROM s),
+c AS (SELECT l_returnflag AS k, f, count(*) AS n, sum(y) AS b FROM b WHERE split = 'train' GROUP BY 1, 2), a AS (SELECT k, sum(n) AS n, sum(b) AS b FROM c GROUP BY 1), t AS (SELECT f, sum(n) AS n, sum(b) AS b FROM c GROUP BY 1), z AS (SELECT sum(n) AS n, sum(b) AS b FROM c),
+j AS (SELECT b.*, a.n - CASE WHEN split = 'train' THEN coalesce(c.n, 0) ELSE 0 END AS n, a.b - CASE WHEN split = 'train' THEN coalesce(c.b, 0) ELSE 0 END AS bad, z.n - CASE WHEN split = 'train' THEN t.n ELSE 0 END AS an, z.b - CASE WHEN split = 'train' THEN t.b ELSE 0 END AS ab
+FROM b CROSS JOIN z LEFT JOIN a ON a.k = b.l_returnflag LEFT JOIN c ON c.k = b.l_returnflag AND c.f = b.f LEFT JOIN t ON t.f = b.f)
+SELECT l_orderkey, l_linenumber, y, split, strftime(l_shipdate, '%Y-%m') AS shipped, coalesce(j.disc, m.disc) AS disc, coalesce(j.tax, m.tax) AS tax, CAST(len(list_filter(cuts, lambda x: x <= l_extendedprice)) + 1 AS INT) AS decile,
+round(CASE WHEN coalesce(n, 0) > 0 THEN (bad + 20 * (ab / an)) / (n + 20) ELSE ab / an END, 6) AS rate, round(coalesce(j.disc, m.disc) / nullif(coalesce(j.tax, m.tax), 0), 6) AS ratio FROM j, m""")
+def recipe_rebuild(spark: SparkSession, sf: str) -> DataFrame:
+    """A recipe of nine steps is fitted, written, read and rebuilt from its base."""
+    roles = columns.Roles(target="y", ident="l_orderkey")
+    base, keys = items(spark, sf), ["l_orderkey", "l_linenumber"]
+    steps = [
+        recipe.Step("convert", {"changes": {"l_shipdate": "kategorik_ay"}}, "01"),
+        recipe.Step("drop", {"columns": ["l_linestatus", "l_partkey", "tr", "y"]}, "01"),
+        recipe.Step("split", {"method": "rows", "keys": keys, "strata": ["y"], "ratios": {split.TEST: 0.2, split.VAL: 0.15}}, "01"),
+        recipe.Step("rename", {"names": {"l_shipdate": "shipped"}}, "02.1"),
+        recipe.Step("fill", {"columns": ["disc", "tax"]}, "02.1"),
+        recipe.Step("deciles", {"columns": ["l_extendedprice"]}, "02.2"),
+        recipe.Step("encode", {"column": "l_returnflag", "target": "y", "keys": keys, "kinds": ["te"]}, "02.2"),
+        recipe.Step("expressions", {"columns": {"ratio": "disc / tax"}}, "02.2"),
+        recipe.Step("rename", {"names": {"l_extendedprice__DLM": "decile", "l_returnflag__TE": "rate", split.SPLIT: "split"}}, "03"),
+    ]
+    made, _ = recipe.fit(base, steps, roles)
+    root = store.scratch(spark, "recipes")
+    recipe.save(spark, made, root, "items")
+    out = recipe.rebuild(recipe.load(spark, root, "items"), base)
+    return rounded(out.select(*keys, "y", "split", "shipped", "disc", "tax", "decile", "rate", "ratio"), "rate", "ratio")
+
+
 @R.add()
 def model_importance(spark: SparkSession, sf: str) -> DataFrame:
     """Forest importances, columns and their null indicators together."""

@@ -44,16 +44,22 @@ def _delete_made() -> None:
             continue
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder's path within the shared one; it is deleted with the intermediate tables."""
+    if not _made:
+        atexit.register(_delete_made)
+    path = f"{shared_dir(spark)}/tabloom-{label}-{uuid.uuid4().hex[:12]}"
+    _made.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends there.
 
     Lost executors then cost a re-read, never a recomputation of what came before.
     """
     spark = df.sparkSession
-    if not _made:
-        atexit.register(_delete_made)
-    path = f"{shared_dir(spark)}/tabloom-{label}-{uuid.uuid4().hex[:12]}"
-    _made.append((spark, path))
+    path = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[id(found)] = weakref.ref(found), path
