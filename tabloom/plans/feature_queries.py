@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, features, gram, measures, remedies, select, uplift, variables
+from tabloom.operators import binning, features, gram, measures, remedies, select, single, uplift, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
 from tabloom.sources.store import materialise
 
@@ -239,6 +239,50 @@ def single_factor(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(binning.single_factor(items(spark, sf).where("tr"), ["l_quantity"], "y").drop("iv"), "c_value")
 
 
+_FACTORS = f"(SELECT *, CASE WHEN l_linestatus = 'F' THEN l_returnflag END AS flag, CAST(l_partkey % 97 AS VARCHAR) AS part, CASE WHEN l_partkey % 5 <> 0 THEN y END AS t, CAST(('0x' || substr(md5(l_orderkey || '|' || l_linenumber), 1, 8))::BIGINT % 5 AS INT) AS f FROM {ITEMS} WHERE tr)"
+_AUC = "greatest(a, 1 - a)"
+
+
+def _scored(c: str) -> str:
+    """SQL of one numeric variable's five C-values."""
+    score = ("x", "least(greatest(x, lo), hi)", "sign(x) * ln(1 + abs(x))", "exp(least(greatest((x - least) / coalesce(nullif(most - least, 0), 1), -5), 5))", "cd")
+    auc = ", ".join(f"(sum(CASE WHEN t > 0 THEN r{i} END) - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS a{i}" for i in range(5))
+    ranks = ", ".join(f"rank() OVER (ORDER BY s{i}) + (count(*) OVER (PARTITION BY s{i}) - 1) / 2.0 AS r{i}" for i in range(5))
+    return f"""SELECT '{c}' AS variable, 'numeric' AS type, fill, missing, {", ".join(f"round(greatest(a{i}, 1 - a{i}), 6) AS {w}" for i, w in enumerate(single.SCORES))}, 'measured' AS result FROM (
+SELECT fill, missing, {auc} FROM (SELECT t, fill, missing, count(*) FILTER (t > 0) OVER () AS n1, count(*) FILTER (t <= 0) OVER () AS n0, {ranks} FROM (
+SELECT t, fill, missing, {", ".join(f"{e} AS s{i}" for i, e in enumerate(score))} FROM (SELECT *, cume_dist() OVER (ORDER BY x) AS cd FROM (SELECT t, coalesce({c}, m) AS x, m AS fill, missing FROM {_FACTORS}, (SELECT median({c}) AS m, count(*) - count({c}) AS missing FROM {_FACTORS}))),
+(SELECT quantile_cont(x, 0.05) AS lo, quantile_cont(x, 0.95) AS hi, min(x) AS least, max(x) AS most FROM (SELECT coalesce({c}, m) AS x FROM {_FACTORS}, (SELECT median({c}) AS m FROM {_FACTORS})))) WHERE t IS NOT NULL) GROUP BY fill, missing, n1, n0)"""
+
+
+_RATED = f"""SELECT 'flag' AS variable, 'categorical' AS type, CAST(NULL AS DOUBLE) AS fill, missing, {", ".join(f"round({_AUC}, 6) AS {w}" for w in single.SCORES)}, 'measured' AS result FROM (
+SELECT missing, (sum(CASE WHEN t > 0 THEN r END) - n1 * (n1 + 1) / 2.0) / (n1 * n0) AS a FROM (SELECT t, missing, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS r, count(*) FILTER (t > 0) OVER () AS n1, count(*) FILTER (t <= 0) OVER () AS n0 FROM (
+SELECT t, missing, coalesce((bv - bvf) / nullif(nv - nvf, 0), (bk - bf) / nullif(nk - nf, 0)) AS s FROM (SELECT t, count(*) FILTER (flag IS NULL) OVER () AS missing, CAST(sum(t) OVER (PARTITION BY flag) AS DOUBLE) AS bv, count(t) OVER (PARTITION BY flag) AS nv, sum(t) OVER (PARTITION BY flag, f) AS bvf, count(t) OVER (PARTITION BY flag, f) AS nvf,
+CAST(sum(t) OVER () AS DOUBLE) AS bk, count(t) OVER () AS nk, sum(t) OVER (PARTITION BY f) AS bf, count(t) OVER (PARTITION BY f) AS nf FROM {_FACTORS}) WHERE t IS NOT NULL)) GROUP BY missing, n1, n0)
+UNION ALL SELECT 'part', 'categorical', NULL, count(*) - count(part), NULL, NULL, NULL, NULL, NULL, 'left out' FROM {_FACTORS}"""
+
+
+@R.add(" UNION ALL ".join(_scored(c) for c in ("l_quantity", "disc", "tax", "l_extendedprice")) + " UNION ALL " + _RATED)
+def single_factors(spark: SparkSession, sf: str) -> DataFrame:
+    """Fills and C-values (raw, clipped, log, exp, rank) of numbers and categories, all from one value table each."""
+    part = (F.col("l_partkey") % 97).cast("string")
+    df = items(spark, sf).withColumns({"flag": F.when(F.col("l_linestatus") == "F", F.col("l_returnflag")), "part": part, "t": F.when(F.col("l_partkey") % 5 != 0, F.col("y"))})
+    out = single.single_factors(df, ["l_quantity", "disc", "tax", "l_extendedprice"], ["flag", "part"], "t", F.col("tr"), ["l_orderkey", "l_linenumber"])
+    return rounded(out.select("variable", "type", "fill", "missing", *single.SCORES, "result"), *single.SCORES)
+
+
+_ORDERED = {"a_price": "l_extendedprice", "b_twice": "l_extendedprice * 2 + 1", "c_minus": "-l_extendedprice", "d_disc": "disc", "e_disc": "100 * disc", "f_filled": "coalesce(disc, 0)", "g_cut": "least(l_extendedprice, 20000)", "h_tax": "tax"}
+_RANKED = f"(SELECT {', '.join(f'CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) END AS {c}, CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} DESC NULLS LAST) END AS {c}_d' for c in _ORDERED)} FROM (SELECT {', '.join(f'{e} AS {c}' for c, e in _ORDERED.items())} FROM {ITEMS}))"
+_PAIRS = ", ".join(f"bool_and({a} IS NOT DISTINCT FROM {b}) AS {a}__{b}, bool_and({a} IS NOT DISTINCT FROM {b}_d) AS {a}__{b}_d" for a in _ORDERED for b in _ORDERED if a < b)
+
+
+@R.add(f"""WITH p AS (SELECT {_PAIRS} FROM {_RANKED}), l AS ({" UNION ALL ".join(f"SELECT '{b}' AS b, '{a}' AS a, CASE WHEN {a}__{b} THEN 'same' WHEN {a}__{b}_d THEN 'opposite' END AS d FROM p" for a in _ORDERED for b in _ORDERED if a < b)}),
+f AS (SELECT b AS "column", min(a) AS first, min_by(d, a) AS direction FROM l WHERE d IS NOT NULL GROUP BY 1) SELECT * FROM f UNION ALL SELECT DISTINCT first, first, 'same' FROM f""")
+def columns_same_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns that order all rows alike, or the other way round, by order-free fingerprints of their ranks."""
+    df = items(spark, sf).select("l_orderkey", "l_linenumber", *[F.expr(e).alias(c) for c, e in _ORDERED.items()])
+    return single.same_order(df, list(_ORDERED), ["l_orderkey", "l_linenumber"])
+
+
 @R.add()
 def binning_proposals(spark: SparkSession, sf: str) -> DataFrame:
     """Supervised binning of several variables: fine bins in one pass, merging by grouped functions."""
