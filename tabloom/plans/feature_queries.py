@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions import language
-from tabloom.operators import binning, features, gram, measures, remedies, select, single, uplift, variables
+from tabloom.operators import binning, features, gram, measures, neighbours, remedies, select, single, uplift, variables
 from tabloom.plans.base import FAMILY, ITEMS, Registry, family_table, items, rounded, t
 from tabloom.sources.store import materialise
 
@@ -435,4 +435,27 @@ def selection_mutual_information(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(select.mutual_information(items(spark, sf), "l_quantity", "y", (10.0, 30.0)), "mi")
 
 
+def _digamma(n: str) -> str:
+    x = f"(CAST({n} AS DOUBLE) + 10)"
+    steps = " - ".join(f"1 / (CAST({n} AS DOUBLE) + {i})" for i in range(10))
+    return f"(ln({x}) - 1 / (2 * {x}) - 1 / (12 * {x} * {x}) + 1 / (120 * pow({x}, 4)) - 1 / (252 * pow({x}, 6)) + 1 / (240 * pow({x}, 8)) - {steps})"
+
+
+_LINE_NUMBERS = ("amount", "quantity", "discount")
+_SIDES = ", ".join(f"coalesce(v - lag(v, {j}) OVER w, 'inf'::DOUBLE) AS a{j}, coalesce(lead(v, {j}) OVER w - v, 'inf'::DOUBLE) AS b{j}" for j in (1, 2, 3))
+
+
+@R.add(f"""WITH p AS ({" UNION ALL ".join(f"SELECT '{c}' AS k, coalesce(flag = 'returned', false) AS y, CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) ELSE 0 END AS v FROM sale_lines" for c in _LINE_NUMBERS)}),
+s AS (SELECT k, y, v, count(*) OVER (PARTITION BY k, y) AS ny, count(*) OVER (PARTITION BY k) AS n, count(*) OVER (PARTITION BY k, y, v) AS c, {_SIDES} FROM p WINDOW w AS (PARTITION BY k, y ORDER BY v)),
+r AS (SELECT k, y, v, ny, n, c, least(b3, greatest(a1, b2), greatest(a2, b1), a3) AS r FROM s),
+u AS (SELECT k, v, count(*) AS here, CAST(sum(count(*)) OVER (PARTITION BY k ORDER BY v) AS BIGINT) AS upto FROM p GROUP BY k, v),
+e AS (SELECT r.*, CASE WHEN r > 0 THEN v - r ELSE v END AS lo, CASE WHEN r > 0 THEN v + r ELSE v END AS hi FROM r),
+m AS (SELECT e.*, CASE WHEN e.r > 0 THEN coalesce(h.upto, 0) - coalesce(l.upto, 0) ELSE o.here END AS m FROM e ASOF LEFT JOIN u AS h ON e.k = h.k AND e.hi > h.v ASOF LEFT JOIN u AS l ON e.k = l.k AND e.lo >= l.v JOIN u AS o ON o.k = e.k AND o.v = e.v)
+SELECT k AS variable, count(*) AS "rows", round(greatest(avg({_digamma("n")} + {_digamma("CASE WHEN r > 0 THEN 3 ELSE c END")} - {_digamma("ny")} - {_digamma("m")}), 0), 6) AS mi FROM m GROUP BY k""")
+def selection_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """What amounts, quantities and discounts tell about a return, by nearest neighbours."""
+    lines = t(spark, sf, "sale_lines").select(*_LINE_NUMBERS, (F.col("flag") == "returned").cast("int").alias("returned"))
+    return rounded(neighbours.information(lines, _LINE_NUMBERS, "returned"), "mi")
+
+
 __all__ = ["R", "Window"]
