@@ -11,7 +11,8 @@ import hashlib
 import io
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +21,20 @@ from pyspark.sql import DataFrame
 from tabloom.llm.common import id_field, only, slices
 
 ROW = 64
+#: Height and width of the picture that a difference hash compares.
+HASH = (8, 9)
+#: Samples that are summed at once.
+BAND = 1 << 18
 
 
 class MediaError(ValueError):
     """The bytes are no picture of a known form."""
 
 
+#: What decoding of arbitrary bytes raises.
+UNREADABLE = (ValueError, OverflowError, struct.error, IndexError)
+
+
 def _header(data: bytes, count: int) -> tuple[list[int], int]:
     """count numbers of a Netpbm header after the magic, and where the raster begins."""
     found: list[int] = []
@@ -145,29 +154,82 @@ def _edges(n: int, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return low, (at - low * parts) / parts
 
 
-def area_resize(picture: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's area, from the integral image read at fractional corners."""
+def _between(cells: np.ndarray, starts: np.ndarray, axis: int) -> np.ndarray:
+    """Sums along an axis from each start to the next one; large arrays are never widened as a whole."""
+    if cells.size <= BAND:
+        return np.add.reduceat(cells, starts, axis=axis, dtype=np.int64)
+    lines = cells if axis == 0 else cells.T
+    out = np.zeros((len(starts), lines.shape[1]), np.int64)
+    step = max(1, BAND // lines.shape[1])
+    for i, (start, end) in enumerate(zip(starts, [*starts[1:], len(lines)], strict=True)):
+        for at in range(start, end, step):
+            out[i] += lines[at : min(at + step, end)].sum(axis=0, dtype=np.int64)
+    return out if axis == 0 else out.T
+
+
+@lru_cache(1024)
+def _corners(n: int, parts: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Of an axis of n samples cut into equal cells, for each number of cells: where to add up from, which of
+    these sums the integral image is read at, and each cell's place among them with its fraction."""
+    edges = [_edges(n, p) for p in parts]
+    wanted = np.unique(np.concatenate([x for low, _ in edges for x in (low, low + 1)]))
+    starts = np.union1d(wanted[wanted < n], [0])
+    return starts, np.where(wanted < n, np.searchsorted(starts, wanted), len(starts)), [(np.searchsorted(wanted, low), part) for low, part in edges]
+
+
+def area_resizes(picture: np.ndarray, shapes: Sequence[tuple[int, int]]) -> list[np.ndarray]:
+    """Means over the target cells' areas, for each target (height, width), from one integral image read at fractional corners.
+
+    The integral image (sums of all samples above and left of a corner) is made at the rows and columns that are read,
+    the longer side first, so nothing of the picture's size is made.
+    """
     h, w = picture.shape
-    integral = np.zeros((h + 1, w + 1), np.int64)
-    np.cumsum(np.cumsum(picture, axis=0, dtype=np.int64), axis=1, out=integral[1:, 1:])
-    low, part = _edges(h, height)
-    rows = integral[low] + (integral[low + 1] - integral[low]) * part[:, None]
-    low, part = _edges(w, width)
-    corners = rows[:, low] + (rows[:, low + 1] - rows[:, low]) * part
-    return np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (h * w))
+    axes = _corners(h, tuple(x for x, _ in shapes)), _corners(w, tuple(x for _, x in shapes))
+    integral = picture
+    for axis in (0, 1) if h >= w else (1, 0):
+        starts, places, _ = axes[axis]
+        sums = _between(integral, starts, axis)
+        upto = np.zeros((len(starts) + 1, sums.shape[1]) if axis == 0 else (sums.shape[0], len(starts) + 1), np.int64)
+        np.cumsum(sums, axis=axis, out=upto[1:] if axis == 0 else upto[:, 1:])
+        integral = upto[places] if axis == 0 else upto[:, places]
+    out = []
+    for (height, width), (at, part), (beside, rest) in zip(shapes, axes[0][2], axes[1][2], strict=True):
+        lines = integral[at] + (integral[at + 1] - integral[at]) * part[:, None]
+        corners = lines[:, beside] + (lines[:, beside + 1] - lines[:, beside]) * rest
+        out.append(np.diff(np.diff(corners, axis=0), axis=1) * (height * width / (h * w)))
+    return out
+
+
+def area_resize(picture: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Mean over each target cell's area."""
+    return area_resizes(picture, [(height, width)])[0]
+
+
+def hash_and_tile(picture: np.ndarray, side: int, top: int = 255) -> tuple[str, bytes]:
+    """``difference_hash`` and ``npy_tile`` of a grey picture, from one integral image."""
+    small, tile = area_resizes(picture, [HASH, (side, side)])
+    return _hash(small), _tile(tile, top)
+
+
+def _hash(small: np.ndarray) -> str:
+    steps = np.rint(small * 1024)
+    return np.packbits(steps[:, 1:] > steps[:, :-1]).tobytes().hex()
+
+
+def _tile(cells: np.ndarray, top: int) -> bytes:
+    out = io.BytesIO()
+    np.lib.format.write_array(out, np.clip(np.rint(cells * (255 / top)), 0, 255).astype(np.uint8), version=(1, 0), allow_pickle=False)
+    return out.getvalue()
 
 
 def difference_hash(picture: np.ndarray) -> str:
     """64 bits, 16 hex digits: whether each of 8 x 8 cells is darker than its right neighbour."""
-    small = np.rint(area_resize(picture, 8, 9) * 1024)
-    return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
+    return _hash(area_resize(picture, *HASH))
 
 
 def npy_tile(picture: np.ndarray, side: int, top: int = 255) -> bytes:
     """The picture area-resized to side x side 8-bit samples (top becomes 255), as an NPY file."""
-    out = io.BytesIO()
-    np.lib.format.write_array(out, np.clip(np.rint(area_resize(picture, side, side) * (255 / top)), 0, 255).astype(np.uint8), version=(1, 0), allow_pickle=False)
-    return out.getvalue()
+    return _tile(area_resize(picture, side, side), top)
 
 
 def media_features(df: DataFrame, id_col: str, media_col: str, side: int = 32, slice_bytes: int = 8 << 20) -> DataFrame:
@@ -184,8 +246,8 @@ def media_features(df: DataFrame, id_col: str, media_col: str, side: int = 32, s
                 try:
                     picture = decode(data or b"")
                     light = grey(picture)
-                    rows.append((*picture.shape[:2], 1 if picture.ndim == 2 else 3, difference_hash(light), npy_tile(light, side, white(data))))
-                except (ValueError, OverflowError, struct.error, IndexError):
+                    rows.append((*picture.shape[:2], 1 if picture.ndim == 2 else 3, *hash_and_tile(light, side, white(data))))
+                except UNREADABLE:
                     rows.append((None,) * 5)
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=[id_col, "height", "width", "channels", "dhash", "tile"])
@@ -220,7 +282,8 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", side: int = 32, slice_by
 
     Columns: the id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
     media_sha256 and feature (difference hash, then the sha256 of the NPY tile). Null media
-    give null digests.
+    give null digests; of media that can't be decoded only media_bytes and media_sha256 are known. Beside the media
+    and the decoded samples a very long text takes a few MB.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,10 +293,15 @@ def media_digest(df: DataFrame, id_col: str = "doc_id", side: int = 32, slice_by
                 if data is None:
                     rows.append((None,) * 6)
                     continue
-                picture = decode(data)
-                read = picture.tobytes()
-                tile = npy_tile(picture, side)
-                rows.append((len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), f"{difference_hash(picture)}:{hashlib.sha256(tile).hexdigest()}"))
+                whole = len(data), hashlib.sha256(data).hexdigest()
+                try:
+                    picture = np.ascontiguousarray(decode(data))
+                    look, tile = hash_and_tile(grey(picture), side, white(data))
+                except UNREADABLE:
+                    rows.append((None, None, None, *whole, None))
+                    continue
+                tail = picture.reshape(-1)[-ROW:].tobytes()
+                rows.append((picture.nbytes, hashlib.sha256(picture.data).hexdigest(), zlib.crc32(tail[-ROW:]), *whole, f"{look}:{hashlib.sha256(tile).hexdigest()}"))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import random
 import struct
@@ -109,6 +110,46 @@ def test_null_media_have_null_digests(spark):
     assert got[1].media_sha256 is None and got[1].payload_bytes is None and got[2].payload_bytes == 64
 
 
+def test_undecodable_media_stop_no_digest(spark):
+    """Bytes that are no picture, a cut raster, an empty value: the stored form's own figures, nulls for the rest."""
+    good = media.store_payload(media.payload(b"abc"), "netpbm")
+    df = spark.createDataFrame([(1, 3, b"no picture"), (2, 3, good[:-1]), (3, 3, b""), (4, 3, b"P5 9 9 70000 "), (5, 3, good)], "doc_id long, n_bytes long, media binary")
+    got = {r.doc_id: r for r in media.media_digest(df).collect()}
+    for i, data in ((1, b"no picture"), (2, good[:-1]), (3, b""), (4, b"P5 9 9 70000 ")):
+        assert tuple(got[i])[1:] == (3, None, None, None, len(data), hashlib.sha256(data).hexdigest(), None)
+    assert got[5].payload_bytes == 64 and got[5].feature
+
+
+@pytest.mark.parametrize("shape", [(1, 1), (1, 64), (70, 64), (5_000, 64), (3, 9_000), (333, 77)])
+@pytest.mark.parametrize("band", [1 << 18, 100])
+def test_resize_in_bands(monkeypatch, shape, band):
+    """Whatever is summed at once, the integral image of the whole picture gives the same means."""
+    monkeypatch.setattr(media, "BAND", band)
+    picture = np.random.default_rng(2).integers(0, 65_536, shape).astype(np.uint16)
+    whole = np.zeros((shape[0] + 1, shape[1] + 1), np.int64)
+    whole[1:, 1:] = picture.astype(np.int64).cumsum(0).cumsum(1)
+    for got, (height, width) in zip(media.area_resizes(picture, [(8, 9), (32, 32)]), [(8, 9), (32, 32)], strict=True):
+        y, x = (np.arange(p + 1) * n / p for n, p in zip(shape, (height, width), strict=True))
+        read = np.apply_along_axis(lambda c: np.interp(y, np.arange(shape[0] + 1), c), 0, whole)
+        read = np.apply_along_axis(lambda c: np.interp(x, np.arange(shape[1] + 1), c), 1, read)
+        assert np.allclose(got, np.diff(np.diff(read, axis=0), axis=1) * height * width / picture.size)
+
+
+def test_memory_of_a_very_long_text(spark):
+    """24 MB of text: the hash and the tile take less than a MB beside it, and the query's two steps give its bytes back."""
+    import tracemalloc
+
+    text = ("a long text, over and over " * 900_000)[: 24 << 20]
+    picture = np.frombuffer(media.payload(text.encode()), np.uint8).reshape(-1, media.ROW)
+    tracemalloc.start()
+    media.hash_and_tile(picture, 32)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20
+    row = media.media_digest(media.store_text(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    assert row.n_bytes == len(text) and row.payload_sha256 == hashlib.sha256(media.payload(text.encode())).hexdigest()
+
+
 def test_quality_learns_from_long_texts_on_executors(spark):
     """Labelled texts of half a megabyte: few of them fill the dictionaries' sample, all others calibrate; the driver gets no text."""
     import random
