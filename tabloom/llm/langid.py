@@ -36,8 +36,10 @@ from tabloom.sources.store import forget
 UNKNOWN = "und"
 MAX_GRAM = 5
 _LETTERS = regex.compile(r"\p{L}+")
-#: Words that a worker's memo holds before it starts anew.
-MEMO = 200_000
+#: Words that a worker's memo holds before it starts anew; fewer, where their rows of one value a language would take more cells.
+MEMO, MEMO_CELLS = 200_000, 8 << 20
+#: Values of n-grams that are looked up at once.
+CELLS = 1 << 20
 
 
 #: What of ASCII is no letter separates words; capitals become small.
@@ -54,15 +56,65 @@ def _edged(word: str, n: int) -> str:
     return f" {word} " if n > 1 else word
 
 
+@dataclass
+class LogTable:
+    """Log frequencies of entries by language, add-half smoothed, less each entry's largest one: only differences matter.
+
+    Only the languages that have an entry hold a value for it; in all others it has their constant for count 0. So
+    a table takes what was counted, however many languages there are. Tables put one after the other keep constants of their own.
+    """
+
+    absent: np.ndarray  # tables x languages
+    ends: np.ndarray  # entries up to the end of each table
+    top: np.ndarray
+    first: np.ndarray  # entry -> where its values begin; one more at the end
+    langs: np.ndarray
+    values: np.ndarray
+
+    def dense(self, entries: np.ndarray) -> np.ndarray:
+        """Rows of float32, one for each of the given entries."""
+        out = (self.absent[np.searchsorted(self.ends, entries, side="right")] - self.top[entries, None]).astype(np.float32)
+        sizes = self.first[entries + 1] - self.first[entries]
+        row = np.repeat(np.arange(len(entries)), sizes)
+        at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.first[entries], sizes)
+        out[row, self.langs[at]] = self.values[at]
+        return out
+
+
+def _log_table(counts: dict[int, Counter], languages: int) -> tuple[dict[str, int], LogTable]:
+    """The entries of all languages, in order, and their table."""
+    totals = np.array([sum(counts[i].values()) for i in range(languages)], float)
+    entries = {k: at for at, k in enumerate(sorted(set().union(*counts.values())))}
+    sizes = [len(counts[i]) for i in range(languages)]
+    row = np.fromiter((entries[k] for i in range(languages) for k in counts[i]), np.int64, sum(sizes))
+    times = np.fromiter((n for i in range(languages) for n in counts[i].values()), float, sum(sizes))
+    lang = np.repeat(np.arange(languages, dtype=np.int32), sizes)
+    scale = totals + 0.5 * (len(entries) + 1)
+    absent, logs = np.log(0.5 / scale), np.log((times + 0.5) / scale[lang])
+    order = np.lexsort((lang, row))
+    row, lang, logs = row[order], lang[order], logs[order]
+    first = np.searchsorted(row, np.arange(len(entries) + 1))
+    top = np.maximum(np.maximum.reduceat(logs, first[:-1]), absent.max()) if len(entries) else np.zeros(0)  # a counted value is above its own constant
+    return entries, LogTable(absent[None], np.array([len(entries)]), top, first, lang, (logs - top[row]).astype(np.float32))
+
+
+def _one_after_another(tables: list[LogTable]) -> LogTable:
+    starts = np.cumsum([0, *(len(x.values) for x in tables)])
+    first = np.concatenate([*(x.first[:-1] + at for x, at in zip(tables, starts, strict=False)), starts[-1:]])
+    joined = {k: np.concatenate([getattr(x, k) for x in tables]) for k in ("absent", "top", "langs", "values")}
+    return LogTable(ends=np.cumsum([x.ends[-1] for x in tables]), first=first, **joined)
+
+
 @dataclass
 class LanguageModel:
-    """Log probabilities by language: a row for each known word, and for each n-gram of a length (from 1)."""
+    """Log probabilities by language of each known word, and of each n-gram of a length (from 1)."""
 
     languages: list[str]
     words: np.ndarray  # sorted 64-bit hashes
-    word_rows: np.ndarray
+    word_entries: np.ndarray
+    word_table: LogTable
     grams: list[dict[str, int]]
-    gram_rows: np.ndarray
+    gram_table: LogTable
     prior: np.ndarray
 
     def rows(self, words: list[str]) -> np.ndarray:
@@ -71,8 +123,8 @@ class LanguageModel:
         hashes = _hashes(words)
         row = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
         known = self.words[row] == hashes if len(self.words) else np.zeros(len(words), bool)
-        out[known] = self.word_rows[row[known]]
-        places, hits, starts = [], [], []
+        out[known] = self.word_table.dense(self.word_entries[row[known]])
+        places, hits, owners = [], [], []
         for at in np.flatnonzero(~known).tolist():
             word = words[at]
             for n in range(min(MAX_GRAM, len(word) + 2), 0, -1):
@@ -80,26 +132,20 @@ class LanguageModel:
                 found = [g for i in range(len(edged) - n + 1) if (g := grams.get(edged[i : i + n])) is not None]
                 if found:
                     places.append(at)
-                    starts.append(len(hits))
+                    owners.append(len(found))
                     hits += found
                     break
+        owner, entry = np.repeat(places, owners).astype(np.int64), np.array(hits, np.int64)
+        step = max(1, CELLS // max(1, len(self.languages)))
+        for start in range(0, len(entry), step):  # a long word's n-grams may fill several steps
+            own = owner[start : start + step]
+            starts = np.flatnonzero(np.diff(own, prepend=-1))
+            out[own[starts]] += np.add.reduceat(self.gram_table.dense(entry[start : start + step]), starts, axis=0, dtype=np.float64)
         if places:
-            sums = np.add.reduceat(self.gram_rows[hits], starts, axis=0, dtype=np.float64)
-            out[places] = sums / np.diff([*starts, len(hits)])[:, None]
+            out[places] /= np.array(owners)[:, None]
         return out
 
 
-def _rows(counts: dict[int, Counter], languages: int) -> tuple[dict[str, int], np.ndarray]:
-    """Log frequencies by language, add-half smoothed."""
-    totals = np.array([sum(counts[i].values()) for i in range(languages)], float)
-    entries = {k: at for at, k in enumerate(sorted(set().union(*counts.values())))}
-    table = np.zeros((len(entries), languages))
-    for i in range(languages):
-        table[np.fromiter(map(entries.__getitem__, counts[i]), np.int64, len(counts[i])), i] = np.fromiter(counts[i].values(), float, len(counts[i]))
-    logs = np.log((table + 0.5) / (totals + 0.5 * (len(entries) + 1)))
-    return entries, (logs - logs.max(axis=1, keepdims=True) if len(entries) else logs).astype(np.float32)  # only differences matter
-
-
 def learn(rows: Iterable[tuple[str, str]]) -> LanguageModel:
     """The model of (text, language) pairs."""
     words: dict[str, Counter] = {}
@@ -115,7 +161,7 @@ def build(bags: dict[str, Counter], documents: dict[str, int]) -> LanguageModel:
     languages = sorted(documents)
     words = {i: bags.get(lang, Counter()) for i, lang in enumerate(languages)}
     grams: list[dict[str, int]] = []
-    gram_rows: list[np.ndarray] = []
+    tables: list[LogTable] = []
     offset = 0
     for n in range(1, MAX_GRAM + 1):
         counts: dict[int, Counter] = {}
@@ -125,15 +171,15 @@ def build(bags: dict[str, Counter], documents: dict[str, int]) -> LanguageModel:
                 edged = _edged(word, n)
                 for k in range(len(edged) - n + 1):
                     own[edged[k : k + n]] += times
-        place, rows_n = _rows(counts, len(languages))
+        place, table = _log_table(counts, len(languages))
         grams.append({k: offset + v for k, v in place.items()})
         offset += len(place)
-        gram_rows.append(rows_n)
+        tables.append(table)
     prior = np.log(np.array([documents[lang] + 1.0 for lang in languages]) / (sum(documents.values()) + len(languages)))
-    known, word_rows = _rows(words, len(languages))
+    known, word_table = _log_table(words, len(languages))
     hashes = _hashes(list(known))
     order = np.argsort(hashes)
-    return LanguageModel(languages, hashes[order], word_rows[order], grams, np.concatenate(gram_rows), prior)
+    return LanguageModel(languages, hashes[order], order, word_table, grams, _one_after_another(tables), prior)
 
 
 def sample(df: DataFrame, learn_from: Column, id_col: str, text_col: str, lang_col: str, per_lang: int, max_rows: int) -> DataFrame | None:
@@ -184,8 +230,9 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent_model.value
         place: dict[bytes, int] = {}
-        table = np.zeros((MEMO + 1, width), np.float32)
-        lettered = np.zeros(MEMO + 1, bool)
+        most = max(2, min(MEMO, MEMO_CELLS // max(1, width)))
+        table = np.zeros((most + 1, width), np.float32)
+        lettered = np.zeros(most + 1, bool)
 
         def learn_words(fresh: list[bytes]) -> None:
             start = len(place)
@@ -209,15 +256,15 @@ def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_co
                 fresh.update(words)
             fresh.difference_update(place)
             # all at once where the memo takes them, else run by run
-            if whole := len(place) + len(fresh) <= MEMO:
+            if whole := len(place) + len(fresh) <= most:
                 learn_words(list(fresh))
             for words in split:
                 total, letters = model.prior.copy() if width else np.zeros(0), False
-                for start in range(0, len(words), MEMO // 2):  # a run's words always fit the memo
-                    run = words[start : start + MEMO // 2]
+                for start in range(0, len(words), most // 2):  # a run's words always fit the memo
+                    run = words[start : start + most // 2]
                     if not whole:
                         new = set(run).difference(place)
-                        if len(place) + len(new) > MEMO:
+                        if len(place) + len(new) > most:
                             place.clear()
                             new = set(run)
                         learn_words(list(new))

@@ -120,6 +120,26 @@ def test_language_memo_limit(docs, monkeypatch):
     assert Counter(w[1] for w in want) == Counter(by_hand)
 
 
+@pytest.mark.parametrize("cells", [1 << 20, 50])
+def test_language_tables_hold_counts_only(monkeypatch, cells):
+    """150 languages: sparse rows equal the smoothed logs of all languages, looked up at once or in steps, and hold a value a count."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rng = random.Random(4)
+    bags = {f"l{i:03}": Counter({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))): rng.randint(1, 9) for _ in range(i % 40)}) for i in range(150)}
+    model = langid.build(bags, dict.fromkeys(bags, 2))
+    assert len(model.word_table.values) == sum(map(len, bags.values()))
+    known = sorted(set().union(*bags.values()))
+    total = np.array([sum(b.values()) for b in bags.values()])
+    whole = np.log((np.array([[b[w] for b in bags.values()] for w in known]) + 0.5) / (total + 0.5 * (len(known) + 1)))
+    assert np.allclose(model.rows(known), whole - whole.max(axis=1, keepdims=True), atol=1e-5)
+    unseen = "bcdabc" * 60
+    n, grams = next((n, g) for n in range(5, 0, -1) if (g := [unseen_gram for i in range(len(langid._edged(unseen, n)) - n + 1) if (unseen_gram := langid._edged(unseen, n)[i : i + n]) in model.grams[n - 1]]))
+    own = [Counter(e[i : i + n] for w, t in b.items() for _ in range(t) for e in [langid._edged(w, n)] for i in range(len(e) - n + 1)) for b in bags.values()]
+    total = np.array([sum(c.values()) for c in own])
+    rows = np.array([np.log((np.array([c[g] for c in own]) + 0.5) / (total + 0.5 * (len(model.grams[n - 1]) + 1))) for g in grams])
+    assert np.allclose(model.rows([unseen])[0], (rows - rows.max(axis=1, keepdims=True)).mean(axis=0), atol=1e-5)
+
+
 def test_backoff_prefers_words_then_long_grams():
     model = langid.learn([("sun sun moon", "a"), ("mond mond sonne", "b")])
     assert np.argmax(model.rows(["sun"])[0]) == 0
