@@ -92,12 +92,17 @@ def free(columns: list[str], name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column name as it stands in an expression; back quotes within it are doubled."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def only(df: DataFrame, **columns: str) -> DataFrame:
     """Exactly the named input columns, under the operator's own names.
 
     Whatever else the table carries, also under names that the operator uses, stays outside.
     """
-    return df.select(*[F.col(f"`{source}`").alias(name) for name, source in columns.items()])
+    return df.select(*[F.col(quoted(source)).alias(name) for name, source in columns.items()])
 
 
-__all__ = ["SPACES", "WORD", "crc_mod", "free", "id_field", "lookup", "materialise", "only", "prepare", "slices", "table"]
+__all__ = ["SPACES", "WORD", "crc_mod", "free", "id_field", "lookup", "materialise", "only", "prepare", "quoted", "slices", "table"]

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.llm.cascade import n_words, text_of
-from tabloom.llm.common import free, materialise
+from tabloom.llm.common import free, materialise, quoted
 from tabloom.sources.store import forget
 
 #: Bits of the seeded order that one level of the border search resolves.
@@ -183,7 +183,7 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     names = [f"c{i}" for i in range(len(df.columns))]
     of = dict(zip(df.columns, names, strict=True))
-    rows = df.select(*[F.col(f"`{c}`").alias(n) for c, n in of.items()])
+    rows = df.select(*[F.col(quoted(c)).alias(n) for c, n in of.items()])
     rows = rows.withColumns({"id": F.col(of[id_col]), "source": F.col(of[source_col]), "size": n_words(text_of(of[text_col]))})
     marks = plan(materialise(rows.select("id", "source", "size"), "mix-sizes"), max_epochs, pattern, seed)
     found = take(rows, marks, seed).select(*names, "size", "taken")

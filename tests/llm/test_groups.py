@@ -188,7 +188,7 @@ def awkward(spark):
 
     rows = [(7, prose(40), "en", "a", 1), (7, prose(41), "en", "a", 1), (None, prose(42), "en", "b", 1), (None, prose(43), None, "b", 1), (None, prose(30_000), "en", None, 1)]
     rows += [rows[0], rows[2], (-3, rows[1][1], "en", "c", 1), (9, "", None, None, None), (None, None, None, None, None)]
-    names = ("__repeats", "__tl_words", "__tl_windows", "key", "size", "id", "fp", "found", "share", "c0", "tl_id")
+    names = ("__repeats", "__tl_words", "__tl_windows", "key", "size", "id", "fp", "found", "share", "c0", "tl_id", "back`quote")
     return spark.createDataFrame(rows, SCHEMA).withColumns({n: F.lit("clash") for n in names}), rows
 
 
