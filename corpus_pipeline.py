@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.llm import cascade, langid, mixing, packing, queries, simhash
-from tabloom.llm.common import crc_mod, materialise, prepare, table
+from tabloom.llm.common import crc_mod, materialise, prepare, quoted, table
 
 #: Below this share of the best language a document counts as not identified.
 LEAST_SHARE = 0.5
@@ -23,7 +23,7 @@ WIDTH, SIMILARITY = 5, 0.8
 def _apart(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """docs under column names c0, c1, ... that no stage uses itself, and the new name of each."""
     of = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in of.items()]), of
+    return docs.select(*[F.col(quoted(c)).alias(n) for c, n in of.items()]), of
 
 
 def _back(rows: DataFrame, of: dict[str, str]) -> DataFrame:
