@@ -130,7 +130,7 @@ def rounded(column: str, places: int) -> Column:
 
 
 #: The order in which corrections are applied, whatever order they were chosen in.
-ORDER = ("sentinel_date", "empty_text", "spelling", "round", "hidden_code", "negative", "clip")
+ORDER = ("hidden_code", "sentinel_date", "empty_text", "spelling", "negative", "clip", "round")
 
 
 def in_order(steps: Sequence[tuple[str, str, Column]]) -> list[tuple[str, str, Column]]:

@@ -240,6 +240,15 @@ def test_remedies(spark):
     assert [s[0] for s in remedies.in_order([("clip", "a", F.lit(1)), ("spelling", "b", F.lit(1))])] == ["spelling", "clip"]
 
 
+def test_negatives_go_before_rounding(spark):
+    """As in the original: a value just below 0 is missing, not a rounded 0."""
+    steps = remedies.in_order([("round", "x", remedies.rounded("x", 0)), ("clip", "x", remedies.upper_clip("x", 2.5)), ("negative", "x", remedies.negative_to_null("x"))])
+    df = spark.createDataFrame([(-0.3,), (0.3,), (-2.0,), (9.0,)], "x double")
+    for _, column, value in steps:
+        df = df.withColumn(column, value)
+    assert [r.x for r in df.collect()] == [None, 0, None, 2]
+
+
 def test_topics_and_text_score(spark):
     rows = [(i, ("kredi kart borç" if i % 2 else "sigorta poliçe hasar") + f" w{i % 3}", i % 2) for i in range(120)]
     df = spark.createDataFrame(rows, "id int, t string, y int")
