@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import keyword
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import average_rank, clip, div, finite, null, num
@@ -145,10 +145,37 @@ def script(steps: list[tuple[str, str]], columns: list[str]) -> str:
     return "\n".join([*lines, "    return df", ""])
 
 
+class _Ranks(ast.NodeTransformer):
+    """Ranks of an expression become columns of the table, from counts of distinct values: no task sees all rows."""
+
+    def __init__(self, df: DataFrame) -> None:
+        self.df, self.made = df, []
+
+    def visit_Call(self, node: ast.Call) -> ast.expr:  # noqa: N802  the name that ast asks for
+        node = self.generic_visit(node)
+        if node.func.id != "rank":
+            return node
+        from tabloom.functions.joins import attach
+        from tabloom.operators import measures
+        from tabloom.sources.store import materialise
+
+        name, names = f"__rank{len(self.made)}", self.df.columns
+        rows = self.df.withColumn("__x", _compile(node.args[0]).cast("double"))
+        values = materialise(rows.where("__x IS NOT NULL").groupBy("__x").agg(F.count(F.lit(1)).alias("n")), "rank-values")
+        total = values.agg(F.sum("n")).first()[0] or 0
+        ranks = materialise(measures.value_ranks(values, [], "__x", "n").select("__x", "n", (F.col("rank") / F.lit(max(total, 1))).alias(name)), "ranks")
+        self.df = attach(rows, ranks, "__x", "n", total).select(*[f"`{c}`" for c in names], name)
+        self.made.append(name)
+        return ast.Name(name, ast.Load())
+
+
 def apply(df, steps: list[tuple[str, str]]):
-    """Add the columns of steps, in order; a step that can't be compiled stops the build."""
+    """Add the columns of steps, in order; a step that can't be compiled stops the build. Ranks run their own jobs."""
     for name, text in steps:
-        df = df.withColumn(checked_name(name), expression(text, df.columns))
+        checked_name(name)
+        ranks = _Ranks(df)
+        tree = ranks.visit(parse(text, df.columns))
+        df = ranks.df.withColumn(name, finite(_compile(tree).cast("double"))).drop(*ranks.made)
     return df
 
 

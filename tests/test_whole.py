@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import oracle
-from tabloom.operators import features, remedies, select
+from tabloom.functions import language
+from tabloom.operators import features, measures, remedies, select
 from tabloom.plans import catalog
 from tabloom.plans.base import OBS, ORDERS
 
@@ -86,3 +87,18 @@ def test_models_with_defaults(spark, small, monkeypatch):
 def test_months_have_amounts(spark, small, con):
     sql = f"SELECT o_custkey, mon, round(sum(amt), 2) AS total, count(amt) AS filled, count(*) AS n_rows FROM {ORDERS} GROUP BY 1, 2"
     assert oracle.differences(QUERIES["months_grid"](spark, small), con, sql) == []
+
+
+def test_ranks_of_expressions_use_no_window(spark):
+    """A rank over the whole table comes from its distinct values; nulls have none, ranks may be nested, repeated and in a formula."""
+    df = spark.createDataFrame([(i, None if i % 5 == 0 else float(i % 7)) for i in range(100)], "id int, x double")
+    out = language.apply(df, [("a", "rank(x)"), ("b", "1 - rank(2 * x) / 2"), ("c", "rank(rank(-x))")])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" not in plan and out.columns == ["id", "x", "a", "b", "c"]
+    old = df.select("id", *[language.expression(t, df.columns).alias(n) for n, t in (("a", "rank(x)"), ("b", "1 - rank(2 * x) / 2"))])
+    want = {r.id: (r.a, r.b) for r in old.collect()}
+    got = {r.id: r for r in out.collect()}
+    assert len(got) == 100 and all((r.a is None) == (i % 5 == 0) for i, r in got.items())
+    for i, r in got.items():
+        if r.a is not None:
+            assert (r.a, r.b) == pytest.approx(want[i]) and r.c == pytest.approx(1 - r.a + 1 / 80)
