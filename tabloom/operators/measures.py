@@ -31,8 +31,9 @@ def grouped(measure: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
-#: Up to so many bytes, by the optimizer's own bound, one sorted window per group is the cheaper plan.
-SMALL = 256 << 20
+#: Up to so many bytes, by the optimizer's own bound, one sorted window per group is the cheaper plan. The bound counts
+#: compressed files and does not see that rows are exploded, so what a task sorts may be a few dozen times as large.
+SMALL = 16 << 20
 
 
 def _small(values: DataFrame) -> bool:
@@ -40,13 +41,21 @@ def _small(values: DataFrame) -> bool:
     return int(str(values._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL
 
 
+def _held(values: DataFrame) -> DataFrame:
+    """A large table that is read several times, written first if it has to be aggregated or joined anew each time."""
+    plan = values._jdf.queryExecution().optimizedPlan().toString()
+    if _small(values) or "InMemoryRelation" in plan or not any(step in plan for step in ("Aggregate", "Join", "Window", "Generate")):
+        return values
+    return materialise(values, "values")
+
+
 @grouped
 def cumulate(values: DataFrame, group: Sequence[str], value: str, weights: Sequence[str]) -> DataFrame:
     """Add ``W_before`` for each weight W: its sum over smaller values of the group."""
     if _small(values):
         run = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
         return values.withColumns({f"{w}_before": F.coalesce(F.sum(w).over(run), F.lit(0)) for w in weights})
-    spark = values.sparkSession
+    spark, values = values.sparkSession, _held(values)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(values.repartitionByRange(parts, *group, value).withColumn("__part", F.spark_partition_id()), "ranged")
     sums = ranged.groupBy("__part", *group).agg(*[F.sum(w).alias(f"__{w}") for w in weights])
@@ -61,6 +70,7 @@ def cumulate(values: DataFrame, group: Sequence[str], value: str, weights: Seque
 @grouped
 def quantiles(values: DataFrame, group: Sequence[str], value: str, weight: str, probabilities: Sequence[float]) -> DataFrame:
     """Exact quantiles with linear interpolation: one row a group, columns q0, q1, ... in the given order."""
+    values = _held(values)
     total = values.groupBy(*group).agg(F.sum(weight).alias("__n"))
     run = cumulate(values, group, value, [weight]).join(total, group)
     out = []
@@ -85,6 +95,7 @@ def separation(values: DataFrame, group: Sequence[str], value: str, bad: str, go
 
     values: distinct values with counts of both classes.
     """
+    values = _held(values)
     run = cumulate(values, group, value, [bad, good])
     totals = values.groupBy(*group).agg(F.sum(bad).cast("double").alias("__b"), F.sum(good).cast("double").alias("__g"))
     run = run.join(totals, group)

@@ -89,6 +89,14 @@ def test_months_have_amounts(spark, small, con):
     assert oracle.differences(QUERIES["months_grid"](spark, small), con, sql) == []
 
 
+def test_no_task_sorts_all_values(spark):
+    """Three million values are cumulated in ranges, with the sums of one window."""
+    run = measures.cumulate(spark.range(3_000_000).withColumn("n", F.lit(2)), [], "id", ["n"])
+    parts = run.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("n_before") != 2 * F.col("id")).alias("wrong")).collect()
+    assert sum(r.rows for r in parts) == 3_000_000 and not any(r.wrong for r in parts)
+    assert max(r.rows for r in parts) < 1_500_000
+
+
 def test_ranks_of_expressions_use_no_window(spark):
     """A rank over the whole table comes from its distinct values; nulls have none, ranks may be nested, repeated and in a formula."""
     df = spark.createDataFrame([(i, None if i % 5 == 0 else float(i % 7)) for i in range(100)], "id int, x double")
