@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabloom.functions.exprs import below, num
 from tabloom.operators import gram, measures
+from tabloom.sources.store import materialise, release
 
 
 def leaks(train: DataFrame, columns: Sequence[str], target: str, most: float = 0.95) -> DataFrame:
@@ -64,13 +69,89 @@ def medians(train: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     return {c: q[0] for c, q in learn_grid(train, columns, (0.5,)).items() if q[0] is not None}
 
 
+#: Trees tell at most so many values of a column apart (what MLlib's do), and models are fitted from cells if there are at most so many.
+BINS, CELLS = 32, 200_000
+#: Fits that run at a time.
+FITS = 10
+
+
+def learn_cuts(train: DataFrame, columns: Sequence[str]) -> dict[str, list[float]]:
+    """Cuts between values for columns of up to 32 values, else exact 32-quantiles of the train rows."""
+    from tabloom.operators.profile import value_table
+
+    table = materialise(value_table(train.select(*[num(F.col(f"`{c}`")).alias(c) for c in columns]), columns, False), "model-values")
+    short = table.groupBy("k").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") <= BINS).select("k")
+    cuts = {r.k: sorted(r.v)[:-1] for r in table.join(F.broadcast(short), "k").groupBy("k").agg(F.collect_list("v").alias("v")).collect()}
+    long = table.join(F.broadcast(short), "k", "left_anti")
+    for r in measures.quantiles(long, ["k"], "v", "n", [i / BINS for i in range(1, BINS)]).collect():
+        cuts[r.k] = sorted({r[f"q{i}"] for i in range(BINS - 1)})
+    release(table)
+    return cuts
+
+
+def model_cells(df: DataFrame, columns: Sequence[str], target: str, cuts: dict[str, list[float]], fill: dict[str, float]) -> DataFrame:
+    """(x0, m0, x1, m1, ..., bad, n): rows of equal bins, null indicators and class are one row of weight n. Rows that a tree can't tell apart aren't kept apart."""
+    made = []
+    for i, c in enumerate(columns):
+        x = num(F.col(f"`{c}`"))
+        made += [below(cuts.get(c, []), F.coalesce(x, F.lit(float(fill.get(c, 0.0)))), False).cast("double").alias(f"x{i}"), x.isNull().cast("double").alias(f"m{i}")]
+    rows = df.where(F.col(target).isNotNull()).select(*made, (F.col(target) > 0).cast("double").alias("bad"))
+    return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _drawn(cells: DataFrame, kind: str, seed: int, number: int, rate: float) -> DataFrame:
+    """The cells with a weight w: how often their n rows come when each is drawn on its own, kept at a rate (binomial) or as often as a bootstrap takes it (poisson).
+
+    Draws depend on the cell, the seed and the number of the draw, not on partitions.
+    """
+    @F.pandas_udf("double")
+    def draw(key: pd.Series, n: pd.Series) -> pd.Series:
+        out = []
+        for k, size in zip(key.to_numpy(), n.to_numpy(), strict=True):
+            rng = np.random.default_rng(int(k) & (2**63 - 1))
+            out.append(float(rng.binomial(size, rate) if kind == "binomial" else rng.poisson(size * rate)))
+        return pd.Series(out)
+
+    names = [c for c in cells.columns if c[0] in "xm" or c == "bad"]
+    return cells.withColumn("w", draw(F.xxhash64(F.lit(seed), F.lit(number), *names), F.col("n"))).where("w > 0")
+
+
+def _vectors(df: DataFrame, k: int) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=[f"{a}{i}" for a in "xm" for i in range(k)], outputCol="features").transform(df)
+
+
+def _side_by_side(spark: SparkSession, work: Callable, items: Sequence) -> list:
+    """Fits in threads, as MLlib's own validators run theirs: each is a few short jobs."""
+    with ThreadPool(min(FITS, max(1, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items)
+
+
 def importance(train: DataFrame, columns: Sequence[str], target: str, trees: int = 150, depth: int = 8, seed: int = 42) -> dict[str, float]:
-    """Impurity importance of a random forest, a column and its null indicator together."""
+    """Impurity importance of a random forest, a column and its null indicator together.
+
+    Where rows make at most ``CELLS`` cells, each tree is learnt from cells weighted by its own bootstrap of
+    the rows: Poisson counts of rows of a cell add up to one Poisson number. Else MLlib's forest reads the rows.
+    """
     from pyspark.ml.classification import RandomForestClassifier
 
-    ready = _assembled(train, columns, target, medians(train, columns))
-    model = RandomForestClassifier(featuresCol="__features", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
-    v = model.featureImportances.toArray()
+    columns, fill = list(columns), medians(train, columns)
+    cells = materialise(model_cells(train, columns, target, learn_cuts(train, columns), fill), "cells")
+    if cells.count() > CELLS:
+        model = RandomForestClassifier(featuresCol="__features", labelCol="__y", numTrees=trees, maxDepth=depth, seed=seed).fit(_assembled(train, columns, target, fill))
+        v = model.featureImportances.toArray()
+        return {c: float(v[i] + v[len(columns) + i]) for i, c in enumerate(columns)}
+
+    few = materialise(cells.coalesce(2), "few-cells")
+
+    def one(tree: int) -> np.ndarray:
+        rows = _vectors(_drawn(few, "poisson", seed, tree, 1.0), len(columns))
+        forest = RandomForestClassifier(labelCol="bad", weightCol="w", numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt" if trees > 1 else "all", maxDepth=depth, seed=seed + tree)
+        return forest.fit(rows).featureImportances.toArray()
+
+    v = np.sum(_side_by_side(train.sparkSession, one, range(trees)), axis=0)
+    v = v / (v.sum() or 1.0)
     return {c: float(v[i] + v[len(columns) + i]) for i, c in enumerate(columns)}
 
 
@@ -89,19 +170,47 @@ def select(train: DataFrame, columns: Sequence[str], target: str, priority: dict
     return train.sparkSession.createDataFrame([(c, c not in reason, reason.get(c)) for c in columns], "column string, kept boolean, reason string")
 
 
+def _boosted(train: DataFrame, test: DataFrame, k: int, seed: int, iterations: int, depth: int = 4, rate: float = 0.8, step: float = 0.1) -> float | None:
+    """AUC on test cells of gradient boosting on train cells: logistic loss, classes -1 and 1, every tree on its own draw of 80 % of the rows, as MLlib boosts."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+
+    sides = _vectors(train.withColumn("tr", F.lit(True)).unionByName(test.withColumn("tr", F.lit(False))), k)
+    now = sides.withColumn("f", F.lit(0.0))
+    y = 2 * F.col("bad") - 1
+    for i in range(iterations):
+        label = y if i == 0 else 4 * y / (1 + F.exp(2 * y * F.col("f")))
+        rows = _drawn(now.where("tr").withColumn("label", label), "binomial", seed, i, rate)
+        tree = DecisionTreeRegressor(weightCol="w", maxDepth=depth, seed=seed).fit(rows)
+        made = tree.transform(now).withColumn("f", F.col("f") + F.lit(1.0 if i == 0 else step) * F.col("prediction")).drop("prediction")
+        now = materialise(made, "boosted") if i % 5 == 4 else made
+    scores = now.where("NOT tr").groupBy("f").agg(F.sum(F.when(F.col("bad") > 0, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("bad") > 0, 0).otherwise(F.col("n"))).alias("good"))
+    return measures.separation(scores, [], "f", "bad", "good").first().auc
+
+
 def compare(train: DataFrame, test: DataFrame, base: Sequence[str], more: Sequence[str], target: str, seeds: Sequence[int] = (1, 2, 3, 4, 5), iterations: int = 20) -> DataFrame:
-    """(seed, auc_base, auc_more, delta) of boosted trees on either column set."""
+    """(seed, auc_base, auc_more, delta) of boosted trees on either column set.
+
+    Where rows make at most ``CELLS`` cells, trees are learnt from cells, each weighted by a draw of its rows
+    (kept rows of a cell are a binomial number), and the AUC is exact. Else MLlib's boosted trees read the rows.
+    """
     from pyspark.ml.classification import GBTClassifier
     from pyspark.ml.evaluation import BinaryClassificationEvaluator
 
-    rows = []
-    for seed in seeds:
-        auc = []
-        for columns in (list(base), [*base, *more]):
-            fill = medians(train, columns)
-            model = GBTClassifier(featuresCol="__features", labelCol="__y", maxIter=iterations, maxDepth=4, subsamplingRate=0.8, seed=seed).fit(_assembled(train, columns, target, fill))
-            auc.append(float(BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="__y").evaluate(model.transform(_assembled(test, columns, target, fill)))))
-        rows.append((seed, auc[0], auc[1], auc[1] - auc[0]))
+    sets = (list(base), list(dict.fromkeys([*base, *more])))
+    fill, cuts = medians(train, sets[1]), learn_cuts(train, sets[1])
+    cells = [tuple(materialise(model_cells(df, columns, target, cuts, fill), "cells") for df in (train, test)) for columns in sets]
+
+    def one(what: tuple[int, int]) -> float | None:
+        seed, at = what
+        columns = sets[at]
+        if max(c.count() for c in cells[at]) <= CELLS:
+            return _boosted(*few[at], len(columns), seed, iterations)
+        model = GBTClassifier(featuresCol="__features", labelCol="__y", maxIter=iterations, maxDepth=4, subsamplingRate=0.8, seed=seed).fit(_assembled(train, columns, target, fill))
+        return float(BinaryClassificationEvaluator(rawPredictionCol="rawPrediction", labelCol="__y").evaluate(model.transform(_assembled(test, columns, target, fill))))
+
+    few = [tuple(materialise(c.coalesce(1 if c.count() <= CELLS else 64), "few-cells") for c in pair) for pair in cells]
+    auc = _side_by_side(train.sparkSession, one, [(seed, at) for seed in seeds for at in (0, 1)])
+    rows = [(seed, a, b, None if a is None or b is None else b - a) for seed, a, b in zip(seeds, auc[::2], auc[1::2], strict=True)]
     return train.sparkSession.createDataFrame(rows, "seed int, auc_base double, auc_more double, delta double")
 
 

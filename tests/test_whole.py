@@ -110,3 +110,15 @@ def test_ranks_of_expressions_use_no_window(spark):
     for i, r in got.items():
         if r.a is not None:
             assert (r.a, r.b) == pytest.approx(want[i]) and r.c == pytest.approx(1 - r.a + 1 / 80)
+
+
+def test_models_learn_from_cells(spark):
+    """Draws of rows depend on their cells, so partitions change no importance and no AUC; every row has its weight."""
+    rows = spark.range(4_000).select("id", (F.col("id") % 9).cast("double").alias("a"), F.when(F.col("id") % 4 > 0, (F.col("id") * 7 % 50).cast("double")).alias("b"), ((F.col("id") % 9 > 4) != (F.col("id") % 11 == 0)).cast("int").alias("y"))
+    dealt = rows.repartition(7, F.xxhash64("id"))
+    one, two = (select.importance(d, ["a", "b"], "y", trees=4, depth=3) for d in (rows, dealt))
+    assert one == pytest.approx(two, abs=1e-12) and sum(one.values()) == pytest.approx(1) and one["a"] > 0.9
+    one, two = (select.compare(d.where("id % 3 > 0"), d.where("id % 3 = 0"), ["b"], ["a"], "y", seeds=(1,), iterations=2).first() for d in (rows, dealt))
+    assert tuple(one) == pytest.approx(tuple(two), abs=1e-12) and one.delta > 0.2
+    cells = select.model_cells(rows, ["a", "b"], "y", select.learn_cuts(rows, ["a", "b"]), {"b": 24.0})
+    assert cells.agg(F.sum("n")).first()[0] == 4_000 and {r.m1: r.n for r in cells.groupBy("m1").agg(F.sum("n").alias("n")).collect()} == {0.0: 3_000, 1.0: 1_000}
