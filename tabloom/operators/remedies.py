@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,6 +170,26 @@ def word_table(train: DataFrame, column: str, target: str) -> DataFrame:
     return tt.select("word", "n", "bad", woe.alias("woe"), z.alias("z"))
 
 
+def _fold_words(train: DataFrame, column: str, target: str, fold: Column, folds: int = 5) -> DataFrame:
+    """(word, woe, __f): the word table without each fold's rows, and of all rows (-1), from one pass that counts words by fold.
+
+    Rows without a fold count for all rows only.
+    """
+    rows = train.where(F.col(target).isNotNull() & F.col(column).isNotNull()).select(F.col(f"`{column}`").alias("t"), (F.col(target) > 0).cast("int").alias("y"), F.coalesce(fold, F.lit(-1)).cast("int").alias("f"))
+    sums = {r.f: (r.n, r.b or 0) for r in rows.groupBy("f").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("b")).collect()}
+    found = rows.select(F.explode(words(F.col("t"))).alias("word"), "y", "f").groupBy("word")
+    n, bad = ([F.count_if(F.col("f") == f) for f in range(-1, folds)], [F.coalesce(F.sum(F.when(F.col("f") == f, F.col("y"))), F.lit(0)) for f in range(-1, folds)])
+    wide = found.agg(F.array(*n).alias("n"), F.array(*bad).alias("bad"))
+    parts = []
+    for f in range(-1, folds):
+        used = [g for g in range(-1, folds) if f == -1 or g not in (-1, f)]
+        own = lambda c, used=used: sum((F.col(c)[g + 1] for g in used), F.lit(0))
+        total, events = (sum(sums.get(g, (0, 0))[i] for g in used) for i in (0, 1))
+        woe = F.log((own("n") - own("bad") + 0.5) / (total - events + 0.5)) - F.log((own("bad") + 0.5) / (events + 0.5))
+        parts.append(F.when(own("n") >= max(30, math.ceil(0.005 * total)), F.struct(woe.alias("woe"), F.lit(f).alias("__f"))))
+    return wide.select("word", F.explode(F.array(*parts)).alias("x")).where("x IS NOT NULL").select("word", "x.woe", "x.__f")
+
+
 def flag_words(table: DataFrame, top: int = 10) -> list[str]:
     return [r.word for r in table.where(F.abs("z") >= Z).orderBy(F.desc(F.abs("z")), "word").limit(top).collect()]
 
@@ -191,8 +210,7 @@ def text_score(df: DataFrame, train: Column, column: str, target: str, keys: Seq
     from tabloom.operators.features import fold_of
 
     fold = fold_of(keys)
-    parts = [word_table(df.where(train & (fold != f)) if f >= 0 else df.where(train), column, target).select("word", "woe", F.lit(f).alias("__f")) for f in range(-1, 5)]
-    tables = materialise(reduce(lambda a, b: a.unionAll(b), parts), "words")
+    tables = materialise(_fold_words(df.where(train), column, target, fold), "words")
     text = F.col(f"`{column}`")
     rows = df.drop(f"{column}__SKOR").withColumns({"__f": F.when(train, F.coalesce(fold, F.lit(-1))).otherwise(-1).cast("int"), "__k": F.sha2(text.cast("string"), 256)})
     hits = rows.select("__k", "__f", F.explode(words(text)).alias("word")).join(F.broadcast(tables), ["word", "__f"])

@@ -122,3 +122,17 @@ def test_models_learn_from_cells(spark):
     assert tuple(one) == pytest.approx(tuple(two), abs=1e-12) and one.delta > 0.2
     cells = select.model_cells(rows, ["a", "b"], "y", select.learn_cuts(rows, ["a", "b"]), {"b": 24.0})
     assert cells.agg(F.sum("n")).first()[0] == 4_000 and {r.m1: r.n for r in cells.groupBy("m1").agg(F.sum("n").alias("n")).collect()} == {0.0: 3_000, 1.0: 1_000}
+
+
+def test_text_scores_read_words_twice(spark, monkeypatch):
+    """Words by fold are counted in one pass and met in another; the tables are those of each fold's other rows."""
+    rows = [(i, f"kredi w{i % 3} " + ("borç" if i % 4 else "hasar"), int(i % 5 < 2 + i % 2)) for i in range(600)]
+    df = spark.createDataFrame(rows, "id int, t string, y int")
+    fold, train = features.fold_of(["id"]), F.col("id") < 500
+    got = {(r.word, r["__f"]): r.woe for r in remedies._fold_words(df.where(train), "t", "y", fold).collect()}
+    want = {(r.word, f): r.woe for f in range(-1, 5) for r in remedies.word_table(df.where(train & (fold != f)) if f >= 0 else df.where(train), "t", "y").collect()}
+    assert got.keys() == want.keys() and len(got) == 18 and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    calls, words = [], remedies.words
+    monkeypatch.setattr(remedies, "words", lambda c: calls.append(1) or words(c))
+    assert remedies.text_score(df, train, "t", "y", ["id"]).count() == 600
+    assert len(calls) == 2
