@@ -19,9 +19,10 @@ The strings that start at all places are never listed: that would be a multiple
 Every step is an aggregation or a join by hash of anchors that still count, and a
 shuffle's sort on disk holds what memory doesn't. A class of anchors that very many different
 surroundings share (a licence in a third of all texts) is dealt into shares of about ``CLASS``
-by a hash. Each share finds the repeats inside it; its different strings then become
-rows, counted before they are shuffled, and only strings that lie beyond what the share has found
-ask whether another share has them. Equal texts are found first and stand
+by a hash. Each share finds the repeats inside it. Only strings that lie beyond what the share has
+found ask whether another share has them, first by blocks of ``BLOCK`` offsets: all strings of a block share
+the bytes in its middle, one hash a block. Only blocks whose middle another share has too are
+cut out again, and their different strings become rows, counted before they are shuffled. Equal texts are found first and stand
 for each other; they are removed whole, if they have ``length`` bytes.
 
 Strings are told apart by 64-bit polynomial hashes of their bytes and the hashes of their anchors.
@@ -43,6 +44,8 @@ from tabloom.sources.store import forget, release
 LENGTH, WIDTH = 200, 32
 #: Different surroundings of one class of anchors that are compared together, about 100 MB of hashes; larger classes are dealt into shares.
 CLASS = 16_384
+#: Offsets whose strings are compared by the bytes that they all share, before they are compared themselves.
+BLOCK = 13
 #: Bytes of text hashed together; longer texts go piece by piece.
 PIECE = 1 << 20
 #: Surroundings compared together (whole classes).
@@ -161,8 +164,8 @@ def _fragment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays(columns, ["core", "share", "shares", "num", "p", "ahead", "piece"])
 
 
-def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings at all offsets of fragments, and which offsets lie inside the text."""
+def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings at all offsets of fragments, which offsets lie inside the text, and hashes of what the strings of a block share."""
     reach = LENGTH - WIDTH
     data = np.zeros((rows.num_rows, reach + LENGTH), np.uint8)
     ahead = rows.column("ahead").to_numpy().astype(np.int64)
@@ -175,23 +178,30 @@ def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     column = np.arange(reach + 1)
     keys = np.empty((rows.num_rows, reach + 1), np.uint64)
     offset = mixed(column.astype(np.uint64) * _BASE + np.uint64(1))
+    ends = np.arange(0, reach + 1, BLOCK) + BLOCK - 1  # the last offset of every block, where the shared bytes begin
+    shared = rows.column("shares").to_numpy() > 1
+    middles = np.zeros((rows.num_rows, len(ends)), np.uint64)
     for at in range(0, rows.num_rows, 512):  # few rows at a time, as the steps between are wide
         part = slice(at, at + 512)
-        keys[part] = mixed(rolling(data[part], LENGTH) + mixed(core[part] ^ _BASE)[:, None] + offset[None, :])
+        seed = mixed(core[part] ^ _BASE)[:, None]
+        keys[part] = mixed(rolling(data[part], LENGTH) + seed + offset[None, :])
+        if shared[part].any():
+            middles[part] = mixed(rolling(data[part], LENGTH - BLOCK + 1)[:, ends] + seed + mixed(ends.astype(np.uint64) * _BASE + np.uint64(2))[None, :])
     first = (reach - ahead)[:, None]
-    return keys, (column >= first) & (column + LENGTH <= first + sizes[:, None])
+    return keys, (column >= first) & (column + LENGTH <= first + sizes[:, None]), middles
 
 
-_EDGES = "num long, s long, e long, string long, asks boolean"
+_EDGES = "num long, s long, e long, core long, share long, middle long, gives short, asks short"
 
 
 def _edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """num, s, e: what the repeated strings of whole shares of fragments cover.
 
-    Of classes of several shares also num, s, string, asks: the different strings, and
-    whether one found once here would reach farther than what was found.
+    Of classes of several shares also num, s, core, share, middle, gives, asks: a block of offsets from s on with
+    different strings, the hash of the bytes that they share, and by bits which offsets have strings that the share
+    answers for, and which would reach farther than what was found.
     """
-    keys, valid = _strings(rows)
+    keys, valid, middles = _strings(rows)
     flat, back, counts = np.unique(keys[valid], return_inverse=True, return_counts=True)
     found = np.zeros(keys.shape, bool)
     found[valid] = counts[back] > 1
@@ -202,23 +212,59 @@ def _edges(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     last = reach - found[:, ::-1].argmax(axis=1)
     num, start = rows.column("num").to_numpy(), rows.column("p").to_numpy().astype(np.int64) - reach
     if len(some):
-        yield _edge_batch(num[some], start[some] + first[some], start[some] + last[some] + LENGTH, None, None)
+        yield _edge_batch(num[some], start[some] + first[some], start[some] + last[some] + LENGTH, None, None, None, None, None)
     shared = rows.column("shares").to_numpy() > 1
     if not shared.any():
         return
-    i, o = np.nonzero(valid)
+    gives = np.zeros(keys.shape, bool)
     one = np.zeros(len(back), bool)
     one[np.unique(back, return_index=True)[1]] = True
-    asks = (counts[back] == 1) & (~hit[i] | (o < first[i]) | (o > last[i]))
-    out = np.flatnonzero(one & shared[i])
-    for at in range(0, len(out), 1 << 16):
-        k = out[at : at + (1 << 16)]
-        yield _edge_batch(num[i[k]], start[i[k]] + o[k], None, flat[back[k]].view(np.int64), asks[k])
+    gives[valid] = one
+    gives &= shared[:, None]
+    column = np.arange(reach + 1)
+    asks = gives & (~hit[:, None] | (column < first[:, None]) | (column > last[:, None]))
+    gives, asks = _bits(gives), _bits(asks)
+    i, b = np.nonzero(gives)
+    core, share = rows.column("core").to_numpy(), rows.column("share").to_numpy()
+    for at in range(0, len(i), 1 << 16):
+        k, m = i[at : at + (1 << 16)], b[at : at + (1 << 16)]
+        yield _edge_batch(num[k], start[k] + m * BLOCK, None, core[k], share[k], middles[k, m].view(np.int64), gives[k, m], asks[k, m])
+
+
+def _bits(marks: np.ndarray) -> np.ndarray:
+    """The marks of every BLOCK columns as the bits of a number."""
+    blocks = -(-marks.shape[1] // BLOCK)
+    wide = np.zeros((len(marks), blocks * BLOCK), bool)
+    wide[:, : marks.shape[1]] = marks
+    return (wide.reshape(len(marks), blocks, BLOCK) << np.arange(BLOCK)).sum(axis=2).astype(np.int16)
 
 
 def _edge_batch(*columns: np.ndarray | None) -> pa.RecordBatch:
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["num", "s", "e", "string", "asks"])
+    types = (*[pa.int64()] * 6, pa.int16(), pa.int16())
+    return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), t) if c is None else pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["num", "s", "e", "core", "share", "middle", "gives", "asks"])
+
+
+def _string_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """num, s, string, asks: the strings of the blocks that each text is asked for."""
+    wide = BLOCK + LENGTH - 1
+    for rows, texts in slices(batches, PIECE):
+        numbers, asked = rows.column(0).to_pylist(), rows.column(2)
+        ends = np.concatenate(([0], np.cumsum(asked.value_lengths().to_numpy(zero_copy_only=False))))
+        flat = asked.flatten()
+        s, core, middle, gives, asks = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(5))
+        owner = np.repeat(np.arange(len(texts)), np.diff(ends))
+        for at in range(0, len(s), FRAGMENTS):
+            part = slice(at, at + FRAGMENTS)
+            data = np.zeros((len(s[part]), wide), np.uint8)
+            for row, (i, x) in enumerate(zip(owner[part].tolist(), s[part].tolist(), strict=True)):
+                piece = np.frombuffer(texts[i][max(0, x) : x + wide], np.uint8)
+                data[row, max(0, -x) : max(0, -x) + len(piece)] = piece
+            i, o = np.nonzero((gives[part, None] >> np.arange(BLOCK)) & 1)
+            offset = mixed(np.arange(BLOCK).astype(np.uint64) * _BASE + np.uint64(1))
+            seed = mixed(core[part].view(np.uint64) ^ _BASE) + mixed(middle[part].view(np.uint64))
+            string = mixed(rolling(data, LENGTH) + seed[:, None] + offset[None, :])[i, o]
+            columns = [pa.array(np.array(numbers, np.int64)[owner[part]][i]), pa.array(s[part][i] + o), pa.array(string.view(np.int64)), pa.array((asks[part][i] >> o) & 1 == 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["num", "s", "string", "asks"])
 
 
 def _edge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,11 +309,16 @@ def covered(texts: DataFrame) -> DataFrame:
     fragments = texts.join(wanted, "num").select("num", "text", "asked").mapInArrow(_fragment_rows, "core long, share long, shares long, num long, p int, ahead short, piece binary")
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialise(fragments.repartition(parts, "core", "share").sortWithinPartitions("core", "share").mapInArrow(_edge_rows, _EDGES), "edges")
-    strings = edges.where("string IS NOT NULL")
+    blocks = edges.where("middle IS NOT NULL").drop("e")
+    meet = blocks.groupBy("middle").agg(F.count("*").alias("n"), F.min("share").alias("a"), F.max("share").alias("b"), F.max(F.col("asks") != 0).alias("any"))
+    meet = materialise(meet.where("any AND a < b").select("middle", "n"), "meet")
+    wanted = lookup(blocks, meet, "middle", "n", blocks.count()).groupBy("num").agg(F.collect_list(F.struct("s", "core", "middle", "gives", "asks")).alias("asked"))
+    strings = texts.join(wanted, "num").select("num", "text", "asked").mapInArrow(_string_rows, "num long, s long, string long, asks boolean")
+    strings = materialise(strings, "strings")
     twice = materialise(strings.groupBy("string").agg(F.count("*").alias("n")).where("n > 1"), "twice")
     asking = strings.where("asks").select("num", "s", "string")
     again = lookup(asking, twice, "string", "n", asking.count()).select("num", "s", (F.col("s") + LENGTH).alias("e"))
-    out = same.unionByName(edges.where("string IS NULL").select("num", "s", "e")).unionByName(materialise(again, "again"))
+    out = same.unionByName(edges.where("middle IS NULL").select("num", "s", "e")).unionByName(materialise(again, "again"))
     forget(texts.sparkSession)
     return out
 

@@ -7,6 +7,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tabloom.llm import queries, repeats
 
@@ -69,6 +70,23 @@ def test_wide_classes(spark, corpus, monkeypatch):
     check(spark, corpus, 7)
 
 
+def test_wide_classes_by_blocks(spark, monkeypatch):
+    """Surroundings that share an anchor only give a row a block of offsets, not a row a string; repeats across shares are found."""
+    rng = random.Random(5)
+    near = [bytes(rng.choices(b"abcdefgh", k=repeats.LENGTH - repeats.WIDTH)) + b"+" * repeats.WIDTH + bytes(rng.choices(b"abcdefgh", k=repeats.LENGTH - repeats.WIDTH)) for _ in range(50)]
+    ahead = repeats.LENGTH - repeats.WIDTH
+    rows = pa.table({"core": [1] * 50, "share": [0] * 50, "shares": [2] * 50, "num": list(range(50)), "p": pa.array([ahead] * 50, pa.int32()), "ahead": pa.array([ahead] * 50, pa.int16()), "piece": near})
+    made = sum(b.num_rows for b in repeats._edges(rows))
+    assert 0 < made <= 50 * -(-(ahead + 1) // repeats.BLOCK)
+    monkeypatch.setattr(repeats, "CLASS", 2)
+    passage = words(rng, 12)
+    texts = [words(rng, 45) + passage + words(rng, 45) for _ in range(40)]
+    for i in range(12):  # at every distance from the passage, of lengths about the limit
+        t, at = texts[i], rng.randrange(40, 160)
+        texts.append(words(rng, 20) + t[at : at + 196 + i] + words(rng, 20))
+    check(spark, texts, 5)
+
+
 def test_long_texts_in_pieces(spark, corpus, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     rng = random.Random(4)
