@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 CODES = ("sayisal_nokta", "sayisal_virgul", "tarih_ymd", "tarih_dmy", "tarih_ymd8", "tarih_ym6", "donem_ym6", "donem_ymd8", "kategorik_metin", "kategorik_ay", "kategorik_yil", "sayisal_ymd8")
 MAX_LEVELS = 50
+#: What every text that a date form takes looks like.
+_LOOKS = {"yyyy-M-d": "[0-9]-[-+]?[0-9]+-[-+]?[0-9]+$", "d.M.yyyy": "^[-+]?[0-9]+[.][-+]?[0-9]+[.][-+]?[0-9]+$", "yyyyMMdd": "[0-9]{4}$"}
 
 
 class ConversionError(ValueError):
@@ -26,7 +28,8 @@ def convert(c: Column, code: str, kind: T.DataType, whole: bool = False) -> Colu
     text = rendered(c, kind, whole)
     filled = F.when(text != "", text)
     stamp = isinstance(kind, T.DateType | T.TimestampType | T.TimestampNTZType)
-    date = lambda form, t=filled: F.try_to_timestamp(t, F.lit(form))
+    # a text that can't have the form is not parsed, as a failure costs far more than a look
+    date = lambda form, t=filled: F.when(t.rlike(_LOOKS[form]), F.try_to_timestamp(t, F.lit(form)))
     match code:
         case "sayisal_nokta" | "sayisal_virgul":
             group, point = (",", "\\.") if code == "sayisal_nokta" else ("\\.", ",")
@@ -122,24 +125,29 @@ def suggest(profile: dict) -> str | None:
     return None
 
 
+def text_facts(df: DataFrame, columns: list[str], coded: list[str]) -> DataFrame:
+    """Per column (its place ``i``) what its filled texts are, in one aggregation; distinct is counted of coded columns only.
+
+    Cells go through one set of expressions, so what a column is made by is evaluated once a row.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), rendered(F.col(f"`{n}`"), df.schema[n].dataType, True).alias("t")) for i, n in enumerate(columns)])
+    each = df.select(F.explode(cells).alias("x")).select("x.i", "x.t").where("t IS NOT NULL AND t <> ''")
+    bad = lambda code: F.count_if(convert(F.col("t"), code, T.StringType()).isNull())
+    own = [i for i, n in enumerate(columns) if n in coded]
+    return each.groupBy("i").agg(
+        F.count("t").alias("filled"), bad("donem_ym6").alias("bad_ym6"), bad("donem_ymd8").alias("bad_ymd8"), bad("sayisal_nokta").alias("bad_number"), bad("tarih_ymd").alias("bad_date"),
+        F.count_if(F.col("t").rlike("^0[0-9]")).alias("leading_zero"), (F.count_distinct(F.when(F.col("i").isin(own), F.col("t"))) if own else F.lit(0)).alias("distinct"),
+    )
+
+
 def facts(df: DataFrame, columns: list[str]) -> list[tuple[str, dict]]:
-    """For each column what ``suggest`` asks about, from one aggregation over the table."""
-    aggs, kinds = [], {}
-    for i, n in enumerate(columns):
-        kind = df.schema[n].dataType
-        c = F.col(f"`{n}`")
-        text = rendered(c, kind, True)
-        filled = F.when(text != "", text)
-        bad = lambda code, c=c, kind=kind, filled=filled: F.count_if(filled.isNotNull() & convert(c, code, kind, True).isNull())
-        kinds[n] = "metin" if isinstance(kind, T.StringType) else "tam" if isinstance(kind, T.IntegralType) else "ondalik" if isinstance(kind, T.NumericType) else "tarih"
-        aggs += [
-            F.count(filled).alias(f"filled{i}"), bad("donem_ym6").alias(f"bad_ym6{i}"), bad("donem_ymd8").alias(f"bad_ymd8{i}"), bad("sayisal_nokta").alias(f"bad_number{i}"),
-            bad("tarih_ymd").alias(f"bad_date{i}"), F.count_if(filled.rlike("^0[0-9]")).alias(f"leading_zero{i}"), F.count_distinct(filled).alias(f"distinct{i}"),
-        ]
-    row = df.agg(*aggs).first()
+    """For each column what ``suggest`` asks about, from one aggregation over the table; distinct values are counted of whole numbers named as codes (else 0)."""
+    kind = lambda k: "metin" if isinstance(k, T.StringType) else "tam" if isinstance(k, T.IntegralType) else "ondalik" if isinstance(k, T.NumericType) else "tarih"
+    kinds = {n: kind(df.schema[n].dataType) for n in columns}
+    named = {n: n.upper().endswith(("KOD", "CODE", "CD")) for n in columns}
+    got = {r.i: r for r in text_facts(df, columns, [n for n in columns if named[n] and kinds[n] == "tam"]).collect()}
     keys = ("filled", "bad_ym6", "bad_ymd8", "bad_number", "bad_date", "leading_zero", "distinct")
-    named = lambda n: n.upper().endswith(("KOD", "CODE", "CD"))
-    return [(n, {"kind": kinds[n], "named_code": named(n), **{k: row[f"{k}{i}"] for k in keys}}) for i, n in enumerate(columns)]
+    return [(n, {"kind": kinds[n], "named_code": named[n], **{k: got[i][k] if i in got else 0 for k in keys}}) for i, n in enumerate(columns)]
 
 
 def suggestions(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -57,3 +57,17 @@ def test_families_and_gate():
     assert {(a, b) for _, a, b in features.pairs(names)} == {("TXN_IN_AMT_L30D", "TXN_OUT_AMT_L30D"), ("TXN_OUT_AMT_L30D", "TXN_OUT_CNT_L30D")}
     assert dictionary.similar_tokens(names) == [["CUSTMER", "CUSTOMER"]] and features.estimate(3, ["oran", "fark"]) == 4
     assert select.gate({"gini_test": 0.45, "ks_test": 0.35, "gini_drop": 0.05, "psi": 0.2, "gini_oot": 0.4, "ks_oot": 0.3})[0] == "kosullu"
+
+
+def test_facts_evaluate_a_column_once(spark):
+    """However many facts are asked, an input expression stands once in the plan; texts that can't be dates aren't parsed, those that can are."""
+    df = spark.sql("SELECT date_format(make_date(2024, 1, id + 1), 'yyyy-MM-dd') AS d, concat('0', id) AS z, CAST(id AS DOUBLE) AS x, id AS A_KOD, CAST(NULL AS STRING) AS none FROM range(9)")
+    plan = convert.text_facts(df, df.columns, ["A_KOD"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("date_format(") == 1
+    got = dict(convert.facts(df, df.columns))
+    assert [got[c]["filled"] for c in df.columns] == [9, 9, 9, 9, 0]
+    assert (got["d"]["bad_date"], got["z"]["bad_date"], got["z"]["leading_zero"], got["x"]["bad_number"], got["A_KOD"]["distinct"]) == (0, 9, 9, 0, 9)
+    assert {r.column: r.code for r in convert.suggestions(df, df.columns).collect()} == {"d": "tarih_ymd", "A_KOD": "kategorik_metin"}
+    one = spark.createDataFrame([("2024-001-01", "1.001.2024")], "a string, b string")
+    made = one.select(convert.convert(F.col("a"), "tarih_ymd", T.StringType()).isNotNull(), convert.convert(F.col("b"), "tarih_dmy", T.StringType()).isNotNull()).first()
+    assert tuple(made) == (True, True)
