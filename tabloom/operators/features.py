@@ -258,21 +258,26 @@ def encode(df: DataFrame, train: Column, column: str, target: str | None, keys:
     cats = counts.groupBy("__c").agg(F.sum("n").alias("__n"), F.sum("b").alias("__b"), F.map_from_entries(F.collect_list(F.struct("__f", F.struct("n", "b")))).alias("__by"))
     total = {r["__f"]: (r.n, r.b) for r in counts.groupBy("__f").agg(F.sum("n").alias("n"), F.sum("b").alias("b")).collect()}
     n_all, b_all = sum(v[0] for v in total.values()), sum(v[1] for v in total.values())
-    own = lambda i: choose({f: float(v[i]) for f, v in total.items()}, F.col("__f"), F.lit(0.0))
-    part = lambda what: F.when(F.col("__t"), F.coalesce(F.try_element_at(F.col("__by"), F.col("__f"))[what], F.lit(0.0))).otherwise(F.lit(0.0))
-    all_n, all_b = (F.lit(v) - F.when(F.col("__t"), own(i)).otherwise(F.lit(0.0)) for i, v in enumerate((n_all, b_all)))
-    n, b = F.col("__n") - part("n"), F.col("__b") - part("b")
-    seen = F.coalesce(n, F.lit(0.0)) > 0
-    out: dict[str, Column] = {}
-    if target and "woe" in kinds:
+    # what a row gets depends on its category and, on train rows, its fold: it is worked out once for each of these
+    folds = [-1, *sorted(total)]
+    kinds = [k for k in ("woe", "te", "frk") if k in kinds and (target or k == "frk")]
+
+    def values(f: Column) -> Column:
+        part = lambda what: F.coalesce(F.try_element_at(F.col("__by"), f)[what], F.lit(0.0))
+        all_n, all_b = (F.lit(v) - choose({k: float(t[i]) for k, t in total.items()}, f, F.lit(0.0)) for i, v in enumerate((n_all, b_all)))
+        n, b = F.col("__n") - part("n"), F.col("__b") - part("b")
+        seen, prior = F.coalesce(n, F.lit(0.0)) > 0, div(all_b, all_n)
         woe = F.log(div(n - b + 0.5, all_n - all_b + 0.5)) - F.log(div(b + 0.5, all_b + 0.5))
-        out[f"{column}__WOE"] = F.when(seen, woe).otherwise(F.lit(0.0))
-    if target and "te" in kinds:
-        prior = div(all_b, all_n)
-        out[f"{column}__TE"] = F.when(seen, (b + weight * prior) / (n + weight)).otherwise(prior)
-    if "frk" in kinds:
-        out[f"{column}__FRK"] = F.coalesce(F.col("__n") / F.lit(n_all if n_all else 1.0), F.lit(0.0))
-    joined = attach(work, materialise(cats.withColumn("__w", F.col("__n").cast("long")), "encoding"), "__c", "__w", int(n_all))
+        made = {"woe": F.when(seen, woe).otherwise(F.lit(0.0)), "te": F.when(seen, (b + weight * prior) / (n + weight)).otherwise(prior), "frk": F.coalesce(F.col("__n") / F.lit(n_all if n_all else 1.0), F.lit(0.0))}
+        return F.struct(f.alias("f"), F.struct(*[made[k].alias(k) for k in kinds]).alias("v"))
+
+    learnt = cats.select("__c", F.map_from_entries(F.transform(F.array(*map(F.lit, folds)), values)).alias("__v"), F.col("__n").cast("long").alias("__w"))
+    rest = {-1: (0.0, 0.0), **total}
+    priors = {f: (b_all - b) / (n_all - n) for f, (n, b) in rest.items() if n_all - n}
+    unseen = {"woe": F.lit(0.0), "te": choose(priors, F.col("__f"), F.lit(None).cast("double")), "frk": F.lit(0.0)}
+    work = work.withColumn("__f", F.when(F.col("__t") & F.col("__f").isin(folds), F.col("__f")).otherwise(F.lit(-1)))
+    joined = attach(work, materialise(learnt, "encoding"), "__c", "__w", int(n_all)).withColumn("__v", F.try_element_at("__v", F.col("__f")))
+    out = {f"{column}__{k.upper()}": F.when(F.col("__v").isNull(), unseen[k]).otherwise(F.col("__v")[k]) for k in kinds}
     return joined.select(*[F.col(f"`{x}`") for x in df.columns], *[v.alias(k) for k, v in out.items()])
 
 

@@ -151,3 +151,18 @@ def test_empty_and_null_bases(spark, base, fitted_rows):
     twice = df.unionAll(df)
     _, table = recipe.fit(twice, [Step("split", ROWS)], ROLES)
     assert table.groupBy("id").agg(F.count_distinct(split.SPLIT).alias("n")).where("n <> 1").isEmpty()
+
+
+def test_encodings_are_worked_out_by_category_and_fold(spark):
+    """Rows look values up; no logarithm is left to work out for every row. The values follow the definition."""
+    base = spark.range(600).select("id", (F.col("id") % 7 < 2).cast("int").alias("y"), F.when(F.col("id") % 11 != 0, F.concat(F.lit("k"), F.col("id") % 9)).alias("cat"))
+    out = features.encode(base, F.col("id") < 500, "cat", "y", ["id"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "ln(" not in plan and "log(" not in plan
+    rows = base.select("id", F.coalesce("cat", F.lit("__BOS__")).alias("c"), "y", features.fold_of(["id"]).alias("f")).collect()
+    got = {r.id: r for r in out.collect()}
+    for r in rows[::37]:
+        own = [x for x in rows if x.id < 500 and (r.id >= 500 or x.f != r.f)]
+        mine = [x for x in own if x.c == r.c]
+        prior = sum(x.y for x in own) / len(own)
+        assert got[r.id].cat__TE == pytest.approx((sum(x.y for x in mine) + 20 * prior) / (len(mine) + 20))
