@@ -11,9 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabloom.sources.store import materialise, release
+
 #: Spellings that mean an empty period, fixed values.
 EMPTY = ("", "nan", "none", "null", "na", "n/a", "nat", "-", "?")
 MAX_SCALE_MONTHS = 120
+#: Distinct texts of a period that are broadcast with their months.
+FEW = 100_000
 
 _YEAR_MONTH = "^([0-9]{4})\\s*[-/._mM]?\\s*([0-9]{1,2})$"
 _MONTH_YEAR = "^([0-9]{1,2})\\s*[-/._]\\s*([0-9]{4})$"
@@ -58,12 +62,38 @@ def month_index(df: DataFrame, name: str, format: str) -> Column:
     return _formats(clean(F.col(f"`{name}`"), df.schema[name].dataType))[format].cast("int")
 
 
+def texts_of(df: DataFrame, name: str) -> DataFrame:
+    """The distinct texts of a column, few for a period, written once."""
+    return materialise(df.select(clean(F.col(f"`{name}`"), df.schema[name].dataType).alias("text")).distinct(), "periods")
+
+
+def span(texts: DataFrame) -> tuple[str | None, tuple[int | None, int | None], int]:
+    """Of ``texts_of``: the first format in which every filled value decodes, or None, the first and last month by it, and how many values there are.
+
+    One aggregation; no rows come back.
+    """
+    formats = _formats(F.col("text"))
+    row = texts.select("text", *[c.alias(k) for k, c in formats.items()]).agg(F.count("text").alias("filled"), *[F.struct(F.count(f"`{k}`").alias("n"), F.min(f"`{k}`").alias("a"), F.max(f"`{k}`").alias("b")).alias(k) for k in formats]).first()
+    found = next((k for k in formats if row.filled and row[k].n == row.filled), None)
+    return found, (row[found].a, row[found].b) if found else (None, None), row.filled
+
+
+def with_index(df: DataFrame, name: str, format: str, out: str, texts: DataFrame, distinct: int) -> DataFrame:
+    """df with the month index as ``out``: each distinct text is decoded once and rows look it up; above FEW texts, row by row."""
+    text = out + "_text"
+    rows = df.withColumn(text, clean(F.col(f"`{name}`"), df.schema[name].dataType))
+    if distinct > FEW:
+        return rows.withColumn(out, _formats(F.col(text))[format].cast("int")).drop(text)
+    known = texts.where("text IS NOT NULL").select(F.col("text").alias(text), _formats(F.col("text"))[format].cast("int").alias(out))
+    return rows.join(F.broadcast(known), text, "left").drop(text)
+
+
 def decide(df: DataFrame, name: str) -> str | None:
-    """The first format in which every filled value decodes, or None. One aggregation, no rows come back."""
-    text = clean(F.col(f"`{name}`"), df.schema[name].dataType)
-    formats = _formats(text)
-    row = df.agg(F.count(text).alias("filled"), *[F.count(c).alias(k) for k, c in formats.items()]).first()
-    return next((k for k in formats if row.filled and row[k] == row.filled), None)
+    """The first format in which every filled value decodes, or None."""
+    texts = texts_of(df, name)
+    found = span(texts)[0]
+    release(texts)
+    return found
 
 
 def month_text(month: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tabloom.functions import periods
 from tabloom.functions.exprs import num
+from tabloom.sources.store import materialise
 
 FUNCTIONS = ("sum", "mean", "max", "min", "std", "count", "nunique", "last")
 #: Window codes and their months; None is all history.
@@ -268,9 +269,20 @@ def total_aggregate(main: DataFrame, trx: DataFrame, keys: list[str], aggregates
     return joined.select(*[main[c] for c in main.columns], *[found[n] for n, _ in aggregates])
 
 
-def month_range(df: DataFrame, month: Column) -> tuple[int | None, int | None]:
-    row = df.agg(F.min(month).alias("a"), F.max(month).alias("b")).first()
-    return row.a, row.b
+def _dated(df: DataFrame, period: str | None, out: str, taken: Sequence[str]) -> tuple[DataFrame | None, tuple[int | None, int | None]]:
+    """The columns ``taken`` of df with their month index, and its first and last; None if there is no period.
+
+    It is written once: filters and joins on the index would else decode a row's text many times over. A table with a
+    column of no type can't be written and stays a plan.
+    """
+    if not period:
+        return None, (None, None)
+    texts = periods.texts_of(df, period)
+    form, months, distinct = periods.span(texts)
+    if not form:
+        return None, months
+    dated = periods.with_index(df.select(*[f"`{c}`" for c in dict.fromkeys(taken)]), period, form, out, texts, distinct)
+    return dated if "void" in dict(dated.dtypes).values() else materialise(dated, "dated"), months
 
 
 def execute(plan: Plan, read: Callable[[str], DataFrame]) -> tuple[DataFrame, list[tuple], list[tuple[str, str]]]:
@@ -282,16 +294,18 @@ def execute(plan: Plan, read: Callable[[str], DataFrame]) -> tuple[DataFrame, li
     lineage = [(c, plan.main, None, None, None, True, None) for c in main.columns]
     outcome: list[tuple[str, str]] = []
     used, out = set(main.columns), main
-    form = periods.decide(main, plan.period) if plan.period else None
+    dated, seen = _dated(main, plan.period, "__obs", main.columns)
+    form = dated is not None
     if form:
-        out = out.withColumn("__obs", periods.month_index(main, plan.period, form))
+        out = dated
     for s in plan.sources:
         try:
             df = read(s.table)
-            own = periods.decide(df, s.period) if s.period else None
+            dated, months = _dated(df, s.period, "__per", [*s.keys, s.period, *s.columns, *(a.column for a in s.aggregates if a.column)])
+            own = dated is not None
             if own:
-                df = df.withColumn("__per", periods.month_index(df, s.period, own))
-                if form and not periods.same_scale(month_range(out, F.col("__obs")), month_range(df, F.col("__per"))):
+                df = dated
+                if form and not periods.same_scale(seen, months):
                     raise PlanError("the periods are on different scales")
             clash = set(s.columns) & used
             if clash:

@@ -302,3 +302,14 @@ def test_streaming_profile(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
     profile_stream(stream, ["x"], lambda p, n: seen.extend(p.collect()), str(tmp_path / "cp")).awaitTermination(120)
     assert seen[0].distinct == 3 and seen[0].filled == 10
+
+
+def test_plans_decode_a_period_once(spark, tmp_path):
+    """Filters on the month index run on what was written; before, they held the decoding of the text many times over."""
+    obs = spark.createDataFrame([(1, "202403"), (1, "202401"), (2, None)], "k int, ym string")
+    trx = spark.createDataFrame([(1, "20240115", 2.0), (1, "2024-02-03".replace("-", ""), 3.0), (2, None, 5.0)], "k int, ym string, amt double")
+    plan = merge.Plan("obs", [merge.Source("trx", "islem", ["k"], "ym", aggregates=[merge.Aggregate("sum", "tum", "amt")])], "ym")
+    out, _, outcome = merge.execute(plan, {"obs": obs, "trx": trx}.__getitem__)
+    assert outcome == [("trx", "ok")] and "__obs" not in out.columns
+    assert sorted((r[0], str(r[1]), r[2]) for r in out.collect()) == [(1, "202401", None), (1, "202403", 5.0), (2, "None", None)]
+    assert "rlike" not in out._jdf.queryExecution().optimizedPlan().toString().lower()
