@@ -27,6 +27,8 @@ from tabloom.sources.store import materialise, release
 LEVELS, SET_ROWS, MISSING_GAP = 200, 30, 0.30
 #: Values after an aim that a job brings along, in rows.
 AFTER = 8
+#: A variable of so many distinct values or fewer brings them all in its first job.
+EVERY = 256
 #: Categories by rate are merged one by one up to so many; more are first put into so many fine bins by running count.
 SLOTS = 1_000
 #: Name roots of sensitive variables, fixed values.
@@ -78,15 +80,15 @@ def equal_cuts(run: DataFrame, bins: int = FINE) -> dict[str, list[float]]:
     A job asks for all aims that each open variable would have if every cut met its aim, and
     for the values within AFTER rows behind. The true aims follow from the first cut; as long as
     the crossing value of the next one is among the rows at hand, it is taken, else another
-    job asks. So a job brings one cut a variable at least, and mostly all. What reaches the driver are
-    at most AFTER + 1 values an aim.
+    job asks. So a job brings one cut a variable at least, and mostly all; of up to EVERY values, which are far
+    apart in rows, the first job brings all. What reaches the driver are these, or at most AFTER + 1 values an aim.
     """
     totals = run.groupBy("k").agg(F.max("upto").alias("total"), F.count(F.lit(1)).alias("d"), F.max("v").alias("last")).collect()
     cuts: dict[str, list[float]] = {r.k: [] for r in totals}
     state = {r.k: (0, bins) for r in totals}
     open_ = {r.k: r for r in totals if r.d > 1}
     while open_:
-        asked = [(k, r.d <= bins, [done + j * (r.total - done) / left - 0.25 for j in range(1, left)]) for k, r in open_.items() for done, left in [state[k]]]
+        asked = [(k, r.d <= max(bins, EVERY), [done + j * (r.total - done) / left - 0.25 for j in range(1, left)]) for k, r in open_.items() for done, left in [state[k]]]
         aims = run.sparkSession.createDataFrame(asked, "k string, every boolean, aims array<double>")
         near = F.exists("aims", lambda a: (F.col("upto") >= a) & (F.col("n_before") < a + AFTER))
         got: dict[str, list] = {}

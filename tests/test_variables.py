@@ -154,3 +154,15 @@ def test_attach_keeps_every_row(spark, monkeypatch):
 @pytest.mark.parametrize(("name", "text", "kind"), [("MUSTERI_YAS", "", "yaş"), ("PAGE", "", None), ("AGE", "", "yaş"), ("DINAMIK", "", None), ("DIN", "", "din"), ("X", "kişinin medeni hali", "medeni hâl")])
 def test_sensitive(name, text, kind):
     assert variables.sensitive(name, text) == kind
+
+
+def test_few_values_come_in_one_job(spark, monkeypatch):
+    """50 values of very different counts took a job for nearly every cut before; the cuts are those of the plain rule."""
+    counts = [(float(i), 1 + (i * 7919) % 991) for i in range(50)]
+    values = spark.createDataFrame([("a", v, variables.TRAIN, n) for v, n in counts], "k string, v double, s string, n long")
+    run = variables.running(values).cache()
+    asked = []
+    real = type(run).join
+    monkeypatch.setattr(type(run), "join", lambda self, *rest, **named: (asked.append(1), real(self, *rest, **named))[1])
+    assert variables.equal_cuts(run) == {"a": binning.equal_cuts(counts, variables.FINE)}
+    assert len(asked) == 1
