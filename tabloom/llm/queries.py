@@ -25,7 +25,7 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2)
+    scored = lm.score(table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 7) != 2, every=True)
     return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

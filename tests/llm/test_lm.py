@@ -231,3 +231,123 @@ def test_string_ids(spark):
     df = spark.createDataFrame([("a", "x y x y"), (None, "x"), ("c", None)], "k string, t string")
     got = {r.k: r.n_tokens for r in lm.score(df, F.col("k") == "a", "k", "t").collect()}
     assert got == {"a": 5, None: 2, "c": 1}
+
+
+@pytest.mark.parametrize("discount", [102, 512, 830, 972])
+def test_stirling_ratios(discount, monkeypatch):
+    """From the table and from integrals: against the recurrence, and in closed form for very many customers."""
+    monkeypatch.setattr(lm, "STIRLING", 100)
+    lm._stirling_table.cache_clear()
+    d, row = discount / lm.UNIT, np.array([1.0])  # S(n, t) / S(n, 1) for t = 1, 2, ..., as far as 120
+    for n in range(1, 1500):
+        t = np.arange(1, min(n + 1, 120) + 1)
+        row = np.append(row, 0.0)[: len(t)]
+        row = (np.concatenate(([0.0], row[:-1])) + (n - t * d) * row) / (n - d)
+        if n + 1 in (2, 5, 60, 100, 101, 400, 1500):
+            for k in (1, 2, 3, 10, 50, 99):
+                if k <= n and (n < 100 or 2 * k <= n):
+                    assert lm.stirling_ratio(np.array([n + 1]), k, discount)[0] == pytest.approx(row[k] / row[k - 1], rel=1e-9), (n + 1, k)
+    lm._stirling_table.cache_clear()
+    c = 50_000_000  # the coefficients of (1 - x) ** d and (1 - x) ** 2d
+    ratio = math.exp(math.lgamma(c - 2 * d) - math.lgamma(c - d) + math.lgamma(1 - d)) * (math.sin(2 * math.pi * d) / math.sin(math.pi * d) * math.gamma(1 + 2 * d) / math.gamma(1 + d) / math.gamma(1 - d))
+    if discount != 512:
+        assert lm.stirling_ratio(np.array([c]), 1, discount)[0] == pytest.approx((2 - ratio) / (2 * d), rel=1e-6)
+
+
+@pytest.mark.parametrize(("c", "base", "others"), [(2, 0.4, 3), (30, 0.05, 20), (600, 0.3, 30), (1500, 0.5, 60)])
+def test_every_customer_is_seated_anew(c, base, others):
+    """One round from one table on samples the posterior, with far more customers than VISITS, too; visits don't get there."""
+    n, discount = 20_000, 700
+    d, key = discount / lm.UNIT, lm._mix(np.arange(1, n + 1, dtype=np.uint64))
+
+    def weight(at, now):
+        return (lm.THETA + d * (others + now)) * base
+
+    customers = np.full(n, c)
+    seats = lm.seated(customers, np.ones(n, np.int64), key, weight, discount, 1)
+    assert (seats.customers() == c).all() and seats.sizes.min() > 0
+    row = np.array([0.0])  # logarithms of S(c, t) w(1) ... w(t - 1)
+    for k in range(1, c):
+        t = np.arange(1, k + 2)
+        row = np.logaddexp(np.concatenate(([-np.inf], row)), np.append(row, -np.inf) + np.log(np.maximum(k - t * d, 1e-300)))
+    share = row + np.cumsum([0.0, *(math.log((lm.THETA + d * (others + k)) * base) for k in range(1, c))])
+    share = np.exp(share - share.max())
+    share /= share.sum()
+    got = np.bincount(seats.tables, minlength=c + 1)[1:] / n
+    assert np.abs(np.cumsum(got) - np.cumsum(share)).max() < 0.015
+    if c > 100:
+        few = lm.Seats.one(customers[:500])
+        for number in range(1, 4):
+            few = few.visited(key[:500], weight, discount, number)
+        assert few.tables.mean() < 0.8 * (share * np.arange(1, c + 1)).sum()
+
+
+def every_model(brute, rounds=3, burn=1):
+    """Brute's model with all customers seated anew by log probabilities from the recurrence, a word in a restaurant at a time."""
+    tables, parent, before = {p: 1 for p in brute.count}, Counter(w for _, w in brute.count), Counter()
+    before.update(dict.fromkeys(parent, 1))
+    customers, samples, rows = Counter(parent), [], {}
+
+    def seat(c, key, weight, discount, number):
+        d = discount / lm.UNIT
+        if (c, discount) not in rows:
+            row = [1.0]
+            for k in range(1, c):
+                row = [(row[t - 1] if t else 0.0) + (k - (t + 1) * d) * (row[t] if t < k else 0.0) for t in range(k + 1)]
+                row = [x / (k - d) for x in row]
+            rows[c, discount] = row
+        chosen, now, total = 1, 1.0, 1.0
+        for t in range(1, c):
+            now *= weight(t) * rows[c, discount][t] / rows[c, discount][t - 1] if rows[c, discount][t - 1] else 0.0
+            total += now
+            if brute.draw(key, number, t, 0) * total < now:
+                chosen = t + 1
+        return chosen
+
+    for number in range(1, rounds + 1):
+        as_context, all_customers, all_tables = Counter(), sum(customers.values()), sum(before.values())
+        for (u, _), t in tables.items():
+            as_context[u] += t
+        fresh = {}
+        for (u, w), own in tables.items():
+            def weight(now, u=u, w=w, own=own):
+                return (1 + brute.d1 / lm.UNIT * (as_context[u] + now - own)) * brute.unigram(customers[w] + now - own, before[w], all_customers + now - own, all_tables)
+
+            fresh[u, w] = seat(brute.count[u, w], lm.pair_key(np.array([u], np.uint64), np.array([w], np.uint64)), weight, brute.d1, number)
+        tables, customers = fresh, Counter()
+        for (_, w), t in tables.items():
+            customers[w] += t
+        fresh = {}
+        for w, own in before.items():
+            def weight(now, own=own):
+                return (1 + brute.d0 / lm.UNIT * (all_tables + now - own)) / (brute.v + 1)
+
+            fresh[w] = seat(customers[w], lm._mix(np.array([w], np.uint64)), weight, brute.d0, 2 * number)
+        before = Counter(fresh)
+        if number > burn:
+            as_context = Counter()
+            for (u, _), t in tables.items():
+                as_context[u] += t
+            samples.append((tables, as_context, customers, before, sum(customers.values()), sum(before.values())))
+    return samples
+
+
+def test_every_against_brute_force(docs, corpus, brute, monkeypatch):
+    monkeypatch.setattr(brute, "samples", every_model(brute))
+    got = scores(docs, every=True)
+    want = sorted((str(r[0]), len(brute.tokens(r[1])), sum(brute.words[w] > 0 for w in brute.tokens(r[1])), brute.score(r[1])) for r in corpus)
+    assert max(brute.count.values()) > lm.VISITS
+    for a, b in zip(got, want, strict=True):
+        assert a[:3] == b[:3] and a[4] == pytest.approx(b[3], rel=1e-6, abs=1e-5)
+
+
+def test_the_query_bounds_no_visits(spark, small, monkeypatch):
+    """The query's scores don't depend on VISITS."""
+    from tabloom.llm import queries
+
+    def told():
+        return {r.doc_id: r.score for r in queries.op3_pitman_yor(spark, small).collect()}
+
+    want = told()
+    monkeypatch.setattr(lm, "VISITS", 1)
+    assert told() == want
