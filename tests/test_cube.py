@@ -66,3 +66,14 @@ def test_drift(rows):
 
 def test_empty(rows):
     assert advice(rows.withColumn("x", F.col("id") * 1.5).limit(0), ["x"]) == {}
+
+
+def test_cube_groups_numbers_as_numbers(spark):
+    """The rows of a cube are those of values as text, but no number becomes text before rows are grouped."""
+    df = spark.createDataFrame([("a", 1.5, 2, "x", 1), ("a", 1.5, None, None, 0), ("b", float("nan"), 2, "", 1), ("b", 0.0, 7, "1.5", None), (None, -0.0, 7, "x", 1)], "p string, f double, i int, t string, y int")
+    got = cube.count_cube(df, ["f", "i", "t"], "p", "y")
+    want = {("f", "a", "1.5", 2, 2, 1), ("f", "b", None, 1, 1, 1), ("f", "b", "0.0", 1, 0, 0), ("f", None, "0.0", 1, 1, 1), ("i", "a", "2.0", 1, 1, 1), ("i", "a", None, 1, 1, 0), ("i", "b", "2.0", 1, 1, 1), ("i", "b", "7.0", 1, 0, 0), ("i", None, "7.0", 1, 1, 1), ("t", "a", "x", 1, 1, 1), ("t", "a", None, 1, 1, 0), ("t", "b", "", 1, 1, 1), ("t", "b", "1.5", 1, 0, 0), ("t", None, "x", 1, 1, 1)}
+    rows = got.collect()
+    assert {tuple(r[c] for c in ("k", "p", "v", "n", "nt", "bt")) for r in rows} == want and len(rows) == len(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string)" not in plan[plan.rindex("Generate") :]
