@@ -11,9 +11,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabloom.functions import periods
 from tabloom.functions.joins import attach
+from tabloom.sources.store import materialise
 
 SPLIT = "_SPLIT"
 TRAIN, VAL, TEST, OOT, OUTSIDE = "train", "val", "test", "oot", "disarida"
@@ -170,15 +172,34 @@ def stratified(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ratios
 def learn_ranges(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ratios: list[tuple[str, float]], seed: int = 42) -> DataFrame:
     """(__k, __w, ranges): for every stratum its rows and, for each set, the least digest that belongs to it.
 
-    What ``stratified`` decided, in a form that later rows can be dealt by.
+    What ``stratified`` decides, in a form that later rows can be dealt by. Rows are counted by stratum and range of
+    the digest; only those in the ranges where a set begins, a few of 65,536, are ranked.
     """
-    labelled = stratified(df, keys, strata, ratios, seed).withColumn("__k", stratum(strata))
-    lows = labelled.groupBy("__k", SPLIT).agg(F.min(order_key(seed, keys)).alias("low"), F.count(F.lit(1)).alias("n"))
-    return lows.groupBy("__k").agg(F.sum("n").alias("__w"), F.array_sort(F.collect_list(F.struct("low", F.col(SPLIT).alias("label")))).alias("ranges"))
-
-
-def stratum(strata: Sequence[str]) -> Column:
-    """A stratum as one text; nulls are a value."""
+    digest = order_key(seed, keys)
+    rows = df.select(stratum(strata, df).alias("__k"), digest.alias("__key"), F.substring(digest, 1, 4).alias("__range"))
+    counts = materialise(rows.groupBy("__k", "__range").agg(F.count(F.lit(1)).alias("__c")), "ranges")
+    whole = Window.partitionBy("__k")
+    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__k", "__range", "__c", F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__off"), F.sum("__c").over(whole).alias("__n"))
+    start, firsts = F.lit(0).cast("bigint"), []
+    for name, size in [*_sizes(F.col("__n"), ratios), (TRAIN, None)]:
+        end = F.col("__n") if size is None else start + size
+        firsts.append(F.when(start < end, F.struct(start.alias("at"), F.lit(name).alias("label"))))
+        start = end
+    inside = F.filter(F.array_compact(F.array(*firsts)), lambda f: (f["at"] >= F.col("__off")) & (f["at"] < F.col("__off") + F.col("__c")))
+    wanted = materialise(offsets.select("__k", "__range", "__off", "__n", inside.alias("__firsts")).where(F.size("__firsts") > 0), "firsts")
+    near = rows.join(wanted, ["__k", "__range"])
+    ranked = near.withColumn("__rank", F.row_number().over(Window.partitionBy("__k", "__range").orderBy("__key")) - 1 + F.col("__off"))
+    lows = ranked.select("__k", "__n", "__key", "__rank", F.explode("__firsts").alias("f")).where(F.col("f.at") == F.col("__rank"))
+    return lows.groupBy("__k").agg(F.max("__n").alias("__w"), F.array_sort(F.collect_list(F.struct(F.col("__key").alias("low"), F.col("f.label").alias("label")))).alias("ranges"))
+
+
+def stratum(strata: Sequence[str], df: DataFrame | None = None) -> Column:
+    """A stratum as one text; nulls are a value. Of a known table, texts that need no escapes are joined, which gives the same and is cheaper."""
+    plain = T.IntegralType | T.BooleanType | T.DateType
+    if df is not None and strata and all(isinstance(df.schema[s].dataType, plain) for s in strata):
+        cells = [F.coalesce(F.concat(F.lit('"'), F.col(f"`{s}`").cast("string"), F.lit('"')), F.lit("null")) for s in strata]
+        return F.concat(F.lit("["), F.concat_ws(",", *cells), F.lit("]"))
     return F.to_json(F.array(*[F.col(f"`{s}`").cast("string") for s in strata])) if strata else F.lit("[]")
 
 
@@ -187,7 +208,7 @@ def by_ranges(df: DataFrame, keys: Sequence[str], strata: Sequence[str], ranges:
 
     Rows of one key never part; a stratum that wasn't there trains.
     """
-    rows = df.select(F.struct("*").alias("row"), stratum(strata).alias("__k"), order_key(seed, keys).alias("digest"))
+    rows = df.select(F.struct("*").alias("row"), stratum(strata, df).alias("__k"), order_key(seed, keys).alias("digest"))
     total = ranges.agg(F.sum("__w")).first()[0] or 0
     joined = attach(rows, ranges, "__k", "__w", int(total))
     met = F.filter("ranges", lambda r: r["low"] <= F.col("digest"))

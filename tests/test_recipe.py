@@ -166,3 +166,23 @@ def test_encodings_are_worked_out_by_category_and_fold(spark):
         mine = [x for x in own if x.c == r.c]
         prior = sum(x.y for x in own) / len(own)
         assert got[r.id].cat__TE == pytest.approx((sum(x.y for x in mine) + 20 * prior) / (len(mine) + 20))
+
+
+@pytest.mark.parametrize("strata", [[], ["s"], ["s", "t"]])
+def test_ranges_rank_few_rows(spark, strata, monkeypatch):
+    """Learnt ranges equal those of the rows that ``stratified`` labels, with null, small and rowless sets and repeated keys, but only a few rows are ranked."""
+    df = spark.range(3_000).select((F.col("id") % 2_900).alias("id"), F.when(F.col("id") % 7 != 0, F.pmod(F.floor(F.sqrt("id")), F.lit(20))).alias("s"), (F.col("id") > 2_995).alias("t"), F.lit(5).alias("__k")).repartition(3)
+    ratios = [("test", 0.2), ("val", 0.0), ("oot", 0.15)]
+    labelled = split.stratified(df, ["id"], strata, ratios).withColumn("stratum", split.stratum(strata))
+    lows = labelled.groupBy("stratum", split.SPLIT).agg(F.min(split.order_key(42, ["id"])).alias("low"), F.count(F.lit(1)).alias("n")).collect()
+    want = {}
+    for r in lows:
+        n, ranges = want.get(r.stratum, (0, []))
+        want[r.stratum] = n + r.n, sorted([*ranges, (r.low, r[split.SPLIT])])
+
+    def refuse(*args):
+        raise AssertionError("all rows would be ranked")
+
+    monkeypatch.setattr(split, "_ranks", refuse)
+    got = {r["__k"]: (r["__w"], [tuple(x) for x in r.ranges]) for r in split.learn_ranges(df, ["id"], strata, ratios).collect()}
+    assert got == want
